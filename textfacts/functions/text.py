@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -10,13 +11,31 @@ from pyspark.sql import functions as F
 from textfacts import constants as C
 
 # The white-space characters Python's str.split() splits on, and
-# the letters and digits Python's \w counts as word characters.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# the letters and digits Python's \w counts as word characters.  Characters
+# are listed one by one and not as ranges because Java then tests all of them
+# with one table look-up; \p{Z} adds the separators beyond Latin-1.
+WHITESPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\p{Z}]"
 WORD_CHARACTER = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 WORD_START = rf"(?<!{WORD_CHARACTER})"
 WORD_END = rf"(?!{WORD_CHARACTER})"
 
+NOT_TOKEN = "[^abcdefghijklmnopqrstuvwxyz0123456789]"
+
+
+def _initials(terms: Iterable[str]) -> str:
+    """A look-ahead that rules out most places where no term can start.
+
+    Lets through the terms' first letters in both cases, and anything past
+    Latin-1, where letters live that fold to ASCII ones.  Java tests such a
+    class with a table look-up, far cheaper than trying the alternatives.
+    """
+    first = sorted({c for t in terms for c in (t[0].lower(), t[0].upper())})
+    if not all(len(c) == 1 and c.isascii() for c in first):
+        return ""
+    return "(?=[" + "".join(map(re.escape, first)) + r"\x{100}-\x{10FFFF}])"
+
+
 _MONTH = "(" + "|".join(C.MONTHS) + ")[a-z]*"
 
 # Date patterns.  Word boundaries are spelled out because the
@@ -24,7 +43,7 @@ _MONTH = "(" + "|".join(C.MONTHS) + ")[a-z]*"
 NUMERIC_DATE = rf"{DIGIT}{{1,2}}[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{2,4}}"
 ANY_YEAR = rf"{DIGIT}{{4}}"
 WORD_YEAR = rf"{WORD_START}{DIGIT}{{4}}{WORD_END}"
-MONTH_FIRST_DATE = rf"(?iu){_MONTH}{WHITESPACE}+{DIGIT}{{1,2}},?{WHITESPACE}+{DIGIT}{{4}}"
+MONTH_FIRST_DATE = rf"{_initials(C.MONTHS)}(?iu){_MONTH}{WHITESPACE}+{DIGIT}{{1,2}},?{WHITESPACE}+{DIGIT}{{4}}"
 DAY_FIRST_DATE = rf"(?iu){DIGIT}{{1,2}}{WHITESPACE}+{_MONTH}{WHITESPACE}+{DIGIT}{{4}}"
 
 
@@ -105,10 +124,6 @@ def vocabulary_rows(vocabulary: Mapping[str, Sequence[str]] = C.VOCABULARY) -> l
     return list(dict.fromkeys((cat, t.lower()) for cat, terms in vocabulary.items() for t in terms))
 
 
-def _literal_pattern(term: str) -> str:
-    return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
-
-
 def vocabulary_terms(
     text: Column | str,
     terms: Iterable[str] | None = None,
@@ -118,22 +133,29 @@ def vocabulary_terms(
 
     ``match='substring'`` finds a term anywhere, also inside a longer word;
     ``match='word'`` only where no letter or digit touches it.  Null text has
-    no terms.  The lower-cased text is a shared sub-expression outside any
-    branch, so generated code makes it once per row however many terms there are.
+    no terms.  The lower-cased text is bound to a lambda variable, so it is
+    made once per row however many terms there are.
     """
     if match not in ("substring", "word"):
         raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
     chosen = [t for _, t in vocabulary_rows()] if terms is None else [t.lower() for t in terms]
-    lowered = F.lower(_col(text))
+    if any("\\E".lower() in t for t in chosen):
+        raise ValueError("terms may not hold a backslash followed by e")
+    vocabulary = F.array(*[F.lit(t) for t in dict.fromkeys(chosen)])
 
-    def hit(term: str) -> Column:
-        found = lowered.contains(term)
+    def found(lowered: Column, term: Column) -> Column:
+        hit = F.contains(lowered, term)
         if match == "word":
             # the plain search is cheap and rules out almost every text
-            found = found & lowered.rlike(WORD_START + _literal_pattern(term) + WORD_END)
-        return F.when(found, F.lit(term)).otherwise(F.lit(""))
+            pattern = F.concat(F.lit(WORD_START + r"\Q"), term, F.lit(r"\E" + WORD_END))
+            hit = hit & F.rlike(lowered, pattern)
+        return hit
 
-    return F.array_remove(F.array(*[hit(t) for t in dict.fromkeys(chosen)]), "")
+    per_text = F.transform(
+        F.array(F.lower(F.coalesce(_col(text), F.lit("")))),
+        lambda lowered: F.filter(vocabulary, lambda term: found(lowered, term)),
+    )
+    return per_text[0]
 
 
 def typed_mentions(
@@ -154,9 +176,8 @@ def typed_mentions(
     parts = []
     for kind, terms in gazetteer.items():
         longest_first = sorted(dict.fromkeys(t.lower() for t in terms), key=lambda t: (-len(t), t))
-        pattern = (
-            "(?iu)" + WORD_START + "(?:" + "|".join(map(_literal_pattern, longest_first)) + ")" + WORD_END
-        )
+        anywhere = "(?:" + "|".join(map(re.escape, longest_first)) + ")"
+        pattern = _initials(longest_first) + "(?iu)" + WORD_START + anywhere + WORD_END
         parts.append(typed(kind, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     if dates:
         parts.append(typed("DATE", date_mentions(text, year=WORD_YEAR, full_dates=True)))
@@ -165,4 +186,4 @@ def typed_mentions(
 
 def rouge_tokens(text: Column | str) -> Column:
     """Lower-cased runs of ASCII letters and digits; everything else separates."""
-    return F.array_remove(F.split(F.lower(_col(text)), "[^a-z0-9]+"), "")
+    return F.array_remove(F.split(F.lower(_col(text)), NOT_TOKEN + "+"), "")

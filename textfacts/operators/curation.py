@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textfacts import constants as C
 from textfacts.functions.text import word_count
+from textfacts.operators.columns import with_columns_once
 from textfacts.operators.ordering import row_key
 
 
@@ -26,11 +27,12 @@ def drop_missing(df: DataFrame, columns: Sequence[str] = C.REQUIRED_COLUMNS) ->
 
 
 def with_word_counts(df: DataFrame) -> DataFrame:
-    return df.withColumns(
+    return with_columns_once(
+        df,
         {
             "summary_word_count": word_count("summary"),
             "article_word_count": word_count("article"),
-        }
+        },
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textfacts import constants as C
 from textfacts.functions import factuality as fact
 from textfacts.functions import text as T
+from textfacts.operators.columns import with_columns_once
 
 # Which vocabulary categories name what kind of entity.
 GAZETTEER = {
@@ -39,7 +40,7 @@ def add_features(
             columns[f"{prefix}_mentions"] = T.typed_mentions(text, gazetteer)
         else:
             columns[f"{prefix}_{name}"] = _FEATURES[name](text)
-    return df.withColumns(columns)
+    return with_columns_once(df, columns)
 
 
 def add_source_features(df: DataFrame, text: str, **options) -> DataFrame:
@@ -94,7 +95,7 @@ def terms_by_category(
     df: DataFrame, terms: str, vocabulary: Mapping[str, Sequence[str]] = C.VOCABULARY
 ) -> DataFrame:
     """Per category: how often its terms were found, and how many different ones."""
-    per_term = df.select(F.explode(terms).alias("term")).groupBy("term").agg(
+    per_term = with_columns_once(df, {"terms": F.col(terms)}).select(F.explode("terms").alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n_found")
     )
     listed = df.sparkSession.createDataFrame(

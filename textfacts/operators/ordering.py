@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from textfacts import constants as C
 
+DIRECT_ROWS = 100_000  # so many narrow keys are sorted by one task without more ado
 _BUCKET_DIGITS = 4
+_MERGE_GROUPS = 256
 _DAY_CHARS = 11  # the null marker and an ISO day
 
 
@@ -30,27 +32,30 @@ def _matches(names: Sequence[str], values: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n) == F.lit(v) for n, v in zip(names, values)], F.lit(True))
 
 
-def rank_keys(keys: DataFrame, ranks: Sequence[int]) -> dict[int, tuple[str, ...]]:
+def rank_keys(
+    keys: DataFrame, ranks: Sequence[int], direct_rows: int = DIRECT_ROWS
+) -> dict[int, tuple[str, ...]]:
     """Key values at the given 1-based ranks, ordering by all columns in turn.
 
     ``keys`` holds string columns from coarse to fine, each row's last column
     unique.  Level by level, counts per value are taken only inside the values
     that hold a wanted rank; each level is one aggregation that hands one row
-    per wanted rank to the driver.  Ranks below 1 or past the end are left out.
+    per wanted rank to the driver.  Once those values hold no more than
+    ``direct_rows`` rows, their remaining levels are counted together.  Ranks
+    below 1 or past the end are left out.
     """
     levels = keys.columns
     open_ranks = {r: ((), r) for r in ranks if r >= 1}
-    for depth, level in enumerate(levels):
-        if not open_ranks:
-            break
-        prefix = levels[:depth]
+    depth, deeper = 0, 1
+    while open_ranks and depth < len(levels):
+        prefix, fresh = levels[:depth], levels[depth:deeper]
         wanted = sorted({p for p, _ in open_ranks.values()})
         counts = (
             keys.where(_any([_matches(prefix, p) for p in wanted]))
-            .groupBy(*levels[: depth + 1])
+            .groupBy(*prefix, *fresh)
             .agg(F.count(F.lit(1)).alias("rows"))
         )
-        running = W.partitionBy(*prefix).orderBy(level).rowsBetween(W.unboundedPreceding, 0)
+        running = W.partitionBy(*prefix).orderBy(*fresh).rowsBetween(W.unboundedPreceding, 0)
         counts = counts.withColumn("upto", F.sum("rows").over(running))
         holds = [
             _matches(prefix, p) & (F.col("upto") >= left) & (F.col("upto") - F.col("rows") < left)
@@ -62,8 +67,10 @@ def rank_keys(keys: DataFrame, ranks: Sequence[int]) -> dict[int, tuple[str, ...
             for row in found:
                 before = row["upto"] - row["rows"]
                 if tuple(row[c] for c in prefix) == p and before < left <= row["upto"]:
-                    narrowed[rank] = (p + (row[level],), left - before)
+                    narrowed[rank] = (p + tuple(row[c] for c in fresh), left - before)
         open_ranks = narrowed
+        depth = deeper
+        deeper = len(levels) if sum(row["rows"] for row in found) <= direct_rows else depth + 1
     return {rank: values for rank, (values, _) in open_ranks.items()}
 
 
@@ -159,11 +166,20 @@ def positional_split(
 def take_first(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
     """The first ``rows`` rows in the order of unique key columns.
 
-    The sort sees the key columns only; whole rows are kept by comparing their
-    key with the last one wanted.  For small ``rows``.
+    Only key columns are sorted; whole rows are kept by comparing their key
+    with the last one wanted.  Each input partition hands on ``rows`` keys at
+    most, and those meet in a fixed number of groups before the last sort, so
+    no task sees the keys of all partitions.  For small ``rows``.
     """
     key = F.struct(*order)
-    last = df.select(*order).orderBy(*order).limit(rows).agg(F.max(key).alias("last"))
+    near = W.partitionBy("_group").orderBy(*order)
+    keys = (
+        df.select(*order)
+        .withColumn("_group", F.spark_partition_id() % _MERGE_GROUPS)
+        .withColumn("_place", F.row_number().over(near))
+        .where(F.col("_place") <= rows)
+    )
+    last = keys.orderBy(*order).limit(rows).agg(F.max(key).alias("last"))
     return df.where(key <= last.scalar())
 
 

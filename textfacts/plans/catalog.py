@@ -40,7 +40,7 @@ def register(query: Query) -> Query:
 
 def listed(values: Column) -> Column:
     """An array as one sorted text, which any engine compares alike."""
-    return F.array_join(F.array_sort(values), "|")
+    return F.array_join(F.sort_array(values), "|")
 
 
 # --- scans and sinks -------------------------------------------------------

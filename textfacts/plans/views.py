@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textfacts.functions import text as T
 from textfacts.functions.vectors import cosine
+from textfacts.operators.columns import with_columns_once
 from textfacts.sources.tables import scan, spread
 
 MIN_PAIR_WORDS = 5
@@ -16,18 +17,24 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(scan(spark, folder, "documents"), "doc_id")
 
 
+def with_words(df: DataFrame) -> DataFrame:
+    """Add the words ``w`` of ``text`` and their number ``n``."""
+    return with_columns_once(df, {"w": T.words("text")}).withColumn("n", F.size("w"))
+
+
 def raw_articles(spark: SparkSession, folder: str) -> DataFrame:
     """Raw article rows as a news export has them: untidy headers, nulls, copies.
 
     Nothing in a row depends on the document's id, so copied texts are copied rows.
     """
-    split = documents(spark, folder).select(
-        "text", "lang", T.words("text").alias("w")
-    ).withColumn("n", F.size("w")).where("n >= 4")
-    return split.select(
+    split = with_words(documents(spark, folder).select("text", "lang")).where("n >= 4")
+    summary = F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n) div 5 as int)")), " ")
+    headline = F.array_join(F.slice("w", F.lit(1), F.expr("2 + n % 3")), " ")
+    made = with_columns_once(split, {"human_summary": summary, "headline": headline})
+    return made.select(
         F.col("text").alias(" article_text"),
-        F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n) div 5 as int)")), " ").alias("human_summary "),
-        F.when(F.length("text") % 50 != 0, F.array_join(F.slice("w", F.lit(1), F.expr("2 + n % 3")), " ")).alias("head\nline"),
+        F.col("human_summary").alias("human_summary "),
+        F.when(F.length("text") % 50 != 0, F.col("headline")).alias("head\nline"),
         F.col("lang").alias("news_category"),
         F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.expr("(n * 7) % 365")), "yyyy-MM-dd").alias("published_date"),
     )
@@ -41,24 +48,17 @@ def candidates(df: DataFrame) -> DataFrame:
     three, so the source is read and analysed once.
     """
     size = "cast((2 * n + 4) div 5 as int)"
-    starts = {"lead": "1", "middle": "cast((3 * n) div 10 as int) + 1", "tail": f"n - {size} + 1"}
-    systems = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("system"),
-                F.array_join(F.slice("w", F.expr(f"greatest({start}, 1)"), F.expr(size)), " ").alias("candidate"),
-            )
-            for name, start in starts.items()
-        ]
-    )
-    return df.select("*", F.inline(systems))
+    starts = {"lead": "1", "middle": "cast((3 * n) div 10 as int) + 1", "tail": "n - size + 1"}
+    names = F.array(*[F.lit(name) for name in starts])
+    start = F.coalesce(*[F.when(F.col("system") == name, F.expr(at)) for name, at in starts.items()])
+    made = df.select("*", F.explode(names).alias("system"), F.expr(size).alias("size"))
+    candidate = F.array_join(F.slice("w", F.greatest(start, F.lit(1)), F.col("size")), " ")
+    return made.withColumn("candidate", candidate).drop("size")
 
 
 def pairs(df: DataFrame) -> DataFrame:
     """(document, system) rows with ``reference`` (the first three fifths) and ``candidate``."""
-    long_enough = df.withColumn("w", T.words("text")).withColumn("n", F.size("w")).where(
-        F.col("n") >= MIN_PAIR_WORDS
-    )
+    long_enough = with_words(df).where(F.col("n") >= MIN_PAIR_WORDS)
     reference = F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n + 4) div 5 as int)")), " ")
     return candidates(long_enough.withColumn("reference", reference)).drop("w")
 
@@ -115,10 +115,10 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     Texts whose length is a multiple of 50 have no reference, so that runs
     meet failing rows.
     """
-    w = T.words("text")
-    tail = F.array_join(F.slice("w", F.expr("greatest(size(w) - 6, 1)"), F.lit(7)), " ")
-    return documents(spark, folder).select(
-        F.col("doc_id").alias("sample_id"), "lang", F.col("text").alias("article"), w.alias("w")
-    ).select(
-        "sample_id", "lang", "article", F.when(F.length("article") % 50 != 0, tail).alias("summary")
+    tail = F.array_join(F.slice("w", F.expr("greatest(n - 6, 1)"), F.lit(7)), " ")
+    return with_words(documents(spark, folder)).select(
+        F.col("doc_id").alias("sample_id"),
+        "lang",
+        F.col("text").alias("article"),
+        F.when(F.length("text") % 50 != 0, tail).alias("summary"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textfacts.functions.text import slug
+from textfacts.session import materialise
 
 PREDICTION_SCHEMA = (
     "sample_id bigint, model_id string, article_preview string, reference_summary string, "
@@ -94,6 +95,11 @@ def read_scores(spark: SparkSession, path: str, files: str = "*.json") -> DataFr
     return found.withColumn("folder", folder)
 
 
+def model_scores(spark: SparkSession, path: str, model_name: str) -> DataFrame:
+    """The score row of one finished model."""
+    return read_scores(spark, path).where(F.col("model_name") == model_name)
+
+
 def run_summary(
     scores: DataFrame, failed: DataFrame, date: str, author: str, test_samples: int
 ) -> DataFrame:
@@ -123,8 +129,11 @@ def run_summary(
 def write_leaderboard(
     board: DataFrame, path: str, summary_columns: Sequence[str], mode: str = "errorifexists"
 ) -> None:
-    """The leaderboard as CSV and as JSON records, and chosen columns as a short CSV."""
-    ordered = board.orderBy("rank")
+    """The leaderboard as CSV and as JSON records, and chosen columns as a short CSV.
+
+    The few rows are stored first, so the scores behind them are computed once.
+    """
+    ordered = materialise(board, "board").orderBy("rank")
     ordered.write.mode(mode).option("header", True).csv(f"{path}/leaderboard_csv")
     ordered.write.mode(mode).json(f"{path}/leaderboard_json")
     ordered.select(*summary_columns).write.mode(mode).option("header", True).csv(f"{path}/summary_csv")

@@ -9,6 +9,9 @@ from textfacts import constants as C
 from textfacts.operators.ordering import take_first
 
 
+NULL_MARK = "\\N"  # how written CSV files show a missing value
+
+
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
@@ -50,28 +53,35 @@ def articles_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     )
 
 
-NULL_MARK = "\\N"
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "quoteAll": True,
+    "emptyValue": "",
+    "nullValue": NULL_MARK,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def write_articles_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV that :func:`articles_csv` reads back unchanged, line breaks included."""
-    (
-        df.select([F.col(c).cast("string").alias(c) for c in df.columns])
-        .write.mode(mode)
-        .option("header", True)
-        .option("escape", '"')
-        .option("quoteAll", True)
-        .option("emptyValue", "")
-        .option("nullValue", NULL_MARK)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    texts = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+    texts.write.mode(mode).options(**_CSV).csv(path)
 
 
-def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One table with a folder per split; small splits are a flag column in it."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+def write_splits(
+    df: DataFrame, path: str, mode: str = "errorifexists", as_csv: bool = False
+) -> None:
+    """One table with a folder per split; small splits are a flag column in it.
+
+    Parquet, or CSV files for tools that want those.
+    """
+    out = df.write.mode(mode).partitionBy("split")
+    if as_csv:
+        out.options(**_CSV).csv(path)
+    else:
+        out.parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, split: str, small: bool = False) -> DataFrame:
