@@ -171,7 +171,7 @@ def take_first(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
     most, and those meet in a fixed number of groups before the last sort, so
     no task sees the keys of all partitions.  For small ``rows``.
     """
-    key = F.struct(*order)
+    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     near = W.partitionBy("_group").orderBy(*order)
     keys = (
         df.select(*order)

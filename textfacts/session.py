@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,18 +26,22 @@ def local_session(cores: int | str = 8, app: str = "textfacts") -> SparkSession:
     )
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="textfacts-")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of its own is made only for local sessions; on a cluster every
-    executor must see the folder, so there the setting is required.
+    A folder of its own is made only for local sessions that name none; on a
+    cluster every executor must see the folder, so there the setting is required.
     """
     root = spark.conf.get(_CHECKPOINT_SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_CHECKPOINT_SETTING} to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="textfacts-")
-        spark.conf.set(_CHECKPOINT_SETTING, root)
+        root = _own_folder(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
