@@ -83,7 +83,8 @@ def with_input_lengths(df: DataFrame, tokens: str, model_id: str = "model_id") -
     """
     long_context = T.is_long_context(model_id)
     limit = F.when(long_context, C.LONG_CONTEXT_TOKENS).otherwise(C.SHORT_CONTEXT_TOKENS)
-    return df.withColumn("input_length", F.least(F.col(tokens), limit)).withColumn(
+    kept = F.when(F.col(tokens).isNotNull(), F.least(F.col(tokens), limit))
+    return df.withColumn("input_length", kept).withColumn(
         "padded_length",
         F.when(long_context, E.padded_length("input_length")).otherwise(F.col("input_length")),
     )

@@ -17,14 +17,13 @@ from textfacts.operators.examples import model_structs
 Summariser = Callable[[str, str], str]
 
 
-def pending_grid(
+def pending_models(
     samples: DataFrame, done: DataFrame, sample_id: str, models: Mapping[str, str] = C.MODELS
 ) -> DataFrame:
-    """Samples once per model that has no finished row for them.
+    """Samples some model has no finished row for, with those models as ``pending``.
 
     Finished rows fold to one short list of models per sample, so each sample
-    is shuffled once instead of once per model, and pairs already done are
-    never made.
+    is shuffled once instead of once per model.
     """
     finished = done.groupBy(sample_id).agg(F.collect_set("model_name").alias("done_models"))
     left = F.filter(
@@ -32,7 +31,21 @@ def pending_grid(
         lambda m: ~F.coalesce(F.array_contains("done_models", m["model_name"]), F.lit(False)),
     )
     joined = samples.join(finished, sample_id, "left")
-    return joined.select(*samples.columns, F.inline(left))
+    return joined.select(*samples.columns, left.alias("pending")).where(F.size("pending") > 0)
+
+
+def pending_grid(
+    samples: DataFrame, done: DataFrame, sample_id: str, models: Mapping[str, str] = C.MODELS
+) -> DataFrame:
+    """One row per sample and model that has no finished row for it.
+
+    Pairs already done are never made.
+    """
+    return expand_pending(pending_models(samples, done, sample_id, models))
+
+
+def expand_pending(waiting: DataFrame) -> DataFrame:
+    return waiting.select("*", F.inline("pending")).drop("pending")
 
 
 def with_status(df: DataFrame, article: str, reference: str) -> DataFrame:

@@ -12,6 +12,7 @@ from textfacts import constants as C
 from textfacts.functions import text as T
 from textfacts.functions.rouge import METRICS, rouge
 from textfacts.operators import grid
+from textfacts.operators.columns import with_columns_once
 from textfacts.operators.examples import with_input_lengths
 from textfacts.operators.report import run_aggregates
 from textfacts.sources.results import (
@@ -28,15 +29,18 @@ def evaluate_rows(
     metrics: tuple[str, ...] = METRICS,
     stemmed: bool = True,
 ) -> DataFrame:
-    """Prediction rows for (sample_id, article, summary, model_name, model_id) rows.
+    """Prediction rows for (sample_id, article, summary, n_words, model_name, model_id) rows.
 
+    ``n_words`` is the article's word count; a prompt in front adds its own words.
     Without a summariser the extractive lead summary is used, which stays in
     built-in expressions.
     """
     checked = grid.with_status(todo, "article", "summary").withColumn(
         "article", T.with_prompt("article", "model_id")
     )
-    sized = with_input_lengths(checked.withColumn("n_tokens", T.word_count("article")), "n_tokens")
+    prompt_words = T.with_prompt(F.lit(""), "model_id") != ""
+    tokens = F.col("n_words") + F.when(prompt_words, len(C.PROMPT_PREFIX.split())).otherwise(0)
+    sized = with_input_lengths(checked.withColumn("n_tokens", tokens), "n_tokens")
     if summarise is None:
         good = F.col("status") == "ok"
         made = sized.withColumn(
@@ -90,8 +94,10 @@ def run_evaluation(
         chosen = samples
         if commits > 1:
             chosen = samples.where(F.pmod(F.xxhash64("sample_id"), F.lit(commits)) == part)
-        todo = grid.pending_grid(chosen, done, "sample_id", models)
-        rows = evaluate_rows(todo, summarise, metrics, stemmed)
+        waiting = grid.pending_models(chosen, done, "sample_id", models)
+        # counted after finished samples are gone and before each is repeated per model
+        counted = with_columns_once(waiting, {"n_words": T.word_count("article")})
+        rows = evaluate_rows(grid.expand_pending(counted), summarise, metrics, stemmed)
         append_predictions(rows.withColumn("run_id", F.lit(run_id)), path)
     return current_predictions(spark, path)
 
