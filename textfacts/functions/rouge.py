@@ -16,6 +16,7 @@ from textfacts.functions.stemming import rouge_stem
 from textfacts.functions.text import rouge_tokens
 
 METRICS = ("rouge1", "rouge2", "rougeL")
+MAX_KNOWN_STEMS = 500_000
 _SCORES = "struct<rouge1: double, rouge2: double, rougeL: double>"
 
 
@@ -23,15 +24,27 @@ def _plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _codes(reference: pa.Array, candidate: pa.Array, stemmed: bool) -> tuple[np.ndarray, np.ndarray, int]:
+def _stems(tokens: list[str], known: dict[str, str]) -> list[str]:
+    """Stems of distinct tokens; ``known`` keeps them for the task's next batches."""
+    if len(known) > MAX_KNOWN_STEMS:
+        known.clear()
+    for token in tokens:
+        if token not in known:
+            known[token] = rouge_stem(token)
+    return [known[token] for token in tokens]
+
+
+def _codes(
+    reference: pa.Array, candidate: pa.Array, known_stems: dict[str, str] | None
+) -> tuple[np.ndarray, np.ndarray, int]:
     """Integer codes of both sides' tokens, equal tokens (or stems) sharing a code."""
     left, right = reference.flatten(), candidate.flatten()
     encoded = pa.concat_arrays([left.cast(pa.string()), right.cast(pa.string())]).dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     size = len(encoded.dictionary)
-    if stemmed and size:
-        stems = pa.array([rouge_stem(t) for t in encoded.dictionary.to_pylist()], pa.string())
-        stem_codes = stems.dictionary_encode()
+    if known_stems is not None and size:
+        stems = _stems(encoded.dictionary.to_pylist(), known_stems)
+        stem_codes = pa.array(stems, pa.string()).dictionary_encode()
         codes = stem_codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
         size = len(stem_codes.dictionary)
     return codes[: len(left)], codes[len(left):], size
@@ -118,12 +131,20 @@ def _lcs_f(ref, ref_lengths, cand, cand_lengths) -> np.ndarray:
     return _f_measure(common, ref_lengths, cand_lengths)
 
 
-def score_batch(reference: pa.Array, candidate: pa.Array, metrics=METRICS, stemmed: bool = False) -> pa.Array:
-    """Scores of one batch; a null on either side, or a metric left out, gives null."""
+def score_batch(
+    reference: pa.Array,
+    candidate: pa.Array,
+    metrics: tuple[str, ...] = METRICS,
+    known_stems: dict[str, str] | None = None,
+) -> pa.Array:
+    """Scores of one batch; a null on either side, or a metric left out, gives null.
+
+    Tokens are stemmed if ``known_stems``, which may start empty, is given.
+    """
     reference, candidate = _plain(reference), _plain(candidate)
     height = len(reference)
     ref_lengths, cand_lengths = _lengths(reference), _lengths(candidate)
-    ref, cand, size = _codes(reference, candidate, stemmed)
+    ref, cand, size = _codes(reference, candidate, known_stems)
     ref_rows = np.repeat(np.arange(height), ref_lengths)
     cand_rows = np.repeat(np.arange(height), cand_lengths)
     missing = np.logical_or(
@@ -153,10 +174,10 @@ def rouge(
     unknown = set(metrics) - set(METRICS)
     if unknown:
         raise ValueError(f"unknown metrics {sorted(unknown)}")
-    chosen, use_stems = tuple(metrics), bool(stemmed)
+    chosen, known_stems = tuple(metrics), {} if stemmed else None
 
     @F.arrow_udf(_SCORES)
     def scores(ref: pa.Array, cand: pa.Array) -> pa.Array:
-        return score_batch(ref, cand, chosen, use_stems)
+        return score_batch(ref, cand, chosen, known_stems)
 
     return scores(rouge_tokens(reference), rouge_tokens(candidate))

@@ -43,6 +43,7 @@ _MONTH = "(" + "|".join(C.MONTHS) + ")[a-z]*"
 NUMERIC_DATE = rf"{DIGIT}{{1,2}}[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{2,4}}"
 ANY_YEAR = rf"{DIGIT}{{4}}"
 WORD_YEAR = rf"{WORD_START}{DIGIT}{{4}}{WORD_END}"
+DAY_AND_YEAR = rf"{DIGIT}{{1,2}},?{WHITESPACE}+{DIGIT}{{4}}"
 MONTH_FIRST_DATE = rf"{_initials(C.MONTHS)}(?iu){_MONTH}{WHITESPACE}+{DIGIT}{{1,2}},?{WHITESPACE}+{DIGIT}{{4}}"
 DAY_FIRST_DATE = rf"(?iu){DIGIT}{{1,2}}{WHITESPACE}+{_MONTH}{WHITESPACE}+{DIGIT}{{4}}"
 
@@ -102,21 +103,21 @@ def date_mentions(text: Column | str, year: str = ANY_YEAR, full_dates: bool = F
     "jun"), which is what scoring compares; ``full_dates`` reports the whole
     mention instead and adds day-first dates.
 
-    Every pattern needs a digit, so texts without one skip all of them; null
-    text has no dates.
+    Every pattern needs a digit, so texts without one skip all of them, and the
+    slow search for month names is left to texts that hold a day and a year.
+    Null text has no dates.
     """
     text = _col(text)
-    month_group = 0 if full_dates else 1
+    month_first = F.regexp_extract_all(text, F.lit(MONTH_FIRST_DATE), F.lit(0 if full_dates else 1))
+    nothing = F.array().cast("array<string>")
     found = [
         F.regexp_extract_all(text, F.lit(NUMERIC_DATE), F.lit(0)),
         F.regexp_extract_all(text, F.lit(year), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(MONTH_FIRST_DATE), F.lit(month_group)),
+        F.when(text.rlike(DAY_AND_YEAR), month_first).otherwise(nothing),
     ]
     if full_dates:
         found.append(F.regexp_extract_all(text, F.lit(DAY_FIRST_DATE), F.lit(0)))
-    return F.when(text.rlike(DIGIT), F.array_distinct(F.concat(*found))).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.when(text.rlike(DIGIT), F.array_distinct(F.concat(*found))).otherwise(nothing)
 
 
 def vocabulary_rows(vocabulary: Mapping[str, Sequence[str]] = C.VOCABULARY) -> list[tuple[str, str]]:
