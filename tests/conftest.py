@@ -3,11 +3,15 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from textfacts.session import local_session  # noqa: E402
 
+settings.register_profile("unhurried", deadline=None)  # first calls load libraries
+settings.load_profile("unhurried")
+
 SMALL = "/root/testdata/sf0.001"
 
 

@@ -139,4 +139,16 @@ def test_documents_of_an_event(spark):
 def test_events_are_cut_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("id", "id % 2 as event", "cast(id as string) as article")
     plan = concat_documents(df, "event", "article", ["id"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4
+    plain = concat_documents(df, "event", "article", ["id"], merge_groups=1)
+    assert plain._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_an_event_with_most_of_the_rows(spark):
+    df = spark.range(3000).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', cast(id % 50 as string)) as event", "concat('text ', id) as article"
+    ).repartition(40)
+    for groups in (1, 8):
+        got = {r["event"]: r["document"] for r in concat_documents(df, "event", "article", ["id"], separator="|", merge_groups=groups).collect()}
+        assert got["hot"] == "text 0|text 3|text 6|text 9|text 12"
+        assert len(got) == 51

@@ -140,3 +140,11 @@ def test_missing_tables_are_empty(spark, fresh):
     assert res.all_predictions(spark, fresh("none")).count() == 0
     assert res.read_scores(spark, fresh("none")).count() == 0
     assert res.read_losses(spark, fresh("none")).count() == 0
+
+
+def test_text_ids(spark, samples, fresh):
+    path = fresh("p")
+    keyed = samples.withColumn("sample_id", samples.sample_id.cast("string"))
+    run_evaluation(keyed.where("sample_id < '5'"), path, MODELS)
+    assert run_evaluation(keyed, path, MODELS).select("sample_id").distinct().count() == 11
+    assert res.all_predictions(spark, path, "string").count() == 22

@@ -38,6 +38,12 @@ def test_lcs_against_the_table(a, b):
     assert lcs_length([ord(x) for x in a], [ord(x) for x in b]) == table_lcs(a, b)
 
 
+@given(TOKENS, TOKENS, st.integers(1, 9))
+def test_lcs_in_blocks(a, b, block):
+    codes = [ord(x) for x in a], [ord(x) for x in b]
+    assert lcs_length(*codes, block=block) == table_lcs(a, b)
+
+
 @given(st.lists(st.tuples(TOKENS, TOKENS), min_size=1, max_size=8))
 def test_batches_against_one_pair_at_a_time(batch):
     refs, cands = zip(*batch)

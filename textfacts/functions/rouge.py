@@ -17,6 +17,7 @@ from textfacts.functions.text import rouge_tokens
 
 METRICS = ("rouge1", "rouge2", "rougeL")
 MAX_KNOWN_STEMS = 500_000
+LCS_BLOCK = 16_384  # tokens laid out in bits at a time
 _SCORES = "struct<rouge1: double, rouge2: double, rougeL: double>"
 
 
@@ -89,30 +90,52 @@ def _ngram_f(ref, ref_rows, cand, cand_rows, size: int, n: int, height: int) ->
     )
 
 
-def lcs_length(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, all of the longer side in one bit row."""
+def lcs_length(a: list[int], b: list[int], block: int = LCS_BLOCK) -> int:
+    """Length of the longest common subsequence.
+
+    The longer side is laid out in bits, the shorter one stepped through.  Very
+    long texts are laid out block by block: each step's carry goes on to the
+    next block, so memory stays bounded and the result is that of the whole.
+    """
     if len(a) < len(b):
         a, b = b, a
-    places: dict[int, list[int]] = {}
     wanted = set(b)
-    for i, token in enumerate(a):
+    carries = bytes(len(b))
+    common = 0
+    for start in range(0, len(a), block):
+        part = a[start: start + block]
+        masks = _bit_rows(part, wanted)
+        width = len(part)
+        full = (1 << width) - 1
+        state = full
+        last = start + block >= len(a)
+        passed_on = bytearray(len(b))
+        for step, token in enumerate(b):
+            hit = state & masks.get(token, 0)
+            carry = carries[step]
+            if hit or carry:
+                raised = state + hit + carry
+                passed_on[step] = raised >> width
+                state = (raised | (state - hit)) & full
+        common += width - state.bit_count()
+        if not last:
+            carries = bytes(passed_on)
+    return common
+
+
+def _bit_rows(tokens: list[int], wanted: set[int]) -> dict[int, int]:
+    """For each wanted token, an integer with a bit set at each of its places."""
+    places: dict[int, list[int]] = {}
+    for i, token in enumerate(tokens):
         if token in wanted:
             places.setdefault(token, []).append(i)
-    width = len(a)
-    masks = {}
+    rows = {}
     for token, spots in places.items():
-        row = bytearray((width + 7) // 8)
+        row = bytearray((len(tokens) + 7) // 8)
         for i in spots:
             row[i >> 3] |= 1 << (i & 7)
-        masks[token] = int.from_bytes(row, "little")
-    full = (1 << width) - 1
-    state = full
-    for token in b:
-        mask = masks.get(token)
-        if mask:
-            hit = state & mask
-            state = ((state + hit) | (state - hit)) & full
-    return width - state.bit_count()
+        rows[token] = int.from_bytes(row, "little")
+    return rows
 
 
 def _lcs_f(ref, ref_lengths, cand, cand_lengths) -> np.ndarray:

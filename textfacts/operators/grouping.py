@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from textfacts import constants as C
 
 
+MERGE_GROUPS = 64
+
+
 def concat_documents(
     df: DataFrame,
     event: str,
@@ -18,19 +21,29 @@ def concat_documents(
     order: Sequence[str],
     limit: int = C.MAX_DOCUMENTS_PER_EVENT,
     separator: str = C.DOCUMENT_SEPARATOR,
+    merge_groups: int = MERGE_GROUPS,
 ) -> DataFrame:
     """One row per event: its first ``limit`` articles in order, joined.
 
-    Missing articles use up a place and are then left out.  The rank limit is
-    applied on both sides of the shuffle, so however many articles an event
-    has, each input partition sends ``limit`` of them and the list that is
-    built holds no more than that.
+    Missing articles use up a place and are then left out.  Each input
+    partition sends ``limit`` articles of an event at most.  Those of one event
+    first meet in ``merge_groups`` tasks, which cut them again, so an event
+    with articles in every partition is not left to a single task.  With
+    ``merge_groups=1`` that step is left out, which suits small events.
     """
-    place = F.row_number().over(W.partitionBy(event).orderBy(*order))
-    first = df.select(event, article, place.alias("place")).where(F.col("place") <= limit)
+    rows = df.select(event, article, *order)
+    if merge_groups > 1:
+        rows = rows.withColumn("part", F.spark_partition_id() % merge_groups)
+        rows = _first(rows, [event, "part"], order, limit)
     listed = F.array_sort(F.collect_list(F.struct("place", F.col(article).alias("article"))))
-    return first.groupBy(event).agg(listed.alias("parts")).select(
+    return _first(rows, [event], order, limit).groupBy(event).agg(listed.alias("parts")).select(
         event,
         F.array_join(F.transform("parts", lambda p: p["article"]), separator).alias("document"),
         F.size(F.filter("parts", lambda p: p["article"].isNotNull())).alias("n_documents"),
     )
+
+
+def _first(df: DataFrame, by: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
+    """Rows with ``place`` up to ``limit`` in their group."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    return df.withColumn("place", place).where(F.col("place") <= limit)

@@ -16,10 +16,10 @@ from textfacts.operators.columns import with_columns_once
 from textfacts.operators.examples import with_input_lengths
 from textfacts.operators.report import run_aggregates
 from textfacts.sources.results import (
-    PREDICTION_SCHEMA,
     all_predictions,
     append_predictions,
     current_predictions,
+    prediction_schema,
 )
 
 
@@ -86,7 +86,11 @@ def run_evaluation(
     """
     spark = samples.sparkSession
     run_id = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S.%f")
-    finished = all_predictions(spark, path) if resume else spark.createDataFrame([], PREDICTION_SCHEMA)
+    id_type = samples.schema["sample_id"].dataType.simpleString()
+    if resume:
+        finished = all_predictions(spark, path, id_type)
+    else:
+        finished = spark.createDataFrame([], prediction_schema(id_type))
     if retry_failed:
         finished = finished.where("status = 'ok'")
     done = finished.select("model_name", "sample_id")
@@ -99,7 +103,7 @@ def run_evaluation(
         counted = with_columns_once(waiting, {"n_words": T.word_count("article")})
         rows = evaluate_rows(grid.expand_pending(counted), summarise, metrics, stemmed)
         append_predictions(rows.withColumn("run_id", F.lit(run_id)), path)
-    return current_predictions(spark, path)
+    return current_predictions(spark, path, id_type)
 
 
 def evaluation_scores(results: DataFrame, places: int | None = 2) -> DataFrame:

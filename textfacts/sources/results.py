@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from textfacts.functions.text import slug
 from textfacts.session import materialise
 
-PREDICTION_SCHEMA = (
-    "sample_id bigint, model_id string, article_preview string, reference_summary string, "
+_PREDICTION_COLUMNS = (
+    "model_id string, article_preview string, reference_summary string, "
     "generated_summary string, input_length bigint, padded_length bigint, "
     "rouge1 double, rouge2 double, rougeL double, "
     "status string, error string, duration_ms double, run_id string, model_name string"
@@ -32,6 +32,11 @@ LOSS_SCHEMA = (
 )
 
 
+def prediction_schema(id_type: str = "bigint") -> str:
+    """Columns of a prediction table whose samples have ids of the given type."""
+    return f"sample_id {id_type}, {_PREDICTION_COLUMNS}"
+
+
 def _or_empty(spark: SparkSession, schema: str, load) -> DataFrame:
     """A table that may not have been written yet."""
     try:
@@ -47,24 +52,25 @@ def append_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("model_name").parquet(path)
 
 
-def all_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(
-        spark, PREDICTION_SCHEMA, lambda: spark.read.schema(PREDICTION_SCHEMA).parquet(path)
-    )
+def all_predictions(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    schema = prediction_schema(id_type)
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
 
 
-def current_predictions(spark: SparkSession, path: str) -> DataFrame:
+def current_predictions(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     """One row per model and sample: a good one before a failed one, then the newest run's."""
     newest = W.partitionBy("model_name", "sample_id").orderBy(
         F.desc(F.col("status") == "ok"), F.desc("run_id")
     )
-    rows = all_predictions(spark, path)
+    rows = all_predictions(spark, path, id_type)
     return rows.withColumn("place", F.row_number().over(newest)).where("place = 1").drop("place")
 
 
-def model_predictions(spark: SparkSession, path: str, model_name: str) -> DataFrame:
+def model_predictions(
+    spark: SparkSession, path: str, model_name: str, id_type: str = "bigint"
+) -> DataFrame:
     """Results of one model; only its folder is read."""
-    return all_predictions(spark, path).where(F.col("model_name") == model_name)
+    return all_predictions(spark, path, id_type).where(F.col("model_name") == model_name)
 
 
 def write_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
