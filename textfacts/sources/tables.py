@@ -17,13 +17,15 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of fewer files than cores one partition per core.
+    """Give a small scan one filled partition per core.
 
-    A table of many files already has more partitions than cores and is left
-    as it is, so large inputs never pay for this shuffle.
+    A file is read by one task per row group, however many splits it is cut
+    into, so a table of one file would keep one core busy.  Scans with more
+    than two splits per core hold full-sized splits of a large table; they are
+    left as they are and never pay for this shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if cores == 1 or df.rdd.getNumPartitions() > 2 * cores:
         return df
     return df.repartition(cores, *keys)
 
