@@ -146,7 +146,8 @@ union all select 5, 'headline_length', count(*) from f3"""
 ORACLES["curate_exact_dedup"] = "select distinct text, lang from documents"
 
 ORACLES["curate_articles"] = f"""with {CURATED}
-select row_key, headline, category, date, summary_word_count, article_word_count from curated"""
+select row_key, headline, category, date, summary_word_count::int as summary_word_count,
+  article_word_count::int as article_word_count from curated"""
 
 ORACLES["curate_date_cap"] = f"""with {CURATED}
 select row_key, date from curated order by date nulls last, row_key limit {C.TEST_ROWS}"""
