@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from textfacts.llm.chat import OP3_SQL, op3_chat
 from textfacts.llm.language import op5_language
 from textfacts.llm.quality import op2_quality
+from textfacts.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_chat": op3_chat,
+    "op4_warc": op4_warc,
     "op5_language": op5_language,
 }
 
 #: DuckDB twins; the other queries are tested against brute force or held-out labels.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op4_warc": OP4_SQL}
