@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from textfacts.llm.chat import OP3_SQL, op3_chat
+from textfacts.llm.decontaminate import op9_decontaminate
 from textfacts.llm.language import op5_language
+from textfacts.llm.pieces import op8_pieces
 from textfacts.llm.quality import op2_quality
 from textfacts.llm.warc import OP4_SQL, op4_warc
 
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_warc": op4_warc,
     "op5_language": op5_language,
+    "op8_pieces": op8_pieces,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 #: DuckDB twins; the other queries are tested against brute force or held-out labels.
