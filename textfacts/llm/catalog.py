@@ -7,6 +7,7 @@ from textfacts.llm.decontaminate import op9_decontaminate
 from textfacts.llm.language import op5_language
 from textfacts.llm.pieces import op8_pieces
 from textfacts.llm.quality import op2_quality
+from textfacts.llm.toxicity import op7_toxicity
 from textfacts.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_warc": op4_warc,
     "op5_language": op5_language,
+    "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
     "op9_decontaminate": op9_decontaminate,
 }
