@@ -5,6 +5,7 @@ from __future__ import annotations
 from textfacts.llm.chat import OP3_SQL, op3_chat
 from textfacts.llm.decontaminate import op9_decontaminate
 from textfacts.llm.language import op5_language
+from textfacts.llm.passages import op10_passages
 from textfacts.llm.pieces import op8_pieces
 from textfacts.llm.quality import op2_quality
 from textfacts.llm.toxicity import op7_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
     "op9_decontaminate": op9_decontaminate,
+    "op10_passages": op10_passages,
 }
 
 #: DuckDB twins; the other queries are tested against brute force or held-out labels.
