@@ -5,6 +5,7 @@ from __future__ import annotations
 from textfacts.llm.chat import OP3_SQL, op3_chat
 from textfacts.llm.decontaminate import op9_decontaminate
 from textfacts.llm.language import op5_language
+from textfacts.llm.nearcopies import op1_near_copies
 from textfacts.llm.passages import op10_passages
 from textfacts.llm.pieces import op8_pieces
 from textfacts.llm.quality import op2_quality
@@ -12,6 +13,7 @@ from textfacts.llm.toxicity import op7_toxicity
 from textfacts.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
+    "op1_near_copies": op1_near_copies,
     "op2_quality": op2_quality,
     "op3_chat": op3_chat,
     "op4_warc": op4_warc,
