@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
+    """A new schema with fields added last."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])
+
+
 def crc_remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key's text, modulo ``divisor``; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % divisor

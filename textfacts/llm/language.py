@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textfacts.llm.common import flat_bytes, is_remainder, sample_per_class, slices, squared_hinge, table
+from textfacts.llm.common import flat_bytes, is_remainder, sample_per_class, slices, squared_hinge, table, with_fields
 
 UNKNOWN = "und"
 BUCKETS = 2048
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [*part.columns, pa.array(languages, pa.string()), pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, kept.schema.add("lang_pred", "string").add("score", "double"))
+    return kept.mapInArrow(run, with_fields(kept.schema, lang_pred="string", score="double"))
 
 
 def learn_held_out(docs: DataFrame) -> Model | None:

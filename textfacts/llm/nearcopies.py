@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textfacts.llm.common import slices, table
+from textfacts.llm.common import slices, table, with_fields
 from textfacts.llm.components import connected
 from textfacts.session import materialise
 
@@ -319,7 +319,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
             keys = [_key(s) if len(s) else None for s in shingle_sets(part.column("text").to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, "__own"])
 
-    own = docs.mapInArrow(keyed, docs.schema.add("__own", "long"))
+    own = docs.mapInArrow(keyed, with_fields(docs.schema, __own="long"))
     match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key"))
     chosen = own.where("__own is not null").join(kept, match, "left_semi").dropDuplicates(["doc_id", "__own"])
     return chosen.unionByName(own.where("__own is null")).drop("__own")

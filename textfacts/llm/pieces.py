@@ -26,7 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from textfacts.llm.common import gathered, table
+from textfacts.llm.common import gathered, table, with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -148,7 +148,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids = pa.array(encoder.encode(part.column("text").to_pylist()), pa.list_(pa.int32()))
             yield from part.append_column("ids", ids).to_batches(max_chunksize=part.num_rows)
 
-    return kept.mapInArrow(run, kept.schema.add("ids", "array<int>"))
+    return kept.mapInArrow(run, with_fields(kept.schema, ids="array<int>"))
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -161,7 +161,7 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = pa.array([decode(x, shared.value) for x in part.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
-    return kept.mapInArrow(run, kept.schema.add("decoded", "string"))
+    return kept.mapInArrow(run, with_fields(kept.schema, decoded="string"))
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
