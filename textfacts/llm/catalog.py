@@ -6,6 +6,7 @@ from textfacts.llm.chat import OP3_SQL, op3_chat
 from textfacts.llm.decontaminate import op9_decontaminate
 from textfacts.llm.language import op5_language
 from textfacts.llm.nearcopies import op1_near_copies
+from textfacts.llm.neighbours import op6_neighbours
 from textfacts.llm.passages import op10_passages
 from textfacts.llm.pieces import op8_pieces
 from textfacts.llm.quality import op2_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_chat": op3_chat,
     "op4_warc": op4_warc,
     "op5_language": op5_language,
+    "op6_neighbours": op6_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_pieces": op8_pieces,
     "op9_decontaminate": op9_decontaminate,
