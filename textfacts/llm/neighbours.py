@@ -28,7 +28,7 @@ from textfacts.llm.common import table
 
 PROJECTIONS = 64
 COLLISIONS = 40
-VERIFIED, LEAST_VERIFIED = 0.3, 12
+VERIFIED, LEAST_VERIFIED = 0.36, 13
 FIRST_WIDTH, GROWTH = 0.7, 1.1
 INDEX_BLOCK, QUERY_BLOCK = 8192, 2048
 _MERGED_BLOCKS = 32
