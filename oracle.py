@@ -78,7 +78,7 @@ RAW = f"""raw as (
   select text as article, {joined('w[1:(3 * n) // 5]')} as summary,
     case when length(text) % 50 <> 0 then {joined('w[1:2 + n % 3]')} end as headline,
     lang as category, strftime(date '2020-01-01' + cast((n * 7) % 365 as int), '%Y-%m-%d') as date
-  from (select *, len(w) as n from (select *, {words('text')} as w from documents)) where n >= 4)"""
+  from (select *, len(w) as n from (select *, {words('text')} as w from documents)))"""
 
 
 def row_key(*columns: str) -> str:
@@ -101,22 +101,52 @@ labelled as (select *, case when p < a then 'train' when p < a + b then 'val' el
   (p < least(a, 1000)) or (p >= a and p < a + least(b, 200)) or (p >= a + b and p < a + b + 200) as small from sized)"""
 
 
-SPLIT = f"{CURATED}, capped as (select * from curated order by date nulls last, row_key limit {C.TARGET_ROWS}), " + split_cte(
-    "capped", "date nulls last, row_key"
-)
+SPLIT = f"{CURATED}, " + split_cte("curated", "date nulls last, row_key")
+
+
+
+def picked(terms, key: str) -> str:
+    return "[" + ", ".join(quoted(t) for t in terms) + f"][({key}) % {len(terms)} + 1]"
+
 
-PAIRS = f"""worded as (select *, len(w) as n from (select *, {words('text')} as w from documents)),
-sized as (select *, (2 * n + 4) // 5 as k from worded where n >= 5),
+def note(a: str, b: str, t: str) -> str:
+    """A sentence with dates and terms told by three numbers."""
+    return f"""('Dated ' || (({a}) % 28 + 1) || '/' || (({a}) % 12 + 1) || '/' || (({a}) % 30 + 1990)
+  || ' and ' || {picked(C.MONTHS, b)} || ' ' || (({b}) % 27 + 1) || ', ' || (({b}) % 40 + 1980)
+  || ' and ' || (({b}) % 26 + 1) || ' ' || {picked(C.MONTHS, f"({b}) + 1")} || ' ' || (({b}) % 50 + 1970)
+  || ', ' || {picked(C.VOCABULARY["titles"], t)} || ' of ' || {picked(C.VOCABULARY["political"], f"({t}) + 3")}
+  || ' in ' || {picked(C.VOCABULARY["admin"], t)} || ' gave ' || {picked(C.VOCABULARY["numbers"], t)} || '.')"""
+
+
+K = "doc_id"
+NOTED = f"noted as (select doc_id, coalesce(text, '') || ' ' || {note(K, K, K)} as text from documents)"
+PAIRS = f"""worded as (select *, len(w) as n, len(v) as m from (
+  select d.doc_id, d.lang, d.text as body, {words('d.text')} as w, {words("coalesce(o.text, '')")} as v
+  from documents d left join documents o on o.doc_id = d.doc_id + 1)),
+sized as (select *, (2 * n + 4) // 5 as k, (2 * m + 4) // 5 as l, body || ' ' || {note(K, K, K)} as source from worded),
+picks as (
+  select doc_id, lang, n, source, {joined('w[1:(3 * n + 4) // 5]')} as reference, s.system, s.picked, s.note
+  from sized, lateral (select unnest([
+    {{'system': 'lead', 'picked': {joined('w[1:k]')},
+      'note': case when doc_id % 4 <> 0 then ' ' || {note(K, K, K)} else '' end}},
+    {{'system': 'middle', 'picked': {joined('w[(3 * n) // 10 + 1:(3 * n) // 10 + k]')}, 'note': ' ' || {note(K, K + ' + 1', K)}}},
+    {{'system': 'tail', 'picked': {joined('w[n - k + 1:n]')},
+      'note': ' ' || case when doc_id % 3 = 0 then upper({note(K, K, K)}) else {note(K + ' + 1', K, K + ' + 1')} end}},
+    {{'system': 'borrowed', 'picked': {joined('v[1:l]')}, 'note': ' ' || {note(K + ' + 2', K + ' + 28', K + ' + 2')}}}]) as s)),
 pairs as (
-  select doc_id, lang, n, text as source, {joined('w[1:(3 * n + 4) // 5]')} as reference, s.system,
-    {joined('w[s.start:s.start + k - 1]')} as candidate
-  from sized, lateral (select unnest([{{'system': 'lead', 'start': 1}}, {{'system': 'middle', 'start': (3 * n) // 10 + 1}},
-    {{'system': 'tail', 'start': n - k + 1}}]) as s))"""
+  select * exclude (picked, note), picked || note as candidate,
+    case when length(picked) = 0 then 'empty article' when length(reference) = 0 then 'empty reference' end as error
+  from picks)"""
 
 SIMILARITY = """alike as (
   select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity
   from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"""
 
+ALIKE = """shifts(system, shift) as (values ('lead', 1), ('middle', 2), ('tail', 3), ('borrowed', 4)),
+alike as (
+  select a.vec_id as doc_id, system, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity
+  from embeddings a, shifts join embeddings b on b.vec_id = a.vec_id + shift)"""
+
 
 # --- scans and curation ----------------------------------------------------
 
@@ -197,9 +227,9 @@ select doc_id, model_name, lower(model_id) like '%led%' as long_context,
   (length(text) + case when lower(model_id) like '%t5%' then 11 else 0 end)::int as n_prompt_chars
 from documents, models"""
 
-ORACLES["dates_posthoc"] = f"select doc_id, {listed(date_lists('text'))} as dates from documents"
-ORACLES["dates_training"] = f"select doc_id, {listed(date_lists('text', year='word'))} as dates from documents"
-ORACLES["dates_full"] = f"select doc_id, {listed(date_lists('text', full=True))} as dates from documents"
+ORACLES["dates_posthoc"] = f"with {NOTED} select doc_id, {listed(date_lists('text'))} as dates from noted"
+ORACLES["dates_training"] = f"with {NOTED} select doc_id, {listed(date_lists('text', year='word'))} as dates from noted"
+ORACLES["dates_full"] = f"with {NOTED} select doc_id, {listed(date_lists('text', full=True))} as dates from noted"
 
 ORACLES["vocab_terms_substring"] = f"""with {VOCAB_CTE}
 select doc_id, coalesce(string_agg(term, '|' order by term), '') as terms
@@ -233,8 +263,8 @@ def mentions(text: str) -> str:
     return f"list_concat({', '.join(parts)})"
 
 
-ORACLES["entity_mentions"] = f"""select doc_id, m.type as type, m.text as mention, count(*) as n
-from (select doc_id, unnest({mentions('text')}) as m from documents) group by all"""
+ORACLES["entity_mentions"] = f"""with {NOTED} select doc_id, m.type as type, m.text as mention, count(*) as n
+from (select doc_id, unnest({mentions('text')}) as m from noted) group by all"""
 
 ORACLES["rouge_token_counts"] = f"""select doc_id, len({tokens('text')})::int as n_tokens,
   md5(coalesce(array_to_string({tokens('text')}, ' '), '')) as tokens_md5 from documents"""
@@ -280,14 +310,16 @@ select vec_id, round(similarity, 6) as similarity, round(1 - similarity, 6) as s
 ORACLES["semantic_flag"] = f"""with {SIMILARITY}
 select similarity >= 0.5 as agrees, count(*) as n_pairs from alike group by 1"""
 
-ORACLES["factuality_overall"] = f"""with {ENTITY}, {SIMILARITY}
-select doc_id, system, round(entity, 6) as entity, round(temporal, 6) as temporal, round(similarity, 6) as semantic,
-  round(0.4::double * entity + 0.3::double * temporal + 0.3::double * similarity, 6) as overall
-from scored left join alike on vec_id = doc_id"""
+for name, places in (("factuality_overall", 6), ("factuality_shown", 3)):
+    ORACLES[name] = f"""with {ENTITY}, {ALIKE}
+select doc_id, system, round(entity, {places}) as entity, round(temporal, {places}) as temporal,
+  round(similarity, {places}) as semantic,
+  round(0.4::double * entity + 0.3::double * temporal + 0.3::double * similarity, {places}) as overall
+from scored left join alike using (doc_id, system)"""
 
-LOSS_ROWS = f"""{LOSS}, {SIMILARITY}, parts as (
-  select doc_id, system, ((2 * n + 4) // 5)::double / n as ce, entity, temporal,
-    coalesce(1 - similarity, 0.0::double) as semantic from loss left join alike on vec_id = doc_id)"""
+LOSS_ROWS = f"""{LOSS}, {ALIKE}, parts as (
+  select doc_id, system, case when n > 0 then ((2 * n + 4) // 5)::double / n else 0.0::double end as ce, entity, temporal,
+    1 - similarity as semantic from loss left join alike using (doc_id, system))"""
 
 STAGES = ", ".join(
     f"({quoted(s)}, " + ", ".join(f"{w[c]}::double" for c in ("ce", "entity", "temporal", "semantic")) + ")"
@@ -295,7 +327,7 @@ STAGES = ", ".join(
 )
 
 ORACLES["stage_weighted_loss"] = f"""with {LOSS_ROWS}, stages(stage, a, b, c, d) as (values {STAGES})
-select doc_id, system, stage, round(a * ce + b * entity + c * temporal + d * semantic, 6) as total from parts, stages"""
+select doc_id, system, stage, round(a * ce + b * entity + c * temporal + d * coalesce(semantic, 0.0::double), 6) as total from parts, stages"""
 
 ORACLES["system_factuality"] = f"""with {LOSS}, t as (
   select doc_id, system, case when len(s) = 0 then 1.0::double else len(list_intersect(s, r))::double / len(s) end as temporal
@@ -304,6 +336,9 @@ select system, count(*) as n_pairs, round(avg(t.temporal), 6) as temporal, round
   round(avg(1 - entity), 6) as preservation
 from loss join t using (doc_id, system) group by system"""
 
+ORACLES["semantic_coverage"] = f"""with {LOSS_ROWS}
+select system, count(*) as n_pairs, count(semantic) as n_compared, round(avg(semantic), 6) as semantic_loss from parts group by system"""
+
 ORACLES["system_delta"] = f"""with {LOSS_ROWS}, m as (
   select 'entity_preservation' as metric, system, avg(1 - entity) * 100 as v from parts group by system
   union all select 'temporal_consistency', system, avg(1 - temporal) * 100 from parts group by system
@@ -333,15 +368,18 @@ def same(array: str) -> str:
     return array
 
 
-ROUGE1 = rouge_cte("rouge1", "doc_id, system", "pairs", same)
-ROUGE2 = rouge_cte("rouge2", "doc_id, system", "pairs", bigrams)
+GOOD = "good as (select * from pairs where error is null)"
+ROUGE1 = f'{GOOD}, {rouge_cte("rouge1", "doc_id, system", "good", same)}'
+ROUGE2 = rouge_cte("rouge2", "doc_id, system", "good", bigrams)
 
-ORACLES["rouge1"] = f"with {PAIRS}, {ROUGE1} select doc_id, system, round(rouge1, 9) as rouge1 from rouge1"
-ORACLES["rouge2"] = f"with {PAIRS}, {ROUGE2} select doc_id, system, round(rouge2, 9) as rouge2 from rouge2"
+ORACLES["rouge1"] = f"""with {PAIRS}, {ROUGE1}
+select doc_id, system, round(rouge1, 9) as rouge1 from pairs left join rouge1 using (doc_id, system)"""
+ORACLES["rouge2"] = f"""with {PAIRS}, {GOOD}, {ROUGE2}
+select doc_id, system, round(rouge2, 9) as rouge2 from pairs left join rouge2 using (doc_id, system)"""
 
 SCORED = f"""{PAIRS}, {ROUGE1}, {ROUGE2}, scored as (
-  select p.doc_id, p.lang, p.system, p.n, rouge1, rouge2 from pairs p join rouge1 using (doc_id, system)
-  join rouge2 using (doc_id, system))"""
+  select p.doc_id, p.lang, p.system, p.n, p.error, rouge1, rouge2 from pairs p left join rouge1 using (doc_id, system)
+  left join rouge2 using (doc_id, system))"""
 
 MEANS = """avg(rouge1) * 100 as rouge1_mean, stddev_pop(rouge1) * 100 as rouge1_std,
   avg(rouge2) * 100 as rouge2_mean, stddev_pop(rouge2) * 100 as rouge2_std"""
@@ -352,9 +390,9 @@ select system, round(rouge1_mean, 6) as rouge1_mean, round(rouge1_std, 6) as rou
 
 BOARD = f"""{SCORED}, board as (
   select row_number() over (order by rouge2_mean desc, model_name) as rank, * from (
-    select system as model_name, {MEANS}, (select count(*) from documents) as total_samples,
-      count(*) as successful_samples, (select count(*) from documents) - count(*) as failed_samples,
-      count(*)::double / (select count(*) from documents) * 100 as success_rate,
+    select system as model_name, {MEANS}, count(*) as total_samples,
+      count(*) filter (error is null) as successful_samples, count(*) filter (error is not null) as failed_samples,
+      count(*) filter (error is null)::double / count(*) * 100 as success_rate,
       round(sum(n)::double / 3600, 2) as time_hours
     from scored group by system))"""
 
@@ -523,7 +561,8 @@ from (select *, case when computed then (user_id % 10)::double / 10 else 0 end a
     case when computed then (user_id % 4)::double / 4 else 0 end as temporal,
     case when computed then (event_id % 7)::double / 7 else 0 end as semantic
   from (select *, case when event_type = 'view' then 'warmup' else event_type end as stage, day(ts)::int as epoch,
-    event_id as batch_idx, event_id % 10 = 0 and event_type <> 'view' as computed, value as ce from events)))"""
+    event_id as batch_idx, ends_with(event_id::varchar, '0') and event_type <> 'view' and user_id % 50 <> 0 as computed,
+    value as ce from events)))"""
 
 
 def epoch_means(part: str) -> str:

@@ -67,13 +67,16 @@ def rounded(df: DataFrame, columns: Sequence[str], places: int = 3) -> DataFrame
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
-def loss_parts(features: DataFrame, similarity: Column | str) -> DataFrame:
-    """Add entity, temporal and semantic losses to feature rows."""
+def loss_parts(features: DataFrame, similarity: Column | str, missing_as_zero: bool = True) -> DataFrame:
+    """Add entity, temporal and semantic losses to feature rows.
+
+    Without a similarity the semantic loss is 0, or null with ``missing_as_zero`` off.
+    """
     return features.withColumns(
         {
             "entity": fact.term_loss("summary_terms", "source_terms"),
             "temporal": fact.invented_date_loss("summary_date_words", "source_date_words"),
-            "semantic": fact.semantic_loss(similarity),
+            "semantic": fact.semantic_loss(similarity, missing_as_zero),
         }
     )
 
@@ -101,9 +104,8 @@ def terms_by_category(
     listed = df.sparkSession.createDataFrame(
         T.vocabulary_rows(vocabulary), "category string, term string"
     )
-    # per_term has at most one row per vocabulary term
     return (
-        listed.join(F.broadcast(per_term), "term", "left")
+        listed.join(per_term, "term", "left")
         .groupBy("category")
         .agg(
             F.count(F.lit(1)).alias("n_terms"),

@@ -3,8 +3,8 @@
 Heads, fixed-size samples and positional splits all come down to a few order
 statistics: the sort key at rank r.  Those keys are found from histograms of
 narrow key columns, and rows are then labelled by comparing their key with
-literals.  No row of text is shuffled, and no task ever holds one date: a
-date with very many rows is refined by the hashed tie-break key.
+literals.  No row of text is shuffled, and no task ever orders the rows or
+values of one date: keys are narrowed down a few characters at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from textfacts import constants as C
 
-DIRECT_ROWS = 100_000  # so many narrow keys are sorted by one task without more ado
-_BUCKET_DIGITS = 4
+_STEP_CHARS = 3  # 4,096 values of a hash, a thousand of a number
 _MERGE_GROUPS = 256
-_DAY_CHARS = 11  # the null marker and an ISO day
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -32,46 +30,54 @@ def _matches(names: Sequence[str], values: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(n) == F.lit(v) for n, v in zip(names, values)], F.lit(True))
 
 
-def rank_keys(
-    keys: DataFrame, ranks: Sequence[int], direct_rows: int = DIRECT_ROWS
-) -> dict[int, tuple[str, ...]]:
+def rank_keys(keys: DataFrame, ranks: Sequence[int]) -> dict[int, tuple[str, ...]]:
     """Key values at the given 1-based ranks, ordering by all columns in turn.
 
-    ``keys`` holds string columns from coarse to fine, each row's last column
-    unique.  Level by level, counts per value are taken only inside the values
-    that hold a wanted rank; each level is one aggregation that hands one row
-    per wanted rank to the driver.  Once those values hold no more than
-    ``direct_rows`` rows, their remaining levels are counted together.  Ranks
-    below 1 or past the end are left out.
+    ``keys`` holds string columns, no two rows alike.  A column is narrowed
+    down a few characters at a time: counts by those characters, taken only
+    inside what holds a wanted rank, tell which of them hold it, until one
+    value is left.  So no task ever orders more than the few characters'
+    values, however many rows or values a day has.  Each step is one
+    aggregation that hands one row per wanted rank to the driver.  Ranks below
+    1 or past the end are left out.
     """
-    levels = keys.columns
-    open_ranks = {r: ((), r) for r in ranks if r >= 1}
-    depth, deeper = 0, 1
-    while open_ranks and depth < len(levels):
-        prefix, fresh = levels[:depth], levels[depth:deeper]
-        wanted = sorted({p for p, _ in open_ranks.values()})
-        counts = (
-            keys.where(_any([_matches(prefix, p) for p in wanted]))
-            .groupBy(*prefix, *fresh)
-            .agg(F.count(F.lit(1)).alias("rows"))
-        )
-        running = W.partitionBy(*prefix).orderBy(*fresh).rowsBetween(W.unboundedPreceding, 0)
-        counts = counts.withColumn("upto", F.sum("rows").over(running))
-        holds = [
-            _matches(prefix, p) & (F.col("upto") >= left) & (F.col("upto") - F.col("rows") < left)
-            for p, left in sorted(set(open_ranks.values()))
-        ]
-        found = counts.where(_any(holds)).collect()
-        narrowed = {}
-        for rank, (p, left) in open_ranks.items():
-            for row in found:
-                before = row["upto"] - row["rows"]
-                if tuple(row[c] for c in prefix) == p and before < left <= row["upto"]:
-                    narrowed[rank] = (p + tuple(row[c] for c in fresh), left - before)
-        open_ranks = narrowed
-        depth = deeper
-        deeper = len(levels) if sum(row["rows"] for row in found) <= direct_rows else depth + 1
-    return {rank: values for rank, (values, _) in open_ranks.items()}
+    open_ranks = {r: ((), "", r) for r in ranks if r >= 1}
+    found = {}
+    while open_ranks:
+        depth, size = min((len(values), len(head)) for values, head, _ in open_ranks.values())
+        now = {r: s for r, s in open_ranks.items() if (len(s[0]), len(s[1])) == (depth, size)}
+        narrowed = _narrowed(keys, depth, size, now)
+        open_ranks = {r: s for r, s in {**open_ranks, **narrowed}.items() if r not in now or r in narrowed}
+        found |= {r: s[0] for r, s in open_ranks.items() if len(s[0]) == len(keys.columns)}
+        open_ranks = {r: s for r, s in open_ranks.items() if r not in found}
+    return found
+
+
+def _narrowed(keys: DataFrame, depth: int, size: int, open_ranks: dict) -> dict:
+    """States (values of whole columns, first characters of the next, rank inside them) one step on."""
+    whole, level = keys.columns[:depth], F.col(keys.columns[depth])
+    names = [*whole, "head"]
+    wanted = sorted({(*values, head) for values, head, _ in open_ranks.values()})
+    cut = keys.select(*whole, level.alias("value"), F.substring(level, 1, size).alias("head"))
+    counts = (
+        cut.where(_any([_matches(names, w) for w in wanted]))
+        .groupBy(*names, F.substring("value", 1, size + _STEP_CHARS).alias("part"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
+    )
+    running = W.partitionBy(*names).orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    counts = counts.withColumn("upto", F.sum("rows").over(running))
+    holds = [
+        _matches(names, w) & (F.col("upto") >= left) & (F.col("upto") - F.col("rows") < left)
+        for w, left in sorted({((*values, head), left) for values, head, left in open_ranks.values()})
+    ]
+    states = {}
+    for row in counts.where(_any(holds)).collect():
+        before = row["upto"] - row["rows"]
+        for rank, (values, head, left) in open_ranks.items():
+            if tuple(row[n] for n in names) == (*values, head) and before < left <= row["upto"]:
+                one = row["low"] == row["high"]
+                states[rank] = ((*values, row["low"]), "", left - before) if one else (values, row["part"], left - before)
+    return states
 
 
 def date_key(date: Column | str) -> Column:
@@ -92,19 +98,14 @@ def row_key(columns: Sequence[str]) -> Column:
 
 
 def _date_levels(df: DataFrame, date: str, tie_break: str) -> DataFrame:
-    return df.select(
-        F.substring(date_key(date), 1, _DAY_CHARS).alias("day"),
-        date_key(date).alias("date"),
-        F.substring(tie_break, 1, _BUCKET_DIGITS).alias("bucket"),
-        F.col(tie_break).alias("key"),
-    )
+    return df.select(date_key(date).alias("date"), F.col(tie_break).alias("key"))
 
 
 def _up_to(date: str, tie_break: str, cut: tuple[str, ...] | None) -> Column:
     """Is the row at or before the cut key?  No cut means no row is."""
     if cut is None:
         return F.lit(False)
-    _, cut_date, _, cut_key = cut
+    cut_date, cut_key = cut
     here = date_key(date)
     return (here < cut_date) | ((here == cut_date) & (F.col(tie_break) <= cut_key))
 
@@ -166,12 +167,10 @@ def positional_split(
 def take_first(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
     """The first ``rows`` rows in the order of unique key columns.
 
-    Only key columns are sorted; whole rows are kept by comparing their key
-    with the last one wanted.  Each input partition hands on ``rows`` keys at
+    Only key columns are sorted; whole rows are kept by their key.  Each input partition hands on ``rows`` keys at
     most, and those meet in a fixed number of groups before the last sort, so
     no task sees the keys of all partitions.  For small ``rows``.
     """
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     near = W.partitionBy("_group").orderBy(*order)
     keys = (
         df.select(*order)
@@ -179,8 +178,10 @@ def take_first(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
         .withColumn("_place", F.row_number().over(near))
         .where(F.col("_place") <= rows)
     )
-    last = keys.orderBy(*order).limit(rows).agg(F.max(key).alias("last"))
-    return df.where(key <= last.scalar())
+    # the place of a key among the wanted ones decides, so null keys, which sort first, are kept like any other
+    wanted = keys.orderBy(*order).limit(rows).select(*[F.col(c).alias(f"_{c}") for c in order])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order])
+    return df.join(wanted, same, "left_semi")
 
 
 def shuffle_key(id_column: str, *seeds: int) -> Column:
@@ -191,9 +192,7 @@ def shuffle_key(id_column: str, *seeds: int) -> Column:
 
 def seeded_sample(df: DataFrame, id_column: str, rows: int, seed: int = C.SAMPLE_SEED) -> DataFrame:
     """Exactly ``rows`` rows without replacement, the same for any partitioning."""
-    keys = df.select(shuffle_key(id_column, seed).alias("key")).select(
-        F.substring("key", 1, _BUCKET_DIGITS).alias("bucket"), "key"
-    )
+    keys = df.select(shuffle_key(id_column, seed).alias("key"))
     cut = rank_keys(keys, [rows]).get(rows)
     if cut is None:
         return df if rows > 0 else df.where(F.lit(False))

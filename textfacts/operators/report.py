@@ -62,16 +62,20 @@ def length_aggregates() -> list[Column]:
 
 
 def time_aggregates() -> list[Column]:
-    """Total and mean generation seconds over the rows that were timed."""
+    """Total and mean generation seconds over the rows that were timed; null if none was."""
     return [
-        (F.coalesce(F.sum("duration_ms"), F.lit(0.0)) / 1000).alias("evaluation_time_seconds"),
-        (F.coalesce(F.avg("duration_ms"), F.lit(0.0)) / 1000).alias("time_per_sample"),
+        (F.sum("duration_ms") / 1000).alias("evaluation_time_seconds"),
+        (F.avg("duration_ms") / 1000).alias("time_per_sample"),
     ]
 
 
 def run_aggregates(results: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """One row per model with counts, scores, times and lengths, in one aggregation."""
+    """One row per model with date, counts, scores, times and lengths, in one aggregation.
+
+    The evaluation date is the day of the newest run that the rows came from.
+    """
     return results.groupBy("model_name", "model_id").agg(
+        F.date_format(F.to_date(F.substring(F.max("run_id"), 1, 8), "yyyyMMdd"), "yyyy-MM-dd").alias("evaluation_date"),
         *success_aggregates(),
         *score_aggregates(metrics),
         *time_aggregates(),
@@ -197,11 +201,12 @@ def epoch_means(
 
 
 def latest_checkpoint(paths: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
-    """The path with the greatest step number, per group."""
+    """The path with the greatest step number, per group; of equal steps the path that sorts last."""
     step = F.regexp_extract(path, CHECKPOINT_STEP, 1).try_cast("long")
     return (
         paths.select(*by, F.col(path), step.alias("step"))
         .where("step is not null")
         .groupBy(*by)
-        .agg(F.max_by(path, "step").alias(path), F.max("step").alias("step"))
+        .agg(F.max(F.struct("step", path)).alias("last"))
+        .select(*by, F.col("last")[path].alias(path), "last.step")
     )

@@ -18,6 +18,7 @@ from textfacts.operators.factuality import (
     add_source_features,
     consistency_scores,
     loss_parts,
+    rounded,
     staged_losses,
     terms_by_category,
 )
@@ -25,7 +26,7 @@ from textfacts.operators.grouping import concat_documents
 from textfacts.plans import views
 from textfacts.plans.curation import curated_articles, split_articles
 from textfacts.plans.evaluation import run_evaluation
-from textfacts.session import work_path
+from textfacts.session import materialise, work_path
 from textfacts.sources import results as res
 from textfacts.sources import tables
 
@@ -187,7 +188,7 @@ def model_flags(spark, folder):
 
 
 def _dates(spark, folder, **options):
-    return views.documents(spark, folder).select(
+    return views.noted_documents(spark, folder).select(
         "doc_id", listed(T.date_mentions("text", **options)).alias("dates")
     )
 
@@ -229,7 +230,7 @@ def vocab_by_category(spark, folder):
 
 @register
 def entity_mentions(spark, folder):
-    found = views.documents(spark, folder).select(
+    found = views.noted_documents(spark, folder).select(
         "doc_id", F.explode(T.typed_mentions("text", GAZETTEER)).alias("m")
     )
     return found.groupBy("doc_id", F.col("m.type").alias("type"), F.col("m.text").alias("mention")).agg(
@@ -250,7 +251,7 @@ def rouge_token_counts(spark, folder):
 
 def feature_pairs(spark, folder, *features):
     """Pairs with the features asked for; the article's are made once, before its summaries."""
-    docs = add_source_features(views.documents(spark, folder), "text", features=features)
+    docs = add_source_features(views.pair_documents(spark, folder), "text", features=features)
     made = add_features(views.pairs(docs), "candidate", "summary", features=features)
     wanted = [f"{side}_{f}" for f in features for side in ("source", "summary")]
     return made.select("doc_id", "system", "n", *wanted)
@@ -258,8 +259,7 @@ def feature_pairs(spark, folder, *features):
 
 def with_similarity(df, spark, folder):
     """Similarities join on narrow rows, after the texts have become scores."""
-    known = views.similarities(spark, folder).withColumnRenamed("vec_id", "doc_id")
-    return df.join(known, "doc_id", "left")
+    return df.join(views.system_similarities(spark, folder), ["doc_id", "system"], "left")
 
 
 @register
@@ -309,20 +309,31 @@ def semantic_flag(spark, folder):
     return flagged.groupBy("agrees").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+CONSISTENCIES = ("entity", "temporal", "semantic", "overall")
+
+
+def _consistencies(spark, folder):
+    features = feature_pairs(spark, folder, "dates", "mentions")
+    return consistency_scores(with_similarity(features, spark, folder), "similarity")
+
+
 @register
 def factuality_overall(spark, folder):
-    scored = consistency_scores(
-        with_similarity(feature_pairs(spark, folder, "dates", "mentions"), spark, folder), "similarity"
-    )
-    return scored.select(
-        "doc_id", "system", *[F.round(c, 6).alias(c) for c in ("entity", "temporal", "semantic", "overall")]
-    )
+    scored = _consistencies(spark, folder)
+    return scored.select("doc_id", "system", *[F.round(c, 6).alias(c) for c in CONSISTENCIES])
 
 
-def _loss_rows(spark, folder):
+@register
+def factuality_shown(spark, folder):
+    """The scores as they are shown."""
+    return rounded(_consistencies(spark, folder).select("doc_id", "system", *CONSISTENCIES), CONSISTENCIES)
+
+
+def _loss_rows(spark, folder, missing_as_zero=True):
     features = with_similarity(feature_pairs(spark, folder, "date_words", "terms"), spark, folder)
     words = F.floor((2 * F.col("n") + 4) / 5)
-    return loss_parts(features.withColumn("ce", words / F.col("n")), "similarity")
+    share = F.when(F.col("n") > 0, words / F.col("n")).otherwise(0.0)
+    return loss_parts(features.withColumn("ce", share), "similarity", missing_as_zero)
 
 
 @register
@@ -344,10 +355,20 @@ def system_factuality(spark, folder):
     )
 
 
+@register
+def semantic_coverage(spark, folder):
+    """How many of a system's summaries have a similarity, and their mean."""
+    rows = _loss_rows(spark, folder, missing_as_zero=False)
+    return rows.groupBy("system").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count("semantic").alias("n_compared"),
+        F.round(F.avg("semantic"), 6).alias("semantic_loss"),
+    )
+
+
 @register
 def system_delta(spark, folder):
     compared = report.system_comparison(
-        _loss_rows(spark, folder), "system",
+        _loss_rows(spark, folder, missing_as_zero=False), "system",
         {"entity_preservation": "entity", "temporal_consistency": "temporal", "semantic_fidelity": "semantic"},
         baseline="tail", proposed="lead",
     )
@@ -358,10 +379,12 @@ def system_delta(spark, folder):
 
 
 def scored_pairs(spark, folder, metrics=("rouge1", "rouge2"), stemmed=False):
-    made = views.pairs(views.documents(spark, folder)).withColumn(
-        "scores", rouge("reference", "candidate", metrics, stemmed)
+    """Scores of all pairs; rows without a text to compare keep their status and have no score."""
+    reference = F.when(F.col("status") == "ok", F.col("reference"))
+    made = views.pairs(views.pair_documents(spark, folder)).withColumn(
+        "scores", rouge(reference, "candidate", metrics, stemmed)
     )
-    return made.select("doc_id", "lang", "system", "n", *[F.col("scores")[m].alias(m) for m in metrics])
+    return made.select("doc_id", "lang", "system", "n", "status", *[F.col("scores")[m].alias(m) for m in metrics])
 
 
 @register
@@ -392,21 +415,13 @@ def system_scores(spark, folder):
 
 
 def system_board(spark, folder):
-    """Score rows per system; texts too short for a summary count as failed samples."""
-    scored = scored_pairs(spark, folder)
-    total = views.documents(spark, folder).agg(F.count(F.lit(1)))
-    rows = scored.groupBy(F.col("system").alias("model_name")).agg(
-        F.count(F.lit(1)).alias("successful_samples"),
+    """Score rows per system, as if every word of the document had taken a second."""
+    rows = scored_pairs(spark, folder).groupBy(F.col("system").alias("model_name")).agg(
         F.sum("n").alias("seconds"),
+        *report.success_aggregates(),
         *report.score_aggregates(("rouge1", "rouge2")),
     )
-    return (
-        rows.withColumn("total_samples", total.scalar())
-        .withColumn("failed_samples", F.col("total_samples") - F.col("successful_samples"))
-        .withColumn("success_rate", F.col("successful_samples") / F.col("total_samples") * 100)
-        .withColumn("time_hours", report.hours("seconds"))
-        .drop("seconds")
-    )
+    return rows.withColumn("time_hours", report.hours("seconds")).drop("seconds")
 
 
 BOARD_COLUMNS = (
@@ -465,7 +480,8 @@ def write_leaderboard(spark, folder):
 def domain_shift_drop(spark, folder):
     """Scores on the other languages against those on English, the change in percent."""
     scored = scored_pairs(spark, folder).withColumn("home", F.col("lang") == "en")
-    means = scored.groupBy("home", "system").agg(F.avg("rouge2").alias("rouge2"))
+    # a few rows, stored so that the texts are scored once for both sides
+    means = materialise(scored.groupBy("home", "system").agg(F.avg("rouge2").alias("rouge2")), "means")
     compared = report.against_published(
         means.where(~F.col("home")), means.where("home"), "system", "rouge2"
     )

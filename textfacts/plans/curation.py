@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from textfacts import constants as C
 from textfacts.operators import curation
 from textfacts.operators.ordering import first_by_date, positional_split
 from textfacts.session import materialise
@@ -21,11 +20,11 @@ def curated_articles(raw: DataFrame, cap: int | None = None) -> DataFrame:
     return table if cap is None else first_by_date(table, "date", "row_key", cap)
 
 
-def split_articles(raw: DataFrame, cap: int | None = C.TARGET_ROWS) -> DataFrame:
-    """Curated articles with ``split`` and ``small``."""
+def split_articles(raw: DataFrame, cap: int | None = None) -> DataFrame:
+    """Curated articles with ``split`` and ``small``; ``cap`` keeps only the first rows by date."""
     return positional_split(curated_articles(raw), "date", "row_key", cap)
 
 
-def prepare_dataset(raw: DataFrame, path: str, cap: int | None = C.TARGET_ROWS) -> None:
+def prepare_dataset(raw: DataFrame, path: str, cap: int | None = None) -> None:
     """Curate, split and write the dataset."""
     write_splits(split_articles(raw, cap), path)

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textfacts import constants as C
 from textfacts.functions import text as T
 from textfacts.functions.vectors import cosine
 from textfacts.operators.columns import with_columns_once
-from textfacts.sources.tables import scan, spread
+from textfacts.operators.grid import with_status
+from textfacts.sources.tables import scan
 
-MIN_PAIR_WORDS = 5
+#: How far from its own id a system's summary looks for the vector it is compared by.
+SYSTEM_SHIFTS = {"lead": 1, "middle": 2, "tail": 3, "borrowed": 4}
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(scan(spark, folder, "documents"), "doc_id")
+    return scan(spark, folder, "documents")
 
 
 def with_words(df: DataFrame) -> DataFrame:
@@ -27,7 +30,7 @@ def raw_articles(spark: SparkSession, folder: str) -> DataFrame:
 
     Nothing in a row depends on the document's id, so copied texts are copied rows.
     """
-    split = with_words(documents(spark, folder).select("text", "lang")).where("n >= 4")
+    split = with_words(documents(spark, folder).select("text", "lang"))
     summary = F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n) div 5 as int)")), " ")
     headline = F.array_join(F.slice("w", F.lit(1), F.expr("2 + n % 3")), " ")
     made = with_columns_once(split, {"human_summary": summary, "headline": headline})
@@ -40,41 +43,105 @@ def raw_articles(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def candidates(df: DataFrame) -> DataFrame:
-    """Three summaries per text with words ``w`` and their number ``n``.
+def note(first: Column, second: Column, terms: Column) -> Column:
+    """A sentence with dates in every written form and vocabulary terms, all told by three numbers."""
 
-    Each system picks two fifths of the words: the first, a middle stretch
-    that starts after three tenths, or the last ones.  One scan makes all
-    three, so the source is read and analysed once.
+    def number(key: Column, size: int, start: int) -> Column:
+        return (F.pmod(key, F.lit(size)) + start).cast("string")
+
+    def pick(values, key: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+
+    parts = [
+        "Dated ", number(first, 28, 1), "/", number(first, 12, 1), "/", number(first, 30, 1990),
+        " and ", pick(C.MONTHS, second), " ", number(second, 27, 1), ", ", number(second, 40, 1980),
+        " and ", number(second, 26, 1), " ", pick(C.MONTHS, second + 1), " ", number(second, 50, 1970),
+        ", ", pick(C.VOCABULARY["titles"], terms), " of ", pick(C.VOCABULARY["political"], terms + 3),
+        " in ", pick(C.VOCABULARY["admin"], terms), " gave ", pick(C.VOCABULARY["numbers"], terms), ".",
+    ]
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def noted_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as ``body``, and ``text``: the body and a note.
+
+    The corpus itself holds few dates and terms; the note gives every document some.
     """
-    size = "cast((2 * n + 4) div 5 as int)"
-    starts = {"lead": "1", "middle": "cast((3 * n) div 10 as int) + 1", "tail": "n - size + 1"}
-    names = F.array(*[F.lit(name) for name in starts])
-    start = F.coalesce(*[F.when(F.col("system") == name, F.expr(at)) for name, at in starts.items()])
-    made = df.select("*", F.explode(names).alias("system"), F.expr(size).alias("size"))
-    candidate = F.array_join(F.slice("w", F.greatest(start, F.lit(1)), F.col("size")), " ")
-    return made.withColumn("candidate", candidate).drop("size")
+    key = F.col("doc_id")
+    docs = documents(spark, folder).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("body"))
+    return docs.withColumn("text", F.concat_ws(" ", "body", note(key, key, key)))
+
+
+def pair_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Noted documents with the next document's text as ``other``."""
+    following = documents(spark, folder).select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    joined = noted_documents(spark, folder).join(following, "doc_id", "left")
+    return joined.withColumn("other", F.coalesce("other", F.lit("")))
 
 
 def pairs(df: DataFrame) -> DataFrame:
-    """(document, system) rows with ``reference`` (the first three fifths) and ``candidate``."""
-    long_enough = with_words(df).where(F.col("n") >= MIN_PAIR_WORDS)
+    """(document, system) rows with ``reference`` (the body's first three fifths) and ``candidate``.
+
+    Each system picks two fifths of the words: the first, a middle stretch that starts after three tenths, the last
+    ones, or the first of another document.  Notes follow that agree with the document's own wholly, in some dates, in
+    some terms, but for the case of the letters, or not at all; every fourth first stretch has none.  ``n`` counts the
+    body's words, ``error`` tells rows without a text to compare.
+    """
+    size = "cast((2 * n + 4) div 5 as int)"
+    key = F.col("doc_id")
+
+    def stretch(start: str, words: str = "w", count: str = size) -> Column:
+        return F.array_join(F.slice(words, F.greatest(F.expr(start), F.lit(1)), F.expr(count)), " ")
+
+    notes = {
+        "lead": F.when(key % 4 != 0, note(key, key, key)),
+        "middle": note(key, key + 1, key),
+        "tail": F.when(key % 3 == 0, F.upper(note(key, key, key))).otherwise(note(key + 1, key, key + 1)),
+        "borrowed": note(key + 2, key + 28, key + 2),
+    }
+    stretches = {
+        "lead": stretch("1"),
+        "middle": stretch("cast((3 * n) div 10 as int) + 1"),
+        "tail": stretch(f"n - {size} + 1"),
+        "borrowed": stretch("1", "v", "cast((2 * size(v) + 4) div 5 as int)"),
+    }
+    made = F.array(
+        *[
+            F.struct(F.lit(s).alias("system"), stretches[s].alias("picked"), F.concat_ws(" ", stretches[s], notes[s]).alias("candidate"))
+            for s in SYSTEM_SHIFTS
+        ]
+    )
+    split = with_columns_once(df, {"w": T.words("body"), "v": T.words("other")}).withColumn("n", F.size("w"))
     reference = F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n + 4) div 5 as int)")), " ")
-    return candidates(long_enough.withColumn("reference", reference)).drop("w")
+    kept = [c for c in df.columns if c not in ("body", "other")]
+    rows = split.select(*kept, "n", reference.alias("reference"), F.inline(made))
+    return with_status(rows, "picked", "reference").drop("picked")
 
 
 def similarities(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine of each embedding with the one of the next id, keyed by the first's id."""
-    vectors = spread(scan(spark, folder, "embeddings"), "vec_id")
+    vectors = scan(spark, folder, "embeddings")
     other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return vectors.join(other, "vec_id").select("vec_id", cosine("embedding", "other").alias("similarity"))
 
 
+def system_similarities(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, system, similarity): the document's vector against another one for every system."""
+    vectors = scan(spark, folder, "embeddings")
+    shifts = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(k).alias("shift")) for s, k in SYSTEM_SHIFTS.items()])
+    other = vectors.select("vec_id", F.col("embedding").alias("other"), F.inline(shifts))
+    other = other.select((F.col("vec_id") - F.col("shift")).alias("vec_id"), "system", "other")
+    return vectors.join(other, "vec_id").select(
+        F.col("vec_id").alias("doc_id"), "system", cosine("embedding", "other").alias("similarity")
+    )
+
+
 def loss_log(spark: SparkSession, folder: str) -> DataFrame:
     """Events read as a training log: the type is the stage, the day the epoch."""
     events = scan(spark, folder, "events")
     stage = F.when(F.col("event_type") == "view", "warmup").otherwise(F.col("event_type"))
-    due = (F.col("event_id") % 10 == 0) & (F.col("event_type") != "view")
+    # what the run says it computed: by the last digit of the id, and it forgot every user of a multiple of 50
+    due = F.col("event_id").cast("string").endswith("0") & (F.col("event_type") != "view") & (F.col("user_id") % 50 != 0)
 
     def part(column: str, steps: int):
         return F.when(due, (F.col(column) % steps) / steps).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -74,31 +74,38 @@ def model_predictions(
 
 
 def write_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Score rows as JSON, a folder per model."""
-    scores.withColumn("folder", slug("model_name")).write.mode(mode).partitionBy("folder").json(path)
+    """Score rows as JSON lines, a folder per model.
+
+    Two models whose names make the same folder are refused, not mixed.
+    """
+    folder = slug("model_name")
+    clash = scores.select("model_name", folder.alias("folder")).distinct().groupBy("folder").agg(
+        F.count(F.lit(1)).alias("names"), F.array_join(F.array_sort(F.collect_list("model_name")), ", ").alias("models")
+    )
+    found = clash.where("names > 1").first()
+    if found:
+        raise ValueError(f"models share the folder {found['folder']}: {found['models']}")
+    scores.withColumn("folder", folder).write.mode(mode).partitionBy("folder").json(path)
 
 
 def read_scores(spark: SparkSession, path: str, files: str = "*.json") -> DataFrame:
-    """Score files below a folder, one per model, with the folder each came from.
+    """Score files below a folder, with the folder each came from.
 
-    Reads both what :func:`write_scores` wrote and one indented JSON object per
-    model folder.
+    Reads what :func:`write_scores` wrote, all lines of it, and files that hold one indented JSON object: every file is
+    one text, cut where an object ends and the next begins.
     """
 
     def load() -> DataFrame:
-        return (
-            spark.read.schema(SCORE_SCHEMA)
-            .option("multiLine", True)
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", files)
-            .json(path)
-        )
+        options = {"wholetext": True, "recursiveFileLookup": True, "pathGlobFilter": files}
+        return spark.read.options(**options).text(path).select("value", "_metadata.file_path")
 
-    found = _or_empty(spark, SCORE_SCHEMA + ", folder string", load)
-    if "folder" in found.columns:
-        return found
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/[^/]*$", 1)
-    return found.withColumn("folder", folder)
+    found = _or_empty(spark, "value string, file_path string", load)
+    objects = F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")
+    # nested objects are followed by a comma or a bracket, never by another object's start
+    one = found.select("file_path", F.explode(objects).alias("value")).where("trim(value) <> ''")
+    rows = one.select(F.from_json("value", SCORE_SCHEMA).alias("row"), "file_path")
+    folder = F.regexp_extract("file_path", r"([^/=]+)/[^/]*$", 1)
+    return rows.select("row.*", folder.alias("folder"))
 
 
 def model_scores(spark: SparkSession, path: str, model_name: str) -> DataFrame:
@@ -107,11 +114,11 @@ def model_scores(spark: SparkSession, path: str, model_name: str) -> DataFrame:
 
 
 def run_summary(
-    scores: DataFrame, failed: DataFrame, date: str, author: str, test_samples: int
+    scores: DataFrame, failed: DataFrame, date: str, author: str, test_samples: int | Column
 ) -> DataFrame:
     """One nested row: run metadata, the score rows, the names of failed models.
 
-    Both inputs hold one row per model.
+    Both inputs hold one row per model; ``test_samples`` may be a scalar subquery.
     """
     results = scores.agg(
         F.array_sort(F.collect_list(F.struct(*scores.columns))).alias("results")
@@ -125,7 +132,7 @@ def run_summary(
             F.lit(author).alias("author"),
             F.size("results").alias("num_models_evaluated"),
             F.size("failed_models").alias("num_models_failed"),
-            F.lit(test_samples).alias("test_samples"),
+            (test_samples if isinstance(test_samples, Column) else F.lit(test_samples)).alias("test_samples"),
         ).alias("experiment_metadata"),
         "results",
         "failed_models",

@@ -16,20 +16,6 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a small scan one filled partition per core.
-
-    A file is read by one task per row group, however many splits it is cut
-    into, so a table of one file would keep one core busy.  Scans with more
-    than two splits per core hold full-sized splits of a large table; they are
-    left as they are and never pay for this shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if cores == 1 or df.rdd.getNumPartitions() > 2 * cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def capped(df: DataFrame, order: list[str], rows: int = C.TEST_ROWS) -> DataFrame:
     """The first ``rows`` rows in key order."""
     return take_first(df, order, rows)
@@ -39,7 +25,9 @@ def articles_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     """Article CSV with a header and quoted multi-line text, every column a string.
 
     The schema is given, never inferred: a file is read once.  Values are kept
-    as written, so empty strings stay apart from missing values.
+    as written, so empty strings stay apart from missing values.  Quoted line
+    breaks keep a file from being split, so one file is one task: turn a large
+    export into a table once, with ``articles_csv(...).write.parquet(...)``.
     """
     schema = ", ".join(f"`{name}` string" for name in columns)
     return (
