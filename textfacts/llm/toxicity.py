@@ -37,6 +37,7 @@ MIN_DEVIATION = 5.0
 MIN_DOCUMENTS = 3
 NEIGHBOURS = 15
 BLOCK = 32
+_BLOCKS_AT_ONCE = 4
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -52,48 +53,46 @@ def term_counts(text: str | None, wanted: frozenset[str] | dict[str, int] | None
 
 
 class BlockMaxIndex:
-    """Unit vectors by example, found again by exact cosine."""
+    """Unit vectors by example, found again by exact cosine.
+
+    ``postings[t, b]`` has the weights of term t in the examples of block b, ``maxima[t, b]`` the largest of them.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], ids: list[int], terms: int, block: int = BLOCK):
         # examples with the same heaviest terms side by side make blocks whose maxima say much
         order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:2], ids[i]))
         self.order = order
-        self.ids = np.array([ids[i] for i in order], np.int64)
+        blocks = -(-len(ids) // block)
+        self.ids = np.full(blocks * block, -1, np.int64)
+        self.ids[: len(ids)] = [ids[i] for i in order]
         self.block = block
-        self.blocks = -(-len(ids) // block)
-        self.postings, self.starts = [], []
-        self.maxima = np.zeros((terms, self.blocks))
-        by_term: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
+        self.postings = np.zeros((terms, blocks, block))
         for place, i in enumerate(order):
             for t, w in vectors[i].items():
-                by_term[t].append((place, w))
-        for t, found in enumerate(by_term):
-            places = np.array([p for p, _ in found], np.int64)
-            weights = np.array([w for _, w in found])
-            self.postings.append((places, weights))
-            self.starts.append(np.searchsorted(places, np.arange(self.blocks + 1) * block))
-            np.maximum.at(self.maxima[t], places // block, weights)
+                self.postings[t, place // block, place % block] = w
+        self.maxima = self.postings.max(axis=2, initial=0.0)
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[int, float]]:
         """(place, cosine) of the ``k`` nearest examples with a positive cosine, nearest first."""
-        terms = list(query)
-        bound = np.array([query[t] for t in terms]) @ self.maxima[terms]
-        found: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(found) >= k and bound[b] < -found[k - 1][0] - 1e-9:
+        terms, weights = np.array(list(query)), np.array(list(query.values()))
+        bound = weights @ self.maxima[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        sums, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
+        for at in range(0, len(order), _BLOCKS_AT_ONCE):
+            some = order[at : at + _BLOCKS_AT_ONCE]
+            if bound[some[0]] < least - 1e-9:
                 break
-            sums = np.zeros(self.block)
-            for t in terms:
-                a, z = self.starts[t][b], self.starts[t][b + 1]
-                if a < z:
-                    places, weights = self.postings[t]
-                    sums[places[a:z] - b * self.block] += query[t] * weights[a:z]
-            for j in np.flatnonzero(sums > 0):
-                place = int(b) * self.block + int(j)
-                if self.ids[place] != without:
-                    found.append((-round(float(sums[j]), 12), int(self.ids[place]), place))
-            found = sorted(found)[:k]
-        return [(place, -s) for s, _, place in found]
+            new = np.einsum("t,tbe->be", weights, self.postings[terms[:, None], some]).ravel()
+            where = (some[:, None] * self.block + np.arange(self.block)).ravel()
+            good = (new > 0) & (new >= least - 1e-9)
+            if without is not None:
+                good &= self.ids[where] != without
+            sums, places = np.concatenate([sums, new[good]]), np.concatenate([places, where[good]])
+            if len(sums) >= k:
+                least = np.partition(sums, len(sums) - k)[len(sums) - k]
+        best = np.lexsort((self.ids[places], -np.round(sums, 12)))[:k]
+        return list(zip(places[best].tolist(), sums[best].tolist(), strict=True))
 
 
 @dataclass
@@ -151,7 +150,7 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> dict[str, int]:
             seen = (Counter(), Counter())
             for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
                 seen[toxic].update(term_counts(text).keys())
-            terms = list(seen[1])  # a term that no toxic document has cannot be chosen
+            terms = list(seen[0] | seen[1])
             if terms:
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[0][t] for t in terms], pa.int64()), pa.array([seen[1][t] for t in terms], pa.int64())], ["term", "other", "toxic"])
 
