@@ -372,6 +372,28 @@ GOOD = "good as (select * from pairs where error is null)"
 ROUGE1 = f'{GOOD}, {rouge_cte("rouge1", "doc_id, system", "good", same)}'
 ROUGE2 = rouge_cte("rouge2", "doc_id, system", "good", bigrams)
 
+
+
+def lcs_cte(name: str, keys: str, source: str) -> str:
+    """F-measure from the longest common subsequence of tokens.
+
+    It is the longest rising run through the matching places, taken by the reference's place and, at equal ones, from
+    the last of the candidate's; a list holds the smallest end of a run of each length.
+    """
+    return f"""{name}_t as (select {keys}, {tokens('reference')} as rt, {tokens('candidate')} as ct from {source}),
+{name}_r as (select {keys}, unnest(rt) as g, unnest(range(1, len(rt) + 1)) as i from {name}_t),
+{name}_c as (select {keys}, g, list([j] order by j desc) as js from (
+  select {keys}, unnest(ct) as g, unnest(range(1, len(ct) + 1)) as j from {name}_t) group by all),
+{name}_m as (select {keys}, flatten(list(js order by i)) as places from {name}_r join {name}_c using ({keys}, g) group by {keys}),
+{name}_l as (select {keys}, len(list_reduce(places, lambda ends, j: list_concat(
+    list_filter(ends, lambda e: e < j[1]), j, list_filter(ends, lambda e: e >= j[1])[2:]), [])) as o from {name}_m),
+{name}_p as (select {keys}, coalesce(o, 0)::double / greatest(len(ct), 1) as p, coalesce(o, 0)::double / greatest(len(rt), 1) as r
+  from {name}_t left join {name}_l using ({keys})),
+{name} as (select {keys}, case when p + r > 0 then 2 * p * r / (p + r) else 0.0::double end as {name} from {name}_p)"""
+
+
+ORACLES["rougeL"] = f"""with {PAIRS}, {GOOD}, {lcs_cte("rougel", "doc_id, system", "good")}
+select doc_id, system, round(rougel, 9) as "rougeL" from pairs left join rougel using (doc_id, system)"""
 ORACLES["rouge1"] = f"""with {PAIRS}, {ROUGE1}
 select doc_id, system, round(rouge1, 9) as rouge1 from pairs left join rouge1 using (doc_id, system)"""
 ORACLES["rouge2"] = f"""with {PAIRS}, {GOOD}, {ROUGE2}
@@ -521,38 +543,58 @@ ORACLES["missing_models"] = f"""with {MODELS_CTE}, {FINISHED}
 select model_name, model_id from models where model_name not in (select model_name from finished)"""
 
 ORACLES["eval_generate"] = f"""with {SAMPLES}, s as (select *, {STATUS} as problem, {words('article')} as w from samples),
-g as (select *, coalesce(problem, case when len(w) < 30 then 'ValueError: text too short' end) as error from s)
+g as (select *, coalesce(problem, case when sample_id % 10 = 3 then 'model not loaded: LookupError: unknown'
+  when len(w) < 30 then 'ValueError: text too short' end) as error from s)
 select sample_id, case when error is null then 'ok' else 'failed' end as status, error,
   case when error is null then md5({joined('w[1:30]')}) end as summary_md5 from g"""
 
-RUN = f"""{SAMPLES}, prompted as (
-  select m.model_name, sample_id, lang, {STATUS} as error, summary as reference,
-    {words("case when m.model_name = 'T5-Base' then 'summarize: ' || article else article end")} as w
-  from samples, (values ('BART-Base'), ('T5-Base')) m(model_name)),
+RUN = f"""{MODELS_CTE}, {SAMPLES}, prompted as (
+  select m.model_name, m.model_id, sample_id, lang, {STATUS} as error, summary as reference,
+    {words("case when lower(m.model_id) like '%t5%' then 'summarize: ' || article else article end")} as w
+  from samples, models m),
 good as (select model_name, sample_id, reference, {LEAD_SQL} as candidate from prompted where error is null),
 {rouge_cte('rouge1', 'model_name, sample_id', 'good', same)},
-{rouge_cte('rouge2', 'model_name, sample_id', 'good', bigrams)}"""
+{rouge_cte('rouge2', 'model_name, sample_id', 'good', bigrams)}, {lcs_cte('rougel', 'model_name, sample_id', 'good')}"""
 
 ORACLES["eval_resume"] = f"""with {RUN}, j as (
-  select p.model_name, p.error, rouge1, rouge2 from prompted p left join rouge1 using (model_name, sample_id)
-  left join rouge2 using (model_name, sample_id))
+  select p.model_name, p.error, rouge1, rouge2, rougel from prompted p left join rouge1 using (model_name, sample_id)
+  left join rouge2 using (model_name, sample_id) left join rougel using (model_name, sample_id))
 select model_name, {SUCCESS}, round(avg(rouge1) * 100, 6) as rouge1_mean, round(stddev_pop(rouge1) * 100, 6) as rouge1_std,
   round(avg(rouge2) * 100, 6) as rouge2_mean, round(stddev_pop(rouge2) * 100, 6) as rouge2_std,
+  round(avg(rougel) * 100, 6) as "rougeL_mean", round(stddev_pop(rougel) * 100, 6) as "rougeL_std",
   count(*) as n_stored, 2::bigint as n_runs from j group by model_name"""
 
-ORACLES["eval_score_files"] = f"""with {MODELS_CTE}, {RUN}
+ORACLES["eval_events"] = f"""with {SAMPLES}, r as (
+  select *, lang || '-' || (sample_id % 50) as event, row_number() over (partition by lang, sample_id % 50 order by sample_id) as p
+  from samples),
+joined as (select event as sample_id, string_agg(article, E'\\n\\n[DOCUMENT]\\n\\n' order by p) filter (p <= 5) as article,
+  min(summary) filter (p = 1) as summary from r group by event),
+checked as (select *, {STATUS} as error, 'summarize: ' || article as prompted from joined),
+made as (select *, {words('prompted')} as w from checked),
+good as (select sample_id, summary as reference, {LEAD_SQL} as candidate from made where error is null),
+{rouge_cte('rouge1', 'sample_id', 'good', same)}
+select m.sample_id, case when error is null then 'ok' else 'failed' end as status,
+  substring(prompted, 1, 200) || '...' as article_preview, least(len(w), 1024)::bigint as input_length,
+  least(len(w), 1024)::bigint as padded_length, md5(g.candidate) as summary_md5, round(rouge1, 6) as rouge1
+from made m left join good g using (sample_id) left join rouge1 using (sample_id)"""
+
+ORACLES["eval_times"] = f"""with {SAMPLES}, s as (select {STATUS} as error, {words('article')} as w from samples)
+select 'T5-Base' as model_name, false as timed, null::boolean as took_time, true as dated,
+  count(*) filter (error is null) as successful_samples from s
+union all select 'BART-Base', true, true, true, count(*) filter (error is null and len(w) >= 30) from s"""
+
+ORACLES["eval_score_files"] = f"""with {RUN}
 select model_name, 'found' as state, count(*) as total_samples, count(*) filter (error is null) as successful_samples,
-  sum(least(len(w), 1024)) filter (error is null)::double / count(*) filter (error is null) as avg_input_length
-from prompted group by model_name
+  sum(least(len(w), case when lower(model_id) like '%led%' then 16384 else 1024 end)) filter (error is null)::double
+    / count(*) filter (error is null) as avg_input_length
+from prompted where model_name <> 'mT5-Base' group by model_name
 union all
-select model_name, 'missing', null, null, null from models where model_name not in ('BART-Base', 'T5-Base')"""
-
-ORACLES["eval_run_summary"] = f"""with {MODELS_CTE}, {RUN}, c as (
-  select model_name, count(*) filter (error is null) as n from prompted group by model_name)
-select 2::int as num_models_evaluated, 8::int as num_models_failed, 200::int as test_samples,
-  (select string_agg(model_name || ':' || n, '|' order by model_name) from c) as results,
-  (select string_agg(model_name, '|' order by model_name) from models where model_name not in ('BART-Base', 'T5-Base'))
-    as failed_models"""
+select 'mT5-Base', 'missing', null, null, null"""
+
+ORACLES["eval_run_summary"] = f"""with {RUN}, c as (
+  select model_name, count(*) filter (error is null) as n from prompted where model_name <> 'mT5-Base' group by model_name)
+select 9::int as num_models_evaluated, 1::int as num_models_failed, (select count(*)::int from samples) as test_samples,
+  (select string_agg(model_name || ':' || n, '|' order by model_name) from c) as results, 'mT5-Base' as failed_models"""
 
 # --- loss logs and checkpoints ---------------------------------------------
 

@@ -51,10 +51,11 @@ def headline_length_ok() -> Column:
 def drop_exact_duplicates(df: DataFrame) -> DataFrame:
     """One of each set of equal rows, nulls counting as equal.
 
+    Rows meet by a 32-byte hash of all their columns; no text is a key.
     Copies are folded together before the shuffle, so a row with very many
     copies sends one row per input partition.
     """
-    return df.dropDuplicates()
+    return df.withColumn("_row", F.unhex(row_key(df.columns))).dropDuplicates(["_row"]).drop("_row")
 
 
 def curate(raw: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def curate(raw: DataFrame) -> DataFrame:
         .where(article_length_ok())
         .where(headline_length_ok())
     )
-    return drop_exact_duplicates(kept).withColumn("row_key", row_key(named.columns))
+    return kept.withColumn("row_key", row_key(named.columns)).dropDuplicates(["row_key"])
 
 
 FUNNEL_STEPS = (

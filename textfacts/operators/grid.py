@@ -14,7 +14,14 @@ from textfacts import constants as C
 from textfacts.functions import text as T
 from textfacts.operators.examples import model_structs
 
-Summariser = Callable[[str, str], str]
+#: Called once per task and model id; gives a function from a batch of texts to their summaries.
+Summariser = Callable[[str], Callable[[list[str]], list[str]]]
+BATCH_ROWS = 32
+
+
+def per_text(summarise: Callable[[str, str], str]) -> Summariser:
+    """A summariser from a function of one model id and one text."""
+    return lambda model_id: lambda texts: [summarise(model_id, text) for text in texts]
 
 
 def pending_models(
@@ -73,35 +80,76 @@ def lead_summary(
     )
 
 
+def _told(failure: Exception) -> str:
+    return f"{type(failure).__name__}: {failure}"
+
+
+def _summarised(make: Callable[[list[str]], list[str]], texts: list[str]) -> list[str]:
+    made = list(make(texts))
+    if len(made) != len(texts):
+        raise ValueError(f"{len(made)} summaries for {len(texts)} texts")
+    return made
+
+
 def generate(
-    df: DataFrame, summarise: Summariser, article: str = "article", model_id: str = "model_id"
+    df: DataFrame,
+    summarise: Summariser,
+    article: str = "article",
+    model_id: str = "model_id",
+    batch_rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """Run a summariser over the rows of status ``ok``.
+    """Run a summariser over the rows of status ``ok``, ``batch_rows`` at a time.
 
-    Adds ``generated_summary`` and ``duration_ms``.  A row whose summariser
-    raises becomes a failure with the error's text; the job goes on.
+    Adds ``generated_summary`` and ``duration_ms`` (a row's share of its
+    batch).  ``summarise`` loads a model once per task; if that raises, the
+    model's rows in the task are failures with the error's text.  If a batch
+    raises, its rows are tried one by one, and only those that raise again
+    fail; the job goes on.
     """
     schema = t.StructType(
         [*df.schema.fields, t.StructField("generated_summary", t.StringType()), t.StructField("duration_ms", t.DoubleType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded: dict[str, Callable | Exception] = {}
         for batch in batches:
-            made, took, status, error = [], [], [], []
-            rows = zip(batch[model_id], batch[article], batch["status"], batch["error"])
-            for model, text, state, problem in rows:
-                summary, spent = None, None
-                if state == "ok":
-                    start = time.perf_counter()
+            rows = len(batch)
+            made, took = [None] * rows, [None] * rows
+            models, texts = batch[model_id].tolist(), batch[article].tolist()
+            status, error = batch["status"].tolist(), batch["error"].tolist()
+            waiting: dict[str, list[int]] = {}
+            for row in range(rows):
+                if status[row] == "ok":
+                    waiting.setdefault(models[row], []).append(row)
+
+            def attempt(make, chosen):
+                start = time.perf_counter()
+                found = _summarised(make, [texts[row] for row in chosen])
+                spent = (time.perf_counter() - start) * 1000.0 / len(chosen)
+                for row, summary in zip(chosen, found):
+                    made[row], took[row] = summary, spent
+
+            for model, chosen in waiting.items():
+                if model not in loaded:
+                    try:
+                        loaded[model] = summarise(model)
+                    except Exception as failure:  # noqa: BLE001 - a model that does not load is recorded
+                        loaded[model] = failure
+                make = loaded[model]
+                for start in range(0, len(chosen), batch_rows):
+                    part = chosen[start : start + batch_rows]
+                    if isinstance(make, Exception):
+                        for row in part:
+                            status[row], error[row] = "failed", f"model not loaded: {_told(make)}"
+                        continue
                     try:
-                        summary = summarise(model, text)
-                    except Exception as failure:  # noqa: BLE001 - any failure is recorded
-                        state, problem = "failed", f"{type(failure).__name__}: {failure}"
-                    spent = (time.perf_counter() - start) * 1000.0
-                made.append(summary)
-                took.append(spent)
-                status.append(state)
-                error.append(problem)
+                        attempt(make, part)
+                    except Exception:  # noqa: BLE001 - the rows are tried again one by one
+                        for row in part:
+                            try:
+                                attempt(make, [row])
+                            except Exception as failure:  # noqa: BLE001 - any failure is recorded
+                                status[row], error[row] = "failed", _told(failure)
             yield batch.assign(status=status, error=error, generated_summary=made, duration_ms=took)
 
     return df.mapInPandas(run, schema)

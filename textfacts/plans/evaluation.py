@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -14,7 +14,9 @@ from textfacts.functions.rouge import METRICS, rouge
 from textfacts.operators import grid
 from textfacts.operators.columns import with_columns_once
 from textfacts.operators.examples import with_input_lengths
+from textfacts.operators.grouping import concat_documents
 from textfacts.operators.report import run_aggregates
+from textfacts.session import work_path
 from textfacts.sources.results import (
     all_predictions,
     append_predictions,
@@ -82,6 +84,8 @@ def run_evaluation(
     ``samples`` has a unique ``sample_id``, ``article`` and ``summary``.  Each of
     the ``commits`` hash slices of the samples is one append, so an interrupted
     run keeps the slices it finished, and the next call does only the rest.
+    With several, what is to do is stored once by slice, so the samples are read
+    once and each commit reads its slice only.
     With ``resume`` off everything is done again and the newest rows count.
     """
     spark = samples.sparkSession
@@ -94,18 +98,33 @@ def run_evaluation(
     if retry_failed:
         finished = finished.where("status = 'ok'")
     done = finished.select("model_name", "sample_id")
-    for part in range(commits):
-        chosen = samples
-        if commits > 1:
-            chosen = samples.where(F.pmod(F.xxhash64("sample_id"), F.lit(commits)) == part)
-        waiting = grid.pending_models(chosen, done, "sample_id", models)
-        # counted after finished samples are gone and before each is repeated per model
-        counted = with_columns_once(waiting, {"n_words": T.word_count("article")})
-        rows = evaluate_rows(grid.expand_pending(counted), summarise, metrics, stemmed)
+    waiting = grid.pending_models(samples, done, "sample_id", models)
+    # counted after finished samples are gone and before each is repeated per model
+    counted = with_columns_once(waiting, {"n_words": T.word_count("article")})
+    slices = [counted]
+    if commits > 1:
+        stored = work_path(spark, "pending")
+        sliced = counted.withColumn("slice", F.pmod(F.xxhash64("sample_id"), F.lit(commits)).cast("int"))
+        sliced.write.partitionBy("slice").parquet(stored)
+        read = spark.read.schema(sliced.schema).parquet(stored)
+        slices = [read.where(F.col("slice") == part).drop("slice") for part in range(commits)]
+    for chosen in slices:
+        rows = evaluate_rows(grid.expand_pending(chosen), summarise, metrics, stemmed)
         append_predictions(rows.withColumn("run_id", F.lit(run_id)), path)
     return current_predictions(spark, path, id_type)
 
 
+def event_samples(
+    documents: DataFrame, event: str, article: str, order: Sequence[str], summary: str
+) -> DataFrame:
+    """Samples of an event each: its first articles joined, with the reference of the first of them."""
+    joined = concat_documents(documents, event, article, order)
+    first = documents.groupBy(event).agg(F.min_by(summary, F.struct(*order)).alias("summary"))
+    return joined.join(first, event).select(
+        F.col(event).alias("sample_id"), F.col("document").alias("article"), "summary"
+    )
+
+
 def evaluation_scores(results: DataFrame, places: int | None = 2) -> DataFrame:
     """Aggregate scores per model, rounded as they are published."""
     totals = run_aggregates(results, METRICS)
