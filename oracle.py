@@ -1,11 +1,12 @@
 """DuckDB queries that the registered Spark queries are checked against.
 
 Written separately from the Spark side; only the fixed values (word lists,
-model list, weights, limits) are shared.  Queries that SQL cannot express, or
+suffix tables, model list, weights, limits) are shared.  Queries that SQL cannot express, or
 only far too slowly on whole texts, have no entry.
 """
 
 from textfacts import constants as C
+from textfacts.functions.stemming import IRREGULAR, STEP2, STEP3, STEP4
 from textfacts.operators.factuality import GAZETTEER
 
 ORACLES: dict[str, str] = {}
@@ -374,24 +375,123 @@ ROUGE2 = rouge_cte("rouge2", "doc_id, system", "good", bigrams)
 
 
 
+WORD_BITS = 62
+ONES = (1 << WORD_BITS) - 1
+
+
 def lcs_cte(name: str, keys: str, source: str) -> str:
-    """F-measure from the longest common subsequence of tokens.
+    """F-measure from the longest common subsequence of tokens, by Hyyro's recurrence on bits.
 
-    It is the longest rising run through the matching places, taken by the reference's place and, at equal ones, from
-    the last of the candidate's; a list holds the smallest end of a run of each length.
+    A candidate is a row of bits, 62 to a number; each token of the reference, in order, has the bits of its
+    places in the candidate.  Bits that end as zero are the subsequence.
     """
+    total = "(x[1] + (x[1] & x[2]) + done[1])"
+    step = f"""list_reduce(list_transform(range(1, len(v) + 1), lambda b: [v[b], m[b]]),
+    lambda done, x: list_concat([{total} >> {WORD_BITS}], done[2:], [({total} & {ONES}) | (x[1] & ~x[2])]), [0::bigint])[2:]"""
     return f"""{name}_t as (select {keys}, {tokens('reference')} as rt, {tokens('candidate')} as ct from {source}),
 {name}_r as (select {keys}, unnest(rt) as g, unnest(range(1, len(rt) + 1)) as i from {name}_t),
-{name}_c as (select {keys}, g, list([j] order by j desc) as js from (
-  select {keys}, unnest(ct) as g, unnest(range(1, len(ct) + 1)) as j from {name}_t) group by all),
-{name}_m as (select {keys}, flatten(list(js order by i)) as places from {name}_r join {name}_c using ({keys}, g) group by {keys}),
-{name}_l as (select {keys}, len(list_reduce(places, lambda ends, j: list_concat(
-    list_filter(ends, lambda e: e < j[1]), j, list_filter(ends, lambda e: e >= j[1])[2:]), [])) as o from {name}_m),
+{name}_b as (select {keys}, len(ct) as size, unnest(ct) as g, unnest(range(len(ct))) as j from {name}_t),
+{name}_w as (select {keys}, size, g, j // {WORD_BITS} as b, sum(1::bigint << (j % {WORD_BITS})::int)::bigint as bits
+  from {name}_b group by all),
+{name}_g as (select {keys}, g, map_from_entries(list({{'k': b, 'v': bits}})) as found, max(size) as size from {name}_w group by {keys}, g),
+{name}_c as (select {keys}, g, list_transform(range((size - 1) // {WORD_BITS} + 1), lambda k: coalesce(found[k], 0)::bigint) as mask
+  from {name}_g),
+{name}_m as (select {keys}, list(mask order by i) as masks from {name}_r join {name}_c using ({keys}, g) group by {keys}),
+{name}_v as (select {keys}, list_reduce(masks, lambda v, m: {step},
+  list_transform(masks[1], lambda k: {ONES}::bigint)) as v from {name}_m),
+{name}_l as (select {keys}, list_sum(list_transform(v, lambda k: bit_count({ONES} & ~k)))::bigint as o from {name}_v),
 {name}_p as (select {keys}, coalesce(o, 0)::double / greatest(len(ct), 1) as p, coalesce(o, 0)::double / greatest(len(rt), 1) as r
   from {name}_t left join {name}_l using ({keys})),
 {name} as (select {keys}, case when p + r > 0 then 2 * p * r / (p + r) else 0.0::double end as {name} from {name}_p)"""
 
 
+def stems_cte(texts: str) -> str:
+    """``stems(g, stem)``: the stemmer's steps over the distinct tokens of the lists ``texts`` selects as ``w``.
+
+    ``k`` has a V for each vowel and a c for each consonant of ``w``.
+    """
+
+    def kinds(w: str) -> str:
+        x = f"regexp_replace(regexp_replace({w}, '[aeiou]', 'V', 'g'), '[^Vy]', 'c', 'g')"
+        x = f"regexp_replace({x}, '^y', 'c')"
+        for _ in range(3):
+            x = f"regexp_replace(regexp_replace({x}, 'Vy', 'Vc', 'g'), 'cy', 'cV', 'g')"
+        return x
+
+    def cut(n: int, of: str = "w") -> str:
+        return f"left({of}, length(w) - {n})"
+
+    def measure(k: str) -> str:
+        return f"((length({k}) - length(replace({k}, 'Vc', ''))) // 2)"
+
+    def ends(end: str) -> str:
+        return f"ends_with(w, '{end}')"
+
+    def short(w: str, k: str) -> str:
+        return f"(case when length({w}) = 2 then {k} = 'Vc' else length({w}) > 2 and right({k}, 3) = 'cVc' and right({w}, 1) not in ('w', 'x', 'y') end)"
+
+    def mended(n: int) -> str:
+        w, k = cut(n), cut(n, "k")
+        return f"""case when regexp_matches({w}, '(at|bl|iz)$') then {w} || 'e'
+    when length({w}) > 1 and right({w}, 1) = left(right({w}, 2), 1) and right({k}, 1) = 'c'
+      then case when right({w}, 1) in ('l', 's', 'z') then {w} else {cut(n + 1)} end
+    when {measure(k)} = 1 and {short(w, k)} then {w} || 'e' else {w} end"""
+
+    def swapped(pairs) -> str:
+        rules = [
+            f"when {ends(end)} then case when {measure(cut(len(end), 'k'))} > 0 then {cut(len(end))} || '{new}' else w end"
+            for end, new in pairs
+        ]
+        return " ".join(rules)
+
+    def dropped(end: str) -> str:
+        extra = f" and regexp_matches({cut(3)}, '[st]$')" if end == "ion" else ""
+        return f"when {ends(end)} then case when {measure(cut(len(end), 'k'))} > 1{extra} then {cut(len(end))} else w end"
+
+    steps = [
+        f"case when {ends('sses')} then {cut(2)} when {ends('ies')} then case when length(w) = 4 then {cut(1)} else {cut(2)} end "
+        f"when {ends('s')} and not {ends('ss')} then {cut(1)} else w end",
+        f"case when {ends('ied')} then case when length(w) = 4 then {cut(1)} else {cut(2)} end "
+        f"when {ends('eed')} then case when {measure(cut(3, 'k'))} > 0 then {cut(1)} else w end "
+        f"when {ends('ed')} and contains({cut(2, 'k')}, 'V') then {mended(2)} "
+        f"when {ends('ing')} and contains({cut(3, 'k')}, 'V') then {mended(3)} else w end",
+        f"case when {ends('y')} and length(w) > 2 and left(right(k, 2), 1) = 'c' then {cut(1)} || 'i' else w end",
+        f"case when {ends('alli')} and {measure(cut(4, 'k'))} > 0 then {cut(2)} else w end",
+        f"case when {ends('logi')} then case when {measure(cut(3, 'k'))} > 0 then {cut(1)} else w end {swapped(STEP2)} else w end",
+        f"case {swapped(STEP3)} else w end",
+        f"case {' '.join(dropped(end) for end in sorted(STEP4, key=len, reverse=True))} else w end",
+        f"case when {ends('e')} and ({measure(cut(1, 'k'))} > 1 or ({measure(cut(1, 'k'))} = 1 and not {short(cut(1), cut(1, 'k'))})) "
+        f"then {cut(1)} else w end",
+        f"case when {ends('ll')} and {measure(cut(1, 'k'))} > 1 then {cut(1)} else w end",
+    ]
+    irregular = " ".join(f"when {quoted(a)} then {quoted(b)}" for a, b in IRREGULAR.items())
+    out = [f"stem0 as (select distinct g, g as w from (select unnest(w) as g from ({texts})) where length(g) > 3)"]
+    for i, step in enumerate(steps):
+        # a step's marks are a column, so that its rules do not spell them out again and again
+        out.append(f"stem{i + 1} as (select g, {step} as w from (select g, w, {kinds('w')} as k from stem{i}))")
+    out.append(f"stems as (select g, case g {irregular} else w end as stem from stem{len(steps)})")
+    return ", ".join(out)
+
+
+def stemmed_cte(keys: str, source: str, extra: str = "") -> str:
+    """``stemmed``: the rows of ``source`` with stems for the words of reference and candidate."""
+
+    def side(name: str) -> str:
+        return f"""{name}_s as (select {keys}, string_agg(coalesce(stem, g), ' ' order by i) as {name} from (
+  select {keys}, unnest(t) as g, unnest(range(len(t))) as i from (select {keys}, {tokens(name)} as t from {source}))
+  left join stems using (g) group by {keys})"""
+
+    both = f"select {tokens('reference')} as w from {source} union all select {tokens('candidate')} from {source}"
+    return f"""{stems_cte(both)}, {side('reference')}, {side('candidate')},
+stemmed as (select {keys}{extra}, coalesce(r.reference, '') as reference, coalesce(c.candidate, '') as candidate
+  from {source} left join reference_s r using ({keys}) left join candidate_s c using ({keys}))"""
+
+
+ORACLES["rouge_stemmed"] = f"""with {PAIRS}, {GOOD}, {stemmed_cte("doc_id, system", "good")},
+{rouge_cte("rouge1", "doc_id, system", "stemmed", same)}, {rouge_cte("rouge2", "doc_id, system", "stemmed", bigrams)},
+{lcs_cte("rougel", "doc_id, system", "stemmed")}
+select doc_id, system, round(rouge1, 9) as rouge1, round(rouge2, 9) as rouge2, round(rougel, 9) as "rougeL"
+from pairs left join rouge1 using (doc_id, system) left join rouge2 using (doc_id, system) left join rougel using (doc_id, system)"""
 ORACLES["rougeL"] = f"""with {PAIRS}, {GOOD}, {lcs_cte("rougel", "doc_id, system", "good")}
 select doc_id, system, round(rougel, 9) as "rougeL" from pairs left join rougel using (doc_id, system)"""
 ORACLES["rouge1"] = f"""with {PAIRS}, {ROUGE1}
@@ -548,11 +648,13 @@ g as (select *, coalesce(problem, case when sample_id % 10 = 3 then 'model not l
 select sample_id, case when error is null then 'ok' else 'failed' end as status, error,
   case when error is null then md5({joined('w[1:30]')}) end as summary_md5 from g"""
 
-RUN = f"""{MODELS_CTE}, {SAMPLES}, prompted as (
+PROMPTED = f"""{MODELS_CTE}, {SAMPLES}, prompted as (
   select m.model_name, m.model_id, sample_id, lang, {STATUS} as error, summary as reference,
     {words("case when lower(m.model_id) like '%t5%' then 'summarize: ' || article else article end")} as w
   from samples, models m),
-good as (select model_name, sample_id, reference, {LEAD_SQL} as candidate from prompted where error is null),
+good as (select model_name, sample_id, reference, {LEAD_SQL} as candidate from prompted where error is null)"""
+
+RUN = f"""{PROMPTED},
 {rouge_cte('rouge1', 'model_name, sample_id', 'good', same)},
 {rouge_cte('rouge2', 'model_name, sample_id', 'good', bigrams)}, {lcs_cte('rougel', 'model_name, sample_id', 'good')}"""
 
@@ -564,6 +666,24 @@ select model_name, {SUCCESS}, round(avg(rouge1) * 100, 6) as rouge1_mean, round(
   round(avg(rougel) * 100, 6) as "rougeL_mean", round(stddev_pop(rougel) * 100, 6) as "rougeL_std",
   count(*) as n_stored, 2::bigint as n_runs from j group by model_name"""
 
+RUN_KEYS = "model_name, sample_id"
+LIMIT = "case when lower(model_id) like '%led%' then 16384 else 1024 end"
+
+ORACLES["eval_stemmed"] = f"""with {PROMPTED}, {stemmed_cte(RUN_KEYS, "good")},
+{rouge_cte("rouge1", RUN_KEYS, "stemmed", same)}, {rouge_cte("rouge2", RUN_KEYS, "stemmed", bigrams)},
+{lcs_cte("rougel", RUN_KEYS, "stemmed")}, j as (
+  select p.model_name, p.model_id, p.error, rouge1, rouge2, rougel, least(len(w), {LIMIT}) as size,
+    case when lower(model_id) not like '%led%' then size when size <= 512 then 512 else (size // 512 + 1) * 512 end as padded
+  from prompted p left join rouge1 using ({RUN_KEYS}) left join rouge2 using ({RUN_KEYS}) left join rougel using ({RUN_KEYS})),
+m as (select model_name, model_id, count(*) as total_samples, count(*) filter (error is null) as successful_samples,
+  count(*) filter (error is not null) as failed_samples, avg(size) filter (error is null) as a, avg(padded) filter (error is null) as b,
+  round(avg(rouge1) * 100, 2) as rouge1_mean, round(stddev_pop(rouge1) * 100, 2) as rouge1_std,
+  round(avg(rouge2) * 100, 2) as rouge2_mean, round(stddev_pop(rouge2) * 100, 2) as rouge2_std,
+  round(avg(rougel) * 100, 2) as "rougeL_mean", round(stddev_pop(rougel) * 100, 2) as "rougeL_std" from j group by all)
+select * exclude (a, b), round(successful_samples::double / total_samples * 100, 2) as success_rate,
+  null::double as evaluation_time_seconds, null::double as time_per_sample, round(a, 0) as avg_input_length,
+  round(b, 0) as avg_padded_length, round((b - a) / a * 100, 1) as padding_overhead_percent from m"""
+
 ORACLES["eval_events"] = f"""with {SAMPLES}, r as (
   select *, lang || '-' || (sample_id % 50) as event, row_number() over (partition by lang, sample_id % 50 order by sample_id) as p
   from samples),

@@ -16,6 +16,7 @@ from textfacts import constants as C
 PAD_ID = 1
 UNKNOWN_ID = 3
 FIRST_TOKEN_ID = 4
+MAX_VOCABULARY = 1_000_000
 
 
 def _col(c: Column | str) -> Column:
@@ -51,7 +52,8 @@ def padded_length(length: Column | str, window: int = C.ATTENTION_WINDOW) -> Col
     """Length after padding to whole attention windows.
 
     Up to one window gives one window; beyond that always the next window up,
-    also for an exact multiple (1024 gives 1536 for a window of 512).
+    also for an exact multiple (1024 gives 1536 for a window of 512).  The
+    remainder keeps this in whole numbers, as a column's ``/`` is a double.
     """
     length = _col(length).cast("long")
     return F.when(length <= window, F.lit(window).cast("long")).otherwise(
@@ -62,16 +64,22 @@ def padded_length(length: Column | str, window: int = C.ATTENTION_WINDOW) -> Col
 def encode(tokens: Column | str, vocabulary: Sequence[str]) -> Column:
     """Token ids by position in ``vocabulary``; tokens outside it get ``UNKNOWN_ID``.
 
-    The vocabulary has a fixed top-V size, so it travels with the function; the
-    look-up is one vectorised hash probe per batch and needs no shuffle.
+    The vocabulary has a fixed top-V size of at most ``MAX_VOCABULARY``, so it
+    travels with the function and is built once per task; the look-up is one
+    vectorised hash probe per batch and needs no shuffle.
     """
     terms = list(vocabulary)
+    if len(terms) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary of {len(terms)} tokens is too large to send to every task")
+    built: list[pa.Array] = []
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
-        found = pc.index_in(column.flatten().cast(pa.string()), value_set=pa.array(terms, pa.string()))
+        if not built:
+            built.append(pa.array(terms, pa.string()))
+        found = pc.index_in(column.flatten().cast(pa.string()), value_set=built[0])
         values = pc.add(found, pa.scalar(FIRST_TOKEN_ID, pa.int32())).fill_null(UNKNOWN_ID)
         lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)

@@ -117,8 +117,11 @@ def _adjective(word: str) -> str:
     return word
 
 
+_STEP4_LONGEST_FIRST = sorted(STEP4, key=len, reverse=True)
+
+
 def _residue(word: str) -> str:
-    for suffix in sorted(STEP4, key=len, reverse=True):
+    for suffix in _STEP4_LONGEST_FIRST:
         if word.endswith(suffix):
             stem = word[: -len(suffix)]
             allowed = _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t")))

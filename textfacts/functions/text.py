@@ -20,7 +20,7 @@ DIGIT = r"\p{Nd}"
 WORD_START = rf"(?<!{WORD_CHARACTER})"
 WORD_END = rf"(?!{WORD_CHARACTER})"
 
-NOT_TOKEN = "[^abcdefghijklmnopqrstuvwxyz0123456789]"
+NOT_TOKEN = "[^a-z0-9]"
 
 
 def _initials(terms: Iterable[str]) -> str:
@@ -140,21 +140,18 @@ def vocabulary_terms(
     if match not in ("substring", "word"):
         raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
     chosen = [t for _, t in vocabulary_rows()] if terms is None else [t.lower() for t in terms]
-    if any("\\E".lower() in t for t in chosen):
-        raise ValueError("terms may not hold a backslash followed by e")
-    vocabulary = F.array(*[F.lit(t) for t in dict.fromkeys(chosen)])
 
-    def found(lowered: Column, term: Column) -> Column:
-        hit = F.contains(lowered, term)
+    def found(lowered: Column, term: str) -> Column:
+        hit = F.contains(lowered, F.lit(term))
         if match == "word":
-            # the plain search is cheap and rules out almost every text
-            pattern = F.concat(F.lit(WORD_START + r"\Q"), term, F.lit(r"\E" + WORD_END))
-            hit = hit & F.rlike(lowered, pattern)
-        return hit
+            # the plain search is cheap and rules out almost every text; each pattern is a literal, compiled once
+            # (lower-cased terms cannot hold the \E that ends a quotation)
+            hit = hit & lowered.rlike(WORD_START + r"\Q" + term + r"\E" + WORD_END)
+        return F.when(hit, F.lit(term))
 
     per_text = F.transform(
         F.array(F.lower(F.coalesce(_col(text), F.lit("")))),
-        lambda lowered: F.filter(vocabulary, lambda term: found(lowered, term)),
+        lambda lowered: F.array_compact(F.array(*[found(lowered, term) for term in dict.fromkeys(chosen)])),
     )
     return per_text[0]
 

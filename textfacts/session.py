@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from functools import cache
@@ -28,14 +30,17 @@ def local_session(cores: int | str = 8, app: str = "textfacts") -> SparkSession:
 
 @cache
 def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="textfacts-")
+    folder = tempfile.mkdtemp(prefix="textfacts-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of its own is made only for local sessions that name none; on a
-    cluster every executor must see the folder, so there the setting is required.
+    A folder of its own is made only for local sessions that name none, and goes
+    when the process ends; on a cluster every executor must see the folder, so
+    there the setting is required.
     """
     root = spark.conf.get(_CHECKPOINT_SETTING, None)
     if not root:
