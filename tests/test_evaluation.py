@@ -3,7 +3,8 @@ from conftest import rows
 
 from textfacts import constants as C
 from textfacts.operators import grid
-from textfacts.plans.evaluation import evaluation_scores, run_evaluation
+from textfacts.operators.report import run_aggregates
+from textfacts.plans.evaluation import evaluation_scores, event_samples, run_evaluation
 from textfacts.sources import results as res
 
 MODELS = {"BART-Base": "facebook/bart-base", "T5-Base": "t5-base"}
@@ -23,7 +24,7 @@ def fragile():
             raise RuntimeError("no summary for this")
         return " ".join(text.split()[:10])
 
-    return first_ten_words
+    return grid.per_text(first_ten_words)
 
 
 def test_pending_grid(spark, samples):
@@ -60,6 +61,74 @@ def test_a_failing_row_does_not_stop_the_run(samples, fresh, fragile):
     assert score["avg_input_length"] == 61.0
 
 
+def test_a_model_loads_once_per_task_and_batches_are_retried_by_row(spark, samples, fresh):
+    log = fresh("log")
+    open(log, "w").close()
+
+    def load(model_id):
+        with open(log, "a") as out:
+            out.write(f"load {model_id}\n")
+        if model_id == "t5-base":
+            raise OSError("no such model")
+
+        def summarise(texts):
+            with open(log, "a") as out:
+                out.write(f"batch {len(texts)}\n")
+            if any("boom" in t for t in texts):
+                raise RuntimeError("no summary for this")
+            return [t.split()[0] for t in texts]
+
+        return summarise
+
+    done = run_evaluation(samples.coalesce(1), fresh("p"), MODELS, load)
+    by_row = {(r["model_name"], r["sample_id"]): r for r in done.collect()}
+    assert {by_row["T5-Base", i]["error"] for i in range(8)} == {"model not loaded: OSError: no such model"}
+    assert by_row["BART-Base", 10]["error"] == "RuntimeError: no summary for this"
+    assert all(by_row["BART-Base", i]["generated_summary"] == "word0" for i in range(8))
+    told = open(log).read().split("\n")
+    tasks = told.count("load facebook/bart-base")
+    assert told.count("load t5-base") <= tasks + 1
+    assert told.count("batch 1") == 9 and tasks <= 4  # the batch that failed, row by row
+
+
+def test_commits_read_the_samples_once(spark, samples, fresh):
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    counted = samples.mapInPandas(counting, samples.schema)
+    run_evaluation(counted, fresh("p"), MODELS, commits=4, metrics=("rouge1",), stemmed=False)
+    assert read.value == 11
+
+
+def test_event_samples(spark):
+    data = [(i, f"e{i % 2}", f"text {i}" if i != 4 else None, f"sum {i}") for i in range(14)]
+    docs = spark.createDataFrame(data, "id long, event string, article string, summary string").repartition(3)
+    got = {r["sample_id"]: (r["article"], r["summary"]) for r in event_samples(docs, "event", "article", ["id"], "summary").collect()}
+    mark = C.DOCUMENT_SEPARATOR
+    assert got == {"e0": (mark.join(f"text {i}" for i in (0, 2, 6, 8)), "sum 0"), "e1": (mark.join(f"text {i}" for i in (1, 3, 5, 7, 9)), "sum 1")}
+
+
+def test_untimed_runs_have_no_seconds(spark, samples, fresh):
+    score = run_aggregates(run_evaluation(samples, fresh("p"), MODELS, metrics=("rouge1",)), ("rouge1",)).first()
+    assert score["evaluation_time_seconds"] is None and score["time_per_sample"] is None
+    assert len(score["evaluation_date"]) == 10
+
+
+def test_score_rows_of_one_file_all_come_back(spark, fresh):
+    rows_ = [("a/b", 1), ("c", 2), ("c", 3)]
+    scores = spark.createDataFrame(rows_, "model_name string, total_samples long").coalesce(1)
+    path = fresh("s")
+    res.write_scores(scores, path)
+    assert sorted(rows(res.read_scores(spark, path), "model_name", "total_samples")) == rows_
+    clash = spark.createDataFrame([("a-b", 1), ("a/b", 2)], "model_name string, total_samples long")
+    with pytest.raises(ValueError, match="a-b, a/b"):
+        res.write_scores(clash, fresh("t"))
+
+
 def test_a_second_run_adds_nothing(spark, samples, fresh):
     path = fresh("p")
     run_evaluation(samples, path, MODELS)
@@ -81,7 +150,7 @@ def test_resume_does_only_what_is_left(spark, samples, fresh):
 def test_failed_rows_can_be_retried(spark, samples, fresh, fragile):
     path = fresh("p")
     run_evaluation(samples, path, MODELS, fragile)
-    current = run_evaluation(samples, path, MODELS, lambda m, t: "fine now", retry_failed=True)
+    current = run_evaluation(samples, path, MODELS, grid.per_text(lambda m, t: "fine now"), retry_failed=True)
     again = {(r["model_name"], r["sample_id"]): r["status"] for r in current.collect()}
     assert len(again) == 22
     assert again["BART-Base", 10] == "ok" and again["BART-Base", 8] == "failed"
@@ -90,8 +159,8 @@ def test_failed_rows_can_be_retried(spark, samples, fresh, fragile):
 
 def test_starting_over(samples, fresh):
     path = fresh("p")
-    run_evaluation(samples, path, MODELS, lambda m, t: "old")
-    current = run_evaluation(samples, path, MODELS, lambda m, t: "new", resume=False)
+    run_evaluation(samples, path, MODELS, grid.per_text(lambda m, t: "old"))
+    current = run_evaluation(samples, path, MODELS, grid.per_text(lambda m, t: "new"), resume=False)
     made = {r["generated_summary"] for r in current.where("status = 'ok'").collect()}
     assert current.count() == 22 and made == {"new"}
 

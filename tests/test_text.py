@@ -78,7 +78,7 @@ def test_vocabulary_has_56_terms_in_6_categories():
     assert len({c for c, _ in listed}) == 6
 
 
-SOURCE = "The government allocated 5 crore rupees to the IAS training program in Lok Sabha."
+SOURCE = "Two crore for the new IAS school was voted by the Lok Sabha."
 
 
 def test_vocabulary_substring_and_word(spark):

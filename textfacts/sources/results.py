@@ -97,7 +97,7 @@ def read_scores(spark: SparkSession, path: str, files: str = "*.json") -> DataFr
 
     def load() -> DataFrame:
         options = {"wholetext": True, "recursiveFileLookup": True, "pathGlobFilter": files}
-        return spark.read.options(**options).text(path).select("value", "_metadata.file_path")
+        return spark.read.format("text").options(**options).load(path).select("value", "_metadata.file_path")
 
     found = _or_empty(spark, "value string, file_path string", load)
     objects = F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")
