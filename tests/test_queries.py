@@ -56,7 +56,7 @@ def test_systems_differ_in_every_metric(spark, folder):
 
 
 def test_entry(spark):
-    assert contract.entry(spark).count() == 3
+    assert contract.entry(spark).count() == 4
 
 
 def plan(spark, folder, name):

@@ -11,6 +11,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+TEST_TABLES = "/root/testdata"  # where the driver keeps the tables of the bench and the checks
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
