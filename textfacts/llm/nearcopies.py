@@ -45,7 +45,9 @@ STEP = 15
 BLOCK = 1000
 #: Texts of small components that travel together.
 BUNDLE = 2000
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
+#: Bytes of text whose shingles a task holds at a time.
+SLICE_BYTES = 2 << 20
 
 _draw = np.random.default_rng(20)
 _TIMES = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +115,7 @@ def _key(shingles: np.ndarray) -> int:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = _WordHashes()
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE_BYTES):
         sets = shingle_sets(part.column("text").to_pylist(), known)
         full = [i for i, s in enumerate(sets) if len(s)]
         bands: list = [None] * len(sets)
@@ -211,7 +213,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates with their sets; a row whose text is not the one that was asked for goes."""
     known = _WordHashes()
-    for part in slices(batches):
+    for part in slices(batches, limit=SLICE_BYTES):
         sets = shingle_sets(part.column("text").to_pylist(), known)
         right = pa.array([len(s) > 0 and _key(s) == k for s, k in zip(sets, part.column("key").to_pylist(), strict=True)], pa.bool_())
         rest = part.drop_columns("text")
@@ -315,7 +317,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES):
             keys = [_key(s) if len(s) else None for s in shingle_sets(part.column("text").to_pylist(), known)]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], [*part.schema.names, "__own"])
 

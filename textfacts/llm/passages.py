@@ -42,9 +42,9 @@ SPAN = 100
 GRAM = 36
 _GRAMS = SPAN - GRAM + 1  # grams of a window
 #: Sizes of the units of work, in bytes of text: a shard, and what feeds a bucket of grams and a shard of open segments.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BUCKET_BYTES = 8 << 20
-OPEN_BYTES = 4 << 20
+OPEN_BYTES = 2 << 20
 #: A gram with more surroundings than this is dealt over several shards.
 HOT = 4096
 _BASE = 0x9E3779B97F4A7C15

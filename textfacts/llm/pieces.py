@@ -31,8 +31,8 @@ from textfacts.llm.common import gathered, table, with_fields
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Distinct words of earlier batches that a task remembers.
-REMEMBERED = 200_000
-_BATCH_BYTES = 8 << 20
+REMEMBERED = 150_000
+_BATCH_BYTES = 2 << 20
 _WORD = re.compile(" +[^ ]*|[^ ]+")
 _UNKNOWN_PENALTY = 10.0
 
