@@ -73,3 +73,11 @@ def test_damage_is_noticed():
         list(warc.chunks(gzip.compress(record.replace("some", "sone").encode())))
     with pytest.raises(ValueError):
         list(warc.chunks(gzip.compress(record[:-9].encode())))
+
+
+def test_no_page_is_cut_by_the_end_of_a_file(spark, fresh, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 3)
+    data = [(i, "u", f"{i} é\r\n\r\n" * (2000 if i % 2 else 3)) for i in range(20)]
+    got = whole(round_trip(spark, fresh("a"), data, chunk=1000))
+    assert got == sorted(((i, len(t.encode()), sha(t), "response", None) for i, _, t in data), key=repr)
+    assert len(list(Path(fresh("a")).glob("*.gz"))) > 4

@@ -3,7 +3,8 @@
 Writing: a payload longer than ``CHUNK_BYTES`` is cut into segments, each a record of its own (WARC-Segment-Number, the
 later ones of type ``continuation``), so neither side ever holds a second copy of a long record.  Every segment carries
 the digest of the payload up to its end.  Records are lines of Spark's text writer: a record ends with two line
-breaks, which is the writer's line separator, so the files work on any store that Spark writes to.
+breaks, which is the writer's line separator, so the files work on any store that Spark writes to.  All segments of a page
+are one row of the writer and so stand in one file.
 
 Copies: of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest id is the response, the
 others are revisits, which hold no payload but the digest, the length and the response's id.
@@ -32,6 +33,7 @@ from textfacts.session import work_path
 
 CHUNK_BYTES = 64 << 10
 MIN_REVISIT_BYTES = 100
+#: Rows of the text writer, which are whole pages.
 RECORDS_PER_FILE = 20_000
 _BREAK = "\r\n"
 _DATE = "2000-01-01T00:00:00Z"
@@ -112,7 +114,8 @@ def write_archives(pages: DataFrame, path: str, chunk: int = CHUNK_BYTES, min_by
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            out = [r for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in records(*row, chunk=chunk)]
+            # a row for each page, since the writer starts new files between rows only: no page is cut by a file's end
+            out = [(_BREAK * 2).join(records(*row, chunk=chunk)) for row in zip(*(c.to_pylist() for c in part.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     lines = rows.mapInArrow(run, "value string")
@@ -169,11 +172,13 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], Iterator[by
 
 def chunks(content: bytes) -> Iterator[tuple]:
     """Rows of ``CHUNKS`` from one archive.  Segments of a record follow each other, so one running hash is enough."""
-    running, seen, number = hashlib.sha256(), 0, 0
+    running, seen, number, about = hashlib.sha256(), 0, 0, None
     for fields, body in parse(_unpacked(content)):
         kind = fields["WARC-Type"]
         if kind != "continuation":
             running, seen, number, about = hashlib.sha256(), 0, 0, fields
+        elif about is None:
+            raise ValueError("the archive starts inside a record")
         size = 0
         for part in body:
             running.update(part)
