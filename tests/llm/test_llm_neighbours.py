@@ -66,3 +66,29 @@ def test_a_common_vector_ties_by_id(spark):
     table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
     got = found(neighbours.nearest(table, F.col("vec_id") == 60, 20))
     assert [i for i, _ in got[60]] == [i for i in range(0, 66, 3) if i != 60][:20]
+
+
+def recall_of(spark, vectors, asked=100, k=20):
+    n = len(vectors)
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = found(neighbours.nearest(table, F.col("vec_id") % (n // asked) == 0, k))
+    want = slow(np.arange(n), vectors, range(0, n, n // asked), k)
+    assert got.keys() == want.keys() and all(len(v) == k for v in got.values())
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / k for q in want])
+
+
+def test_recall_with_unequal_norms(spark):
+    draw = np.random.default_rng(6)
+    unit = draw.standard_normal((4000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    outlier = unit.copy()
+    outlier[1] *= 5
+    assert recall_of(spark, outlier) >= 0.92
+    assert recall_of(spark, outlier * draw.lognormal(0, 0.5, (4000, 1))) >= 0.92
+
+
+def test_bands_with_few_rows_share_a_block(monkeypatch):
+    monkeypatch.setattr(neighbours, "INDEX_BLOCK", 1000)
+    counts = {-9: 3, -8: 250, -7: 8, 0: 2500, 4: 200, 9: 60}
+    assert neighbours.band_blocks(counts, 20) == {-9: (0, 1), -8: (0, 1), -7: (1, 1), 0: (2, 3), 4: (5, 1), 9: (5, 1)}
+    assert neighbours.band_blocks({}, 20) == {}

@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by collision counting, for largest inner products.
 
-Vectors are scaled by the largest norm of the table and get one more component that makes them unit vectors; a query is
+The index is cut into bands of nearly equal norms (norm-ranging), and these into blocks.  A block's vectors are scaled by
+its largest norm and get one more component that makes them unit vectors; a query is
 a unit vector without one, so the nearest in Euclidean distance has the largest inner product.  ``PROJECTIONS`` random
 directions give every vector one number each; each direction's numbers stand in a sorted array.  For a query, windows
 around its own numbers widen step by step in all arrays at once (virtual rehashing), each vector counting the windows it
 lies in, until at least ``VERIFIED`` of the vectors (and ``LEAST_VERIFIED`` times as many as asked for) lie in ``COLLISIONS`` of the
 windows or more.  All of those, however many, are verified by their exact inner products.
 
-Queries are stated rows and go against all rows, in blocks: an index block of about ``INDEX_BLOCK`` vectors meets a block
+Queries are stated rows and go against all rows, in blocks: an index block of about ``INDEX_BLOCK`` vectors of a band meets a block
 of about ``QUERY_BLOCK`` queries in one task, which returns only each query's best; these are merged in two steps.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
@@ -18,6 +19,7 @@ candidates of it; ties go to the smaller id; an empty table gives no rows.  Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ COLLISIONS = 40
 VERIFIED, LEAST_VERIFIED = 0.36, 13
 FIRST_WIDTH, GROWTH = 0.7, 1.1
 INDEX_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Largest norm of a band by its smallest; 1.0 is in the middle of a band.
+BAND = 1.25
 _MERGED_BLOCKS = 32
 _BEST = "query_id long, part int, best array<struct<score: double, vec_id: long>>"
 _BEST_ARROW = pa.schema([("query_id", pa.int64()), ("part", pa.int32()), ("best", pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))])
@@ -46,11 +50,12 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 class CollisionIndex:
-    """Sorted projections of one block of vectors (rows of ``vectors``, none longer than ``largest``)."""
+    """Sorted projections of one block of vectors (rows of ``vectors``), scaled by the longest of them."""
 
-    def __init__(self, vectors: np.ndarray, largest: float):
+    def __init__(self, vectors: np.ndarray):
         self.vectors = vectors
-        scaled = vectors / largest
+        scaled = vectors / np.abs(vectors).max()
+        scaled /= np.sqrt((scaled**2).sum(axis=1).max())
         extra = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))
         self.directions = np.random.default_rng(11).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         numbers = scaled @ self.directions[:-1] + extra[:, None] * self.directions[-1]
@@ -111,7 +116,7 @@ def _searched(k: int):
             return _BEST_ARROW.empty_table()
         ids = index.column("vec_id").to_numpy()
         place = np.argsort(ids)
-        block = CollisionIndex(_matrix(index.column("vector"))[place], index.column("largest")[0].as_py())
+        block = CollisionIndex(_matrix(index.column("vector"))[place])
         asked = queries.column("vec_id").to_numpy()
         best = block.search(_matrix(queries.column("vector")), k, ids[place], asked)
         part = index.column("index_block")[0].as_py() // _MERGED_BLOCKS
@@ -126,18 +131,41 @@ def _best(rows: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(flat), 1, k), lambda x: F.struct((-x["minus"]).alias("score"), x["vec_id"].alias("vec_id")))
 
 
+def with_bands(good: DataFrame) -> DataFrame:
+    """``good`` with the number of the band that holds each norm; scaled by the largest component, so no square is too large."""
+    top = F.array_max(F.transform("vector", F.abs))
+    squares = F.aggregate("vector", F.lit(0.0), lambda total, x: total + (x / F.col("top")) * (x / F.col("top")))
+    number = F.floor((F.log("top") + F.log(squares) / 2) / log(BAND) + 0.5)
+    return good.withColumn("top", top).withColumn("band", number)
+
+
+def band_blocks(counts: dict[int, int], k: int) -> dict[int, tuple[int, int]]:
+    """First block and number of blocks of each band.  Neighbouring bands share a block if all its rows are verified anyway."""
+    out, first, held, rows = {}, 0, [], 0
+    for band, n in [*sorted(counts.items()), (None, INDEX_BLOCK)]:
+        if held and (band is None or rows + n > LEAST_VERIFIED * k):
+            blocks = max(1, -(-rows // INDEX_BLOCK))
+            out |= dict.fromkeys(held, (first, blocks))
+            first, held, rows = first + blocks, [], 0
+        held, rows = [*held, band], rows + n
+    return out
+
+
 def nearest(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors`` (vec_id, embedding) where ``queries`` holds its ``k`` nearest."""
     good = usable(vectors)
     asked = good.where(queries)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
-    n, largest = good.agg(F.count("*"), F.max(norm)).first()
+    banded = with_bands(good)
+    dealt = band_blocks({r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}, k)
     q = asked.count()
-    index_blocks, query_blocks = max(1, -(-n // INDEX_BLOCK)), max(1, -(-q // QUERY_BLOCK))
-    deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    index_blocks, query_blocks = max([1, *(first + blocks for first, blocks in dealt.values())]), max(1, -(-q // QUERY_BLOCK))
+    # an entry for each band, some thousands at most whatever the norms are
+    of_band = lambda values: F.element_at(F.map_from_arrays(F.lit([*dealt]), F.lit(values)), F.col("band"))
+    first, blocks = (of_band([at[i] for at in dealt.values()]) if dealt else F.lit(1) for i in (0, 1))
+    deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = good.select("vec_id", "vector", "size", F.lit(largest).cast("double").alias("largest"), deal(index_blocks).alias("index_block"), every(query_blocks).alias("query_block"))
-    right = asked.select("vec_id", "vector", "size", deal(query_blocks).alias("query_block"), every(index_blocks).alias("index_block"))
+    left = banded.select("vec_id", "vector", "size", (first + deal(blocks)).alias("index_block"), every(query_blocks).alias("query_block"))
+    right = asked.select("vec_id", "vector", "size", deal(F.lit(query_blocks)).alias("query_block"), every(index_blocks).alias("index_block"))
     keys = ("size", "index_block", "query_block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(k), _BEST)
     parts = found.groupBy("query_id", "part").agg(_best(F.collect_list("best"), k).alias("best"))
