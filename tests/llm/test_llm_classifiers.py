@@ -170,3 +170,17 @@ def test_toxicity_of_odd_texts(spark):
     only = toxicity.learn(docs, learned.where("toxic = 0").select("doc_id", "toxic"))
     assert {r["score"] for r in toxicity.score(docs, only).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_toxicity_by_rare_words(spark):
+    stock = [f"wort{i:04d}" for i in range(3000)]
+    draw = np.random.default_rng(8)
+    data = [(i, " ".join(draw.choice(stock, 40)), int(i % 4 == 0)) for i in range(200)]
+    data[0] = (0, "ein seltenes schimpfwort steht nur hier", 1)
+    learned = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    docs = learned.select("doc_id", "text").unionByName(spark.createDataFrame([(1000, data[0][1]), (1001, "eine schimpfwoertliche rede")], "doc_id long, text string"))
+    model = toxicity.learn(docs, learned.select("doc_id", "toxic"))
+    told = {r["doc_id"]: r for r in toxicity.score(docs, model).where("doc_id >= 1000").collect()}
+    copy = told[1000].evidence[0]
+    assert (copy["doc_id"], copy["toxic"]) == (0, 1) and abs(copy["cosine"] - 1) < 1e-9
+    assert told[1000].score > told[1001].score and [e["doc_id"] for e in told[1001].evidence] == [0]

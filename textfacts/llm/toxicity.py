@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and their first four, five and six letters.  A bounded sample of labelled documents gives the
-examples and the terms that tell toxic ones from others; document frequencies of those terms count every document.
-The examples stand in a block-max inverted index: postings by term, in blocks of examples, with the largest weight of
-each term in each block.  A query adds these maxima up to a bound for each block and reads blocks by falling bound
-until none can hold a nearer example than the k-th found, so the k nearest are exact.
-
-Neighbours vote by closeness, and by how many labelled documents each stands for.  A logistic curve fitted to
-leave-one-out votes of the sample turns votes into probabilities.  A document is never its own neighbour.  Ties go to
-the smaller example id.
-
-Defined results: null and empty texts, and texts without any chosen term, get the calibrated score of the sample's
-texts without one, and no evidence.  With labels of one kind only, or none, the score is that label's (or 0.0).
-Repeated rows are scored each; columns other than the named ones are ignored.
+examples; all terms of all examples are indexed, and their document frequencies count every document.  The examples
+stand in blocks: rare terms as sparse postings, whose products are summed for every example, and terms of many examples
+as dense rows with their largest weight in each block.  A block is multiplied only if its maxima and its largest sparse
+sum allow a nearer example than the k-th known so far, so the k nearest are exact.
+
+Neighbours vote by closeness, and by how many labelled documents each stands for.  The vote is taken twice: over all
+terms, which also gives the evidence, and over the terms whose share of toxic examples is clearly larger (``telling``).
+A logistic curve of both, fitted to leave-one-out votes of the sample, turns them into probabilities.  A document is
+never its own neighbour.  Ties go to the smaller example id.
+
+Defined results: null and empty texts, texts without any letter, and texts without any term of an example get the
+smoothed share of toxic ones among the sample's texts without a telling term, and no evidence.  With labels of one kind
+only, or none, the score is that label's (or 0.0).  Repeated rows are scored each; columns other than the named ones are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from textfacts.llm.common import is_remainder, sample_per_class, slices, table
 
-#: Bounds of the learning sample (documents of each label) and of the terms learned from it.
+#: Bounds of the learning sample (documents of each label) and of the telling terms learned from it.
 SAMPLE_PER_LABEL = 2000
 TERMS = 400
 #: How far apart, in standard deviations, the shares of toxic and other documents with a term must be.
@@ -37,7 +40,11 @@ MIN_DEVIATION = 5.0
 MIN_DOCUMENTS = 3
 NEIGHBOURS = 15
 BLOCK = 32
-_BLOCKS_AT_ONCE = 4
+_BLOCKS_AT_ONCE = 8
+#: A term is dense if more than this share of the examples has it.
+_DENSE = 1 / 16
+_QUERIES_AT_ONCE = 64
+_STARTS_KNOWN = 200_000
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -52,98 +59,202 @@ def term_counts(text: str | None, wanted: frozenset[str] | dict[str, int] | None
     return out
 
 
+class Numbered:
+    """``term_counts`` by term number; remembers the numbers of first letters, which many words share."""
+
+    def __init__(self, terms: dict[str, int]):
+        self.terms = terms
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the text's terms, rising, and how often each stands in it."""
+        known, get = self.known, self.terms.get
+        if len(known) > _STARTS_KNOWN:
+            known.clear()
+        words = Counter(_WORD.findall((text or "").lower()))
+        found = []
+        for word in words:
+            start = word[:6]
+            numbers = known.get(start)
+            if numbers is None:
+                every = (get(t) for t in {"^" + word[:4], "^" + word[:5], "^" + start})
+                numbers = known[start] = [n for n in every if n is not None]
+            own = get(word)
+            found.append(numbers if own is None else [own, *numbers])
+        flat = np.fromiter(chain.from_iterable(found), np.int64)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
+        terms, place = np.unique(flat, return_inverse=True)
+        return terms, np.bincount(place, times, minlength=len(terms))
+
+
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
+Vector = tuple[np.ndarray, np.ndarray]  # term numbers, and weights with a sum of squares of one
+
+
+def _pair(v: Vector | dict[int, float]) -> Vector:
+    return (np.array(list(v), np.int64), np.array(list(v.values()), float)) if isinstance(v, dict) else v
+
+
 class BlockMaxIndex:
     """Unit vectors by example, found again by exact cosine.
 
-    ``postings[t, b]`` has the weights of term t in the examples of block b, ``maxima[t, b]`` the largest of them.
+    Term t's postings are entries ``starts[t]`` to ``starts[t + 1]`` of ``places`` and ``weights``.  A term of many examples has
+    none but the row ``row[t]`` of ``dense`` (weights by place) and of ``maxima`` (the largest of each block).
     """
 
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], terms: int, block: int = BLOCK):
+    def __init__(self, vectors: list[Vector | dict[int, float]], ids: list[int], terms: int, block: int = BLOCK):
+        vectors = [_pair(v) for v in vectors]
         # examples with the same heaviest terms side by side make blocks whose maxima say much
-        order = sorted(range(len(ids)), key=lambda i: (sorted(vectors[i], key=lambda t: -vectors[i][t])[:2], ids[i]))
+        heaviest = [t[np.argsort(-w, kind="stable")[:2]].tolist() for t, w in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (heaviest[i], ids[i]))
         self.order = order
-        blocks = -(-len(ids) // block)
-        self.ids = np.full(blocks * block, -1, np.int64)
+        size = -(-len(ids) // block) * block
+        self.ids = np.full(size, -1, np.int64)
         self.ids[: len(ids)] = [ids[i] for i in order]
         self.block = block
-        self.postings = np.zeros((terms, blocks, block))
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                self.postings[t, place // block, place % block] = w
-        self.maxima = self.postings.max(axis=2, initial=0.0)
+        term = np.concatenate([vectors[i][0] for i in order])
+        weight = np.concatenate([vectors[i][1] for i in order])
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]).astype(np.int32)
+        often = np.flatnonzero(np.bincount(term, minlength=terms) > max(block, len(ids) * _DENSE))
+        self.row = np.full(terms, -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        row = self.row[term]
+        self.dense = np.zeros((len(often), size))
+        self.dense[row[row >= 0], place[row >= 0]] = weight[row >= 0]
+        self.maxima = self.dense.reshape(len(often), size // block, block).max(axis=2)
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.places, self.weights = place[rare], weight[rare]
+        self.starts = np.searchsorted(term[rare], np.arange(terms + 1))
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[int, float]]:
         """(place, cosine) of the ``k`` nearest examples with a positive cosine, nearest first."""
-        terms, weights = np.array(list(query)), np.array(list(query.values()))
-        bound = weights @ self.maxima[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        sums, places, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for at in range(0, len(order), _BLOCKS_AT_ONCE):
-            some = order[at : at + _BLOCKS_AT_ONCE]
-            if bound[some[0]] < least - 1e-9:
-                break
-            new = np.einsum("t,tbe->be", weights, self.postings[terms[:, None], some]).ravel()
-            where = (some[:, None] * self.block + np.arange(self.block)).ravel()
-            good = (new > 0) & (new >= least - 1e-9)
-            if without is not None:
-                good &= self.ids[where] != without
-            sums, places = np.concatenate([sums, new[good]]), np.concatenate([places, where[good]])
-            if len(sums) >= k:
-                least = np.partition(sums, len(sums) - k)[len(sums) - k]
-        best = np.lexsort((self.ids[places], -np.round(sums, 12)))[:k]
-        return list(zip(places[best].tolist(), sums[best].tolist(), strict=True))
+        return self.nearest_of_each([_pair(query)], k, [without])[0]
+
+    def nearest_of_each(self, queries: list[Vector], k: int, without: list[int | None]) -> list[list[tuple[int, float]]]:
+        out = []
+        for at in range(0, len(queries), _QUERIES_AT_ONCE):
+            out += self._nearest(queries[at : at + _QUERIES_AT_ONCE], k, without[at : at + _QUERIES_AT_ONCE])
+        return out
+
+    def _nearest(self, queries: list[Vector], k: int, without: list[int | None]) -> list[list[tuple[int, float]]]:
+        size = len(self.ids)
+        sums, often = np.zeros((len(queries), size)), np.zeros((len(queries), len(self.dense)))
+        for i, (terms, weights) in enumerate(queries):
+            row = self.row[terms]
+            often[i, row[row >= 0]] = weights[row >= 0]
+            rare, w = terms[row < 0], weights[row < 0]
+            counts = self.starts[rare + 1] - self.starts[rare]
+            entry = np.repeat(self.starts[rare] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            sums[i] = np.bincount(self.places[entry], np.repeat(w, counts) * self.weights[entry], minlength=size)
+            if without[i] is not None:
+                sums[i, self.ids == without[i]] = -2.0  # below zero whatever is added
+        # the sparse sums alone say how near the k-th is at least, and with the maxima how near a block's can be at most
+        least = np.partition(sums, size - k, axis=1)[:, size - k] if size >= k else np.zeros(len(queries))
+        bound = often @ self.maxima + sums.reshape(len(queries), -1, self.block).max(axis=2)
+        wanted = (bound > 0) & (bound >= least[:, None] - 1e-9)
+        for b in range(0, wanted.shape[1], _BLOCKS_AT_ONCE):
+            some = np.flatnonzero(wanted[:, b : b + _BLOCKS_AT_ONCE].any(axis=1))
+            if len(some):
+                where = slice(b * self.block, (b + _BLOCKS_AT_ONCE) * self.block)
+                sums[some, where] += often[some] @ self.dense[:, where]
+        out = []
+        for told in sums:
+            places = np.flatnonzero(told > 0)
+            if len(places) > k:
+                kth = np.partition(told[places], len(places) - k)[len(places) - k]
+                places = places[told[places] >= kth - 1e-9]
+            best = places[np.lexsort((self.ids[places], -np.round(told[places], 12)))[:k]]
+            out.append(list(zip(best.tolist(), told[best].tolist(), strict=True)))
+        return out
 
 
 @dataclass
-class Model:
-    terms: dict[str, int]
-    weights: np.ndarray  # inverse document frequencies
-    index: BlockMaxIndex | None
+class Votes:
+    """Labelled examples that vote for their neighbours."""
+
+    index: BlockMaxIndex
     toxic: np.ndarray  # by place in the index
     stands_for: np.ndarray  # by place: labelled documents for each example
-    curve: tuple[float, float]
-    empty: float  # score of texts without a chosen term
     base: float
-    neighbours: int = NEIGHBOURS
-    remembered: dict = field(default_factory=dict, repr=False)
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        v = {self.terms[t]: (1 + np.log(n)) * self.weights[self.terms[t]] for t, n in counts.items() if t in self.terms}
-        size = np.sqrt(sum(w * w for w in v.values()))
-        return {t: w / size for t, w in sorted(v.items())}
-
-    def vote(self, v: dict[int, float], own: int | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """Log odds of the weighted votes, and the neighbours (example id, cosine, label)."""
-        near = self.index.nearest(v, self.neighbours, own)
-        sums = np.array([1 - self.base, self.base]) * 0.5  # half a vote as the labels are
-        for place, cosine in near:
-            sums[self.toxic[place]] += self.stands_for[place] * cosine / (1.05 - min(cosine, 1.0)) / 20
-        return float(np.log(sums[1] / sums[0])), [(int(self.index.ids[p]), c, int(self.toxic[p])) for p, c in near]
-
-    def score(self, text: str | None, own: int | None) -> tuple[float, list[tuple[int, float, int]]]:
-        counts = term_counts(text, self.terms)
-        if not counts or self.index is None:
-            return self.empty, []
-        odds, near = self.vote(self.vector(counts), own)
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a * odds + b, -30, 30)))), near
-
-
-def _logistic_curve(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0.05) and offset that maximise the weighted likelihood, by Newton's steps with a small pull to (1, 0)."""
-    w, pull = np.array([1.0, 0.0]), 0.02
-    design = np.stack([x, np.ones_like(x)], 1)
+    neighbours: int
+
+    def __call__(self, queries: list[Vector], own: list[int | None]) -> tuple[np.ndarray, list[list[tuple[int, float, int]]]]:
+        """Log odds of the weighted votes, and the neighbours (example id, cosine, label), for each query."""
+        found = self.index.nearest_of_each(queries, self.neighbours, own)
+        odds = np.zeros(len(queries))
+        for i, near in enumerate(found):
+            sums = np.array([1 - self.base, self.base]) * 0.5  # half a vote as the labels are
+            for place, cosine in near:
+                sums[self.toxic[place]] += self.stands_for[place] * cosine / (1.05 - min(cosine, 1.0)) / 20
+            odds[i] = np.log(sums[1] / sums[0])
+        return odds, [[(int(self.index.ids[p]), c, int(self.toxic[p])) for p, c in near] for near in found]
+
+
+def _unit(terms: np.ndarray, weights: np.ndarray) -> Vector:
+    return terms, weights / (np.sqrt((weights**2).sum()) or 1.0)
+
+
+@dataclass
+class Model:
+    terms: dict[str, int]  # the telling ones
+    base: float
+    empty: float  # score of texts that no example has a term of
+    vocabulary: dict[str, int] = field(default_factory=dict, repr=False)
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))  # inverse document frequencies, by vocabulary
+    telling: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # by vocabulary: number in ``terms`` or -1
+    whole: Votes | None = None
+    told: Votes | None = None
+    curve: np.ndarray = field(default_factory=lambda: np.zeros(3))
+
+    def vectors(self, terms: np.ndarray, counts: np.ndarray) -> tuple[Vector, Vector]:
+        """The unit vectors over all terms and over the telling ones."""
+        w = (1 + np.log(counts)) * self.weights[terms]
+        told = self.telling[terms]
+        return _unit(terms, w), _unit(told[told >= 0], w[told >= 0])
+
+    def features(self, pairs: list[tuple[Vector, Vector]], own: list[int | None]) -> tuple[np.ndarray, list[list[tuple[int, float, int]]]]:
+        """Log odds of both votes and a one, and the neighbours over all terms, for each text."""
+        x = np.ones((len(pairs), 3))
+        x[:, 0], near = self.whole([v for v, _ in pairs], own)
+        x[:, 1] = np.log(self.empty / (1 - self.empty))
+        some = [i for i, (_, v) in enumerate(pairs) if len(v[0])]
+        if some and self.told is not None:
+            x[some, 1] = self.told([pairs[i][1] for i in some], [own[i] for i in some])[0]
+        return x, near
+
+    def score(self, texts: list[str | None], own: list[int | None], numbered: Numbered) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        out, some, pairs = [(self.empty, [])] * len(texts), [], []
+        for i, text in enumerate(texts if self.whole else []):
+            if has_letter(text):
+                terms, counts = numbered(text)
+                if len(terms):
+                    some.append(i)
+                    pairs.append(self.vectors(terms, counts))
+        if some:
+            x, near = self.features(pairs, [own[i] for i in some])
+            for i, p, e in zip(some, 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))), near, strict=True):
+                out[i] = (float(p), e)
+        return out
+
+
+def _logistic_curve(design: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Slopes (at least 0.05) and offset that maximise the weighted likelihood, by Newton's steps with a small pull to slopes of 1 in sum."""
+    prior, pull = np.array([*[1 / (design.shape[1] - 1)] * (design.shape[1] - 1), 0.0]), 0.02
+    w = prior
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        slope = design.T @ (share * (p - y)) + pull * (w - [1.0, 0.0])
-        bend = (design * (share * p * (1 - p))[:, None]).T @ design + pull * np.eye(2)
+        slope = design.T @ (share * (p - y)) + pull * (w - prior)
+        bend = (design * (share * p * (1 - p))[:, None]).T @ design + pull * np.eye(len(w))
         w = w - np.linalg.solve(bend, slope)
-    return max(0.05, float(w[0])), float(w[1])
+    return np.array([*np.maximum(0.05, w[:-1]), w[-1]])
 
 
-def choose_terms(sample: DataFrame, limit: int = TERMS) -> dict[str, int]:
-    """The terms whose shares of toxic and other documents of ``sample`` (text, toxic) differ most, the toxic share larger."""
+def choose_terms(sample: DataFrame, limit: int = TERMS) -> tuple[dict[str, int], dict[str, int]]:
+    """The terms whose shares of toxic and other documents of ``sample`` (text, toxic) differ most, the toxic share larger; and all terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, limit=16 << 20):
@@ -155,30 +266,33 @@ def choose_terms(sample: DataFrame, limit: int = TERMS) -> dict[str, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[0][t] for t in terms], pa.int64()), pa.array([seen[1][t] for t in terms], pa.int64())], ["term", "other", "toxic"])
 
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = totals.get(0, 0), totals.get(1, 0)
-    both = sample.mapInArrow(run, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("a"), F.sum("toxic").alias("b"))
-    share = (F.col("a") + F.col("b")) / F.lit(n0 + n1)
-    z = (F.col("b") / n1 - F.col("a") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
-    best = both.where(F.col("b") >= MIN_DOCUMENTS).select("term", z.alias("z")).where(F.col("z") >= MIN_DEVIATION)
-    rows = best.orderBy(F.desc("z"), "term").limit(limit).collect()
-    return {t: i for i, t in enumerate(sorted(r["term"] for r in rows))}
+    n0, n1 = max(1, totals.get(0, 0)), max(1, totals.get(1, 0))
+    both = sample.mapInArrow(run, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("a"), F.sum("toxic").alias("b")).toArrow()
+    a, b = (both.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    share = (a + b) / (n0 + n1)
+    z = (b / n1 - a / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
+    names = both.column("term").to_pylist()
+    best = sorted(np.flatnonzero((b >= MIN_DOCUMENTS) & (z >= MIN_DEVIATION)).tolist(), key=lambda i: (-z[i], names[i]))[:limit]
+    number = lambda terms: {t: i for i, t in enumerate(sorted(terms))}
+    return number(names[i] for i in best), number(names)
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those with each term, over the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, seen = 0, np.zeros(len(terms), np.int64)
+        count, seen, numbered = 0, np.zeros(len(terms), np.int64), Numbered(terms)
         for part in slices(batches):
             count += part.num_rows
             for text in part.column("text").to_pylist():
-                for t in term_counts(text, terms):
-                    seen[terms[t]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(terms)), pa.int32()), pa.array([count, *seen], pa.int64())], ["term", "n"])
+                seen[numbered(text)[0]] += 1
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([count, *seen[some]], pa.int64())], ["term", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    got = {r["term"]: r["n"] for r in rows}
-    return got.get(-1, 0), np.array([got.get(i, 0) for i in range(len(terms))], float)
+    rows = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = np.zeros(len(terms) + 1)
+    got[rows.column("term").to_numpy()] = rows.column("n").to_numpy()  # the last one is -1
+    return int(got[-1]), got[:-1]
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, limit: int = TERMS, neighbours: int = NEIGHBOURS) -> Model:
@@ -188,52 +302,59 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL,
     known = sum(shares.values())
     base = shares.get(1, 0) / known if known else 0.0
     if len(shares) < 2:
-        return Model({}, np.zeros(0), None, np.zeros(0, int), np.zeros(0), (1.0, 0.0), base, base)
+        return Model({}, base, base)
     chosen = sample_per_class(rows, "toxic", per_label)
     # at most two times per_label narrow rows, so they may be sent to every task
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    terms = choose_terms(sample, limit)
-    count, seen = document_frequencies(docs, terms)
-    weights = np.log((count + 1) / (seen + 1)) + 1
+    terms, vocabulary = choose_terms(sample, limit)
+    count, seen = document_frequencies(docs, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            counts = [term_counts(t, terms) for t in part.column("text").to_pylist()]
-            columns = [part.column("doc_id"), part.column("toxic"), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
+            counts = [term_counts(t, vocabulary) if has_letter(t) else {} for t in part.column("text").to_pylist()]
+            columns = [part.column("doc_id"), part.column("toxic"), pa.array([[vocabulary[t] for t in c] for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "term", "n"])
 
-    got = sample.mapInArrow(run, "doc_id long, toxic int, term array<string>, n array<long>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).to_pylist()
-    got = list({r["doc_id"]: r for r in got}.values())  # one example for each id
-    drawn = Counter(r["toxic"] for r in got)
-    model = Model(terms, weights, None, np.zeros(0, int), np.zeros(0), (1.0, 0.0), base, base, neighbours)
-    vectors = [model.vector(Counter(dict(zip(r["term"], r["n"], strict=True)))) for r in got]
+    got = sample.mapInArrow(run, "doc_id long, toxic int, term array<int>, n array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    ids, labels_of = got.column("doc_id").to_numpy(), got.column("toxic").to_numpy()
+    one = np.flatnonzero(np.append(ids[1:] != ids[:-1], True)) if len(ids) else np.zeros(0, int)  # one example for each id
+    drawn = Counter(labels_of[one].tolist())
+    model = Model(terms, base, base, vocabulary, np.log((count + 1) / (seen + 1)) + 1, np.array([terms.get(t, -1) for t in vocabulary], np.int64))
+    pairs = [model.vectors(*(got.column(c)[int(i)].values.to_numpy().astype(kind) for c, kind in (("term", np.int64), ("n", float)))) for i in one]
+    ids, labels_of = ids[one], labels_of[one]
     for_each = {y: shares[y] / drawn[y] for y in drawn}
-    full = [i for i, v in enumerate(vectors) if v]
-    bare = Counter(got[i]["toxic"] for i, v in enumerate(vectors) if not v)
+    scale = min(for_each.values(), default=1.0)
+
+    def votes(which: int) -> Votes | None:
+        full = [i for i, p in enumerate(pairs) if len(p[which][0])]
+        if not full:
+            return None
+        index = BlockMaxIndex([pairs[i][which] for i in full], ids[full].tolist(), len((vocabulary, terms)[which]))
+        toxic = labels_of[[full[i] for i in index.order]]
+        return Votes(index, toxic, np.array([for_each[y] / scale for y in toxic.tolist()]), base, neighbours)
+
+    bare = Counter(y for y, p in zip(labels_of.tolist(), pairs, strict=True) if not len(p[1][0]))
     toxic, other = bare[1] * for_each.get(1, 1), bare[0] * for_each.get(0, 1)
     model.empty = (toxic + base) / (toxic + other + 1)
-    if full:
-        index = BlockMaxIndex([vectors[i] for i in full], [got[i]["doc_id"] for i in full], len(terms))
-        model.toxic = np.array([got[full[i]]["toxic"] for i in index.order])
-        scale = min(for_each.values())
-        model.stands_for = np.array([for_each[y] / scale for y in model.toxic])
-        model.index = index
-        odds = np.array([model.vote(vectors[i], got[i]["doc_id"])[0] for i in full])
-        labels_of = np.array([got[i]["toxic"] for i in full])
-        model.curve = _logistic_curve(odds, labels_of, np.array([for_each[y] / scale for y in labels_of]))
+    model.whole, model.told = votes(0), votes(1)
+    if model.whole:
+        full = [i for i, p in enumerate(pairs) if len(p[0][0])]
+        x, _ = model.features([pairs[i] for i in full], ids[full].tolist())
+        model.curve = _logistic_curve(x, labels_of[full], np.array([for_each[y] / scale for y in labels_of[full].tolist()]))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, evidence): the evidence is the nearest examples' ids, cosines and labels."""
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample and the number of terms
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
+        numbered = Numbered(fitted.vocabulary)
         for part in slices(batches):
             ids = part.column("doc_id")
-            got = [fitted.score(t, d) for t, d in zip(part.column("text").to_pylist(), ids.to_pylist(), strict=True)]
+            got = fitted.score(part.column("text").to_pylist(), ids.to_pylist(), numbered)
             value = np.array([s for s, _ in got])
             evidence = pa.array([[{"doc_id": d, "cosine": c, "toxic": y} for d, c, y in e[:5]] for _, e in got], near)
             yield pa.RecordBatch.from_arrays([ids, pa.array(value), pa.array((value >= THRESHOLD).astype(np.int32)), evidence], ["doc_id", "score", "predicted", "evidence"])
