@@ -184,3 +184,9 @@ def test_toxicity_by_rare_words(spark):
     copy = told[1000].evidence[0]
     assert (copy["doc_id"], copy["toxic"]) == (0, 1) and abs(copy["cosine"] - 1) < 1e-9
     assert told[1000].score > told[1001].score and [e["doc_id"] for e in told[1001].evidence] == [0]
+
+
+def test_commonest_word_may_stand_anywhere():
+    at = quality.NAMES.index("commonest word")
+    assert quality.measure("a spam spam spam b c d e f")[at] == 3 / 9
+    assert quality.measure(None)[at] == 0

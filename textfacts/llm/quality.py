@@ -14,6 +14,7 @@ Columns other than the named ones are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,11 +51,8 @@ def measure(text: str | None) -> np.ndarray:
     lines = text.split("\n")
     count = max(1, len(words))
     lengths = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
-    distinct = set(words)
-    top = 0.0
-    if words:
-        some = words[0]
-        top = max(words.count(w) for w in {some, words[-1], words[len(words) // 2]}) / count
+    distinct = Counter(words)
+    top = max(distinct.values(), default=0) / count
     capitals = sum(map(str.isupper, words)) / count
     ends = sum(not w[-1].isalnum() for w in words) / count
     rest = [
