@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textfacts.llm.chat import OP3_SQL, op3_chat
+from textfacts.llm.collocations import OP11_SQL, op11_collocations
 from textfacts.llm.decontaminate import op9_decontaminate
 from textfacts.llm.language import op5_language
 from textfacts.llm.nearcopies import op1_near_copies
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_decontaminate": op9_decontaminate,
     "op10_passages": op10_passages,
+    "op11_collocations": op11_collocations,
 }
 
 #: DuckDB twins; the other queries are tested against brute force or held-out labels.
-ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op4_warc": OP4_SQL}
+ORACLES: dict[str, str] = {"op3_chat": OP3_SQL, "op4_warc": OP4_SQL, "op11_collocations": OP11_SQL}
