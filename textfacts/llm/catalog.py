@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from textfacts.llm.alignment import op12_alignment
 from textfacts.llm.chat import OP3_SQL, op3_chat
 from textfacts.llm.collocations import OP11_SQL, op11_collocations
 from textfacts.llm.decontaminate import op9_decontaminate
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_passages": op10_passages,
     "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
 }
 
 #: DuckDB twins; the other queries are tested against brute force or held-out labels.
