@@ -239,31 +239,18 @@ def trie(sequences: Sequence[Sequence[int]], weights: Sequence[int]) -> list[Lev
     return levels
 
 
-FIELDS = "words array<binary>, weights array<long>, firsts array<long>, labels array<int>, targets array<int>"
-ARROW_FIELDS = [("words", pa.list_(pa.binary())), ("weights", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("labels", pa.list_(pa.int32())), ("targets", pa.list_(pa.int32()))]
-
-
-def rows_of(automata: Sequence[Automaton]) -> list[pa.Array]:
-    """The automata as columns, one row each."""
-
-    def column(parts, kind):
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        flat = pa.concat_arrays([p if isinstance(p, pa.Array) else pa.array(p) for p in parts]) if parts else pa.array([])
-        return pa.ListArray.from_arrays(pa.array(ends), flat.cast(kind))
-
-    return [
-        column([getattr(a, name) if name != "words" else a.words.cast(pa.binary()) for a in automata], kind.value_type)
-        for name, kind in ARROW_FIELDS
-    ]
-
-
-def automata_of(rows: pa.Table | pa.RecordBatch) -> list[Automaton]:
-    columns = {}
-    for name, _ in ARROW_FIELDS:
-        c = rows.column(name)
-        columns[name] = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    out = []
-    for k in range(rows.num_rows):
-        words, *numbers = (columns[name][k].values for name, _ in ARROW_FIELDS)
-        out.append(Automaton(words.cast(pa.binary()), *(n.to_numpy(zero_copy_only=False).astype(np.int64) for n in numbers)))
-    return out
+def packed(automaton: Automaton) -> bytes:
+    """An automaton as compressed bytes."""
+    columns = [automaton.words.cast(pa.binary()), *map(pa.array, (automaton.weights, automaton.firsts, automaton.labels.astype(np.int32), automaton.targets.astype(np.int32)))]
+    lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(lists, ["words", "weights", "firsts", "labels", "targets"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> Automaton:
+    with pa.ipc.open_stream(data) as stream:
+        words, *numbers = (c.values for c in stream.read_next_batch().columns)
+    return Automaton(words, *(n.to_numpy().astype(np.int64) for n in numbers))

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textfacts.llm.automata import (
-    ARROW_FIELDS,
-    FIELDS,
     Automaton,
     Level,
-    automata_of,
     compose,
     merged_words,
     minimal,
+    packed,
     pruned,
-    rows_of,
     trie,
     union,
+    unpacked,
 )
 from textfacts.llm.common import gathered, table
 from textfacts.session import materialise
@@ -51,10 +50,12 @@ PER_LANG = 2000
 LONGER_SHARE = 50  # per cent of a phrase's count at which a longer phrase stands for it
 SCALE = 1_000_000
 #: Text a task counts at a time, and text per final range.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 6 << 20
 RANGE_BYTES = 12 << 20
 #: Into how many ranges one round cuts at most.
 FAN = 256
+#: Slices a task hands on at a time.
+SLICES_AT_ONCE = 16
 
 _BREAK = 0xFF  # no byte of UTF-8 text
 _BYTES = bytes(
@@ -88,16 +89,17 @@ def counted(texts: Iterable[str | None], langs: Iterable[str | None]) -> tuple[p
     runs, of = [], []
     for text, lang in zip(texts, langs, strict=True):
         words = pieces_words(text)
-        runs.append(np.fromiter((number(w, len(numbers)) for w in words), np.int64, len(words)))
-        runs.append(np.zeros(1, np.int64))
+        runs.append(np.fromiter((number(w, len(numbers)) for w in words), np.int32, len(words)))
+        runs.append(np.zeros(1, np.int32))
         name = b"und" if lang is None else lang.encode("utf-8", "replace")
         of.append((lang_numbers.setdefault(name, len(lang_numbers)), len(words) + 1))
-    token = np.concatenate([*runs, np.zeros(LONGEST, np.int64)])
-    lang = np.repeat([a for a, _ in of] + [0], [n for _, n in of] + [LONGEST]).astype(np.int64)
+    token = np.concatenate([*runs, np.zeros(LONGEST, np.int32)])
+    del runs
+    lang = np.repeat(np.array([a for a, _ in of] + [0], np.int32), [n for _, n in of] + [LONGEST])
     names = pa.array([b"", *list(numbers)[1:]], pa.binary())  # the break mark has no label that is used
     words, (place, lang_place) = merged_words([names, pa.array(list(lang_numbers), pa.binary())])
     width = len(words)
-    label = place[token]
+    label = place.astype(np.int32)[token]
     at = np.flatnonzero(token != 0)
     key = lang_place[lang[at]] if len(at) else at
     levels = []
@@ -171,12 +173,16 @@ def cut(words: pa.Array, levels: list[Level], ranges: int) -> Iterator[tuple[int
         yield r, minimal(words.take(pa.array(used)), [m._replace(label=p) for m, p in zip(mine, parts, strict=True)])
 
 
-_SLICES = f"place long, run long, {FIELDS}"
+_SLICES = "place long, run long, automaton binary"
 
 
 def _slice_batch(found: list[tuple[int, Automaton]], run: int) -> pa.RecordBatch:
-    columns = [pa.array([r for r, _ in found], pa.int64()), pa.array([run] * len(found), pa.int64()), *rows_of([a for _, a in found])]
-    return pa.RecordBatch.from_arrays(columns, ["place", "run", *(n for n, _ in ARROW_FIELDS)])
+    columns = [pa.array([r for r, _ in found], pa.int64()), pa.array([run] * len(found), pa.int64()), pa.array([packed(a) for _, a in found], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["place", "run", "automaton"])
+
+
+def _automata(rows: pa.Table | pa.RecordBatch) -> list[Automaton]:
+    return [unpacked(data) for data in rows.column("automaton").to_pylist()]
 
 
 def shards(docs: DataFrame, ranges: int) -> DataFrame:
@@ -186,7 +192,8 @@ def shards(docs: DataFrame, ranges: int) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         for number, part in enumerate(gathered(batches, limit=SHARD_BYTES), first):
             words, levels = counted(part.column("text").to_pylist(), part.column("lang").to_pylist())
-            if found := list(cut(words, levels, ranges)):
+            slices = cut(words, levels, ranges)
+            while found := list(islice(slices, SLICES_AT_ONCE)):
                 yield _slice_batch(found, number)
 
     return docs.select("text", "lang").mapInArrow(run, _SLICES)
@@ -196,27 +203,27 @@ def _recut(ranges: int, finer: int):
     """One round more: unite some runs of a range and cut it into finer ones."""
 
     def run(group: pa.Table) -> pa.Table:
-        words, levels = union(automata_of(group))
+        words, levels = union(_automata(group))
         number = group.column("run")[0].as_py()
         return pa.Table.from_batches([_slice_batch(list(cut(words, levels, finer)), number)])
 
     return run
 
 
-_COUNTS = f"place long, {FIELDS}, langs array<binary>, lang_words array<long>"
-_COUNTS_SCHEMA = pa.schema([("place", pa.int64()), *ARROW_FIELDS, ("langs", pa.list_(pa.binary())), ("lang_words", pa.list_(pa.int64()))])
+_COUNTS_SCHEMA = pa.schema([("place", pa.int64()), ("automaton", pa.binary()), ("langs", pa.list_(pa.binary())), ("lang_words", pa.list_(pa.int64()))])
+_COUNTS = "place long, automaton binary, langs array<binary>, lang_words array<long>"
 
 
 def _united(least: int):
     """The last round: a range's counts without rare phrases, and its words by language."""
 
     def run(group: pa.Table) -> pa.Table:
-        words, levels = union(automata_of(group))
+        words, levels = union(_automata(group))
         total = np.zeros(len(levels[0].label), np.int64)
         np.add.at(total, levels[1].parent, levels[1].weight)
         kept = minimal(words, pruned(levels, least))
         langs = words.take(pa.array(levels[0].label)).to_pylist()
-        columns = [group.column("place")[:1].combine_chunks(), *rows_of([kept]), pa.array([langs], pa.list_(pa.binary())), pa.array([total.tolist()], pa.list_(pa.int64()))]
+        columns = [group.column("place")[:1].combine_chunks(), pa.array([packed(kept)], pa.binary()), pa.array([langs], pa.list_(pa.binary())), pa.array([total.tolist()], pa.list_(pa.int64()))]
         return pa.Table.from_arrays(columns, schema=_COUNTS_SCHEMA)
 
     return run
@@ -276,7 +283,7 @@ def _asked(ranges: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asker, automaton in zip(batch.column("place").to_pylist(), automata_of(batch), strict=True):
+            for asker, automaton in zip(batch.column("place").to_pylist(), _automata(batch), strict=True):
                 lang, phrases = _phrases(*(found := _paths(automaton)))
                 levels = found[1][1:]
                 wanted: dict[int, dict[tuple[bytes, tuple], int]] = {1: {}, 2: {}}
@@ -313,7 +320,7 @@ def _answered(asked: pa.Table, counts: pa.Table) -> pa.Table:
     number = {w: i for i, w in enumerate(words.to_pylist())}
     sequences = [[number[w] for w in s] for s in split]
     wanted = trie(sequences, [0] * len(sequences))
-    found = compose(words, wanted, automata_of(counts)[0])
+    found = compose(words, wanted, _automata(counts)[0])
     node_of: dict[tuple, int] = {}
     known = []
     for level, weights in zip(wanted, found, strict=True):
@@ -357,7 +364,7 @@ def _scored(per_lang: int, longer_share: int):
                 longest[tongue, part] = a
             else:
                 count[tongue, part] = c
-        words, levels = _paths(automata_of(counts)[0])
+        words, levels = _paths(_automata(counts)[0])
         lang, phrases = _phrases(words, levels)
         best: dict[bytes, list[tuple]] = {}
         for depth in range(1, len(levels) - 1):
@@ -392,7 +399,7 @@ def _scored(per_lang: int, longer_share: int):
 def collocations(docs: DataFrame, least: int = LEAST, per_lang: int = PER_LANG, longer_share: int = LONGER_SHARE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best ``per_lang`` phrases of each language."""
     counts, ranges = phrase_counts(docs, least)
-    asked = counts.select("place", *(n for n, _ in ARROW_FIELDS)).mapInArrow(_asked(ranges), _ASKED_SQL)
+    asked = counts.select("place", "automaton").mapInArrow(_asked(ranges), _ASKED_SQL)
     fields = counts.drop("langs", "lang_words")
     answers = asked.groupBy("place").cogroup(fields.groupBy("place")).applyInArrow(_answered, _ANSWER_SQL)
     found = answers.groupBy("place").cogroup(fields.groupBy("place")).applyInArrow(_scored(per_lang, longer_share), _SCORED_SQL)
