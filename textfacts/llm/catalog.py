@@ -6,6 +6,7 @@ from textfacts.llm.alignment import op12_alignment
 from textfacts.llm.chat import OP3_SQL, op3_chat
 from textfacts.llm.collocations import OP11_SQL, op11_collocations
 from textfacts.llm.decontaminate import op9_decontaminate
+from textfacts.llm.interpolation import op13_language_model
 from textfacts.llm.language import op5_language
 from textfacts.llm.nearcopies import op1_near_copies
 from textfacts.llm.neighbours import op6_neighbours
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_passages": op10_passages,
     "op11_collocations": op11_collocations,
     "op12_alignment": op12_alignment,
+    "op13_language_model": op13_language_model,
 }
 
 #: DuckDB twins; the other queries are tested against brute force or held-out labels.
