@@ -154,6 +154,8 @@ alike as (
 ORACLES["scan_articles_csv"] = f"""with {RAW}
 select md5(article) as article_md5, md5(summary) as summary_md5, headline, category, date from raw"""
 
+ORACLES["scan_articles_csv_split"] = ORACLES["scan_articles_csv"]
+
 ORACLES["scan_capped"] = "select * from documents order by doc_id limit 200"
 
 ORACLES["write_splits"] = f"""with {SPLIT}

@@ -47,19 +47,29 @@ def listed(values: Column) -> Column:
 # --- scans and sinks -------------------------------------------------------
 
 
-@register
-def scan_articles_csv(spark, folder):
-    """Articles written as CSV with line breaks in them, and read back."""
+def _articles_read_back(spark, folder, read):
     path = work_path(spark, "articles-csv")
     raw = views.raw_articles(spark, folder)
     tables.write_articles_csv(raw, path)
-    named = curation.standard_columns(tables.articles_csv(spark, path, raw.columns))
+    named = curation.standard_columns(read(spark, path, raw.columns))
     return named.select(
         F.md5("article").alias("article_md5"), F.md5("summary").alias("summary_md5"),
         "headline", "category", "date",
     )
 
 
+@register
+def scan_articles_csv(spark, folder):
+    """Articles written as CSV with line breaks in them, and read back."""
+    return _articles_read_back(spark, folder, tables.articles_csv)
+
+
+@register
+def scan_articles_csv_split(spark, folder):
+    """The same read by as many tasks as the files have splits."""
+    return _articles_read_back(spark, folder, tables.articles_csv_split)
+
+
 @register
 def scan_capped(spark, folder):
     return tables.capped(tables.scan(spark, folder, "documents"), ["doc_id"])

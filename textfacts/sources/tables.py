@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textfacts import constants as C
 from textfacts.operators.ordering import take_first
+from textfacts.sources.records import split_csv
 
 
 NULL_MARK = "\\N"  # how written CSV files show a missing value
@@ -21,13 +22,24 @@ def capped(df: DataFrame, order: list[str], rows: int = C.TEST_ROWS) -> DataFram
     return take_first(df, order, rows)
 
 
+_READ_CSV = {"escape": '"', "emptyValue": "", "nullValue": NULL_MARK, "multiLine": "true", "maxCharsPerColumn": "-1"}
+
+
+def articles_csv_split(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Like :func:`articles_csv`, for large files: a file is read by as many tasks as it has splits.
+
+    See :mod:`textfacts.sources.records` for how records are told apart.
+    """
+    return split_csv(spark, path, columns, _READ_CSV)
+
+
 def articles_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Article CSV with a header and quoted multi-line text, every column a string.
 
     The schema is given, never inferred: a file is read once.  Values are kept
     as written, so empty strings stay apart from missing values.  Quoted line
-    breaks keep a file from being split, so one file is one task: turn a large
-    export into a table once, with ``articles_csv(...).write.parquet(...)``.
+    breaks keep a file from being split, so one file is one task: read large
+    exports with :func:`articles_csv_split`.
     """
     schema = ", ".join(f"`{name}` string" for name in columns)
     return (
