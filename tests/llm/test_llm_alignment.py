@@ -72,6 +72,7 @@ def test_words_encode_as_the_whole_text(texts):
 
 def test_words_encode_as_the_whole_documents(spark, folder):
     texts = [r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()] + ODD
+    assert ENCODER.cuts and len(ENCODER.words("one two, three  four")) == 3
     found = alignment.align(texts, ENCODER)
     for text, a, b in zip(texts, flat(found, 0), flat(found, 1), strict=True):
         one, two, x, y = whole(text or "")

@@ -25,6 +25,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +46,14 @@ PIECE_WORK = 1 << 16
 BATCH_BYTES = 1 << 20
 SHARD_BYTES = 8 << 20
 #: Distinct words a task remembers, and their characters.
-REMEMBERED_WORDS = 150_000
-REMEMBERED_CHARS = 8 << 20
+REMEMBERED_WORDS = 300_000
+REMEMBERED_CHARS = 12 << 20
 #: Links that are written out at a time.
 LINKS_AT_ONCE = 4 << 20
 
 _MARK = "▁"
 _CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+_OVER = re.compile("[\\w!-~\ufffd] ($|[\\w!-~])")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -106,14 +108,15 @@ class Encoder:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
         self.spelled = a_spellings(files.a), b_spellings(self.b)
         self.sizes = tuple(np.array([len(s) for s in spelled], np.int64) for spelled in self.spelled)
-        # a piece with a blank behind something else could reach over a cut
-        self.cuts = not any(re.search(rb"[^ ] ", s) for s in self.spelled[0] + self.spelled[1])
+        # a piece with a blank behind a visible character could reach over a cut
+        self.cuts = not any(_OVER.search(s.decode("utf-8", "replace")) for s in self.spelled[0] + self.spelled[1])
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids: tuple[list, list] = ([], [])
-        self.good: list[bool] = []
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]  # of all known words, end to end
+        self.bounds = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.bad: set[int] = set()
         self.chars = 0
 
     def words(self, text: str) -> list[str]:
@@ -122,24 +125,34 @@ class Encoder:
 
     def learn(self, words: Iterable[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.number]
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
+        for start in range(0, len(new), 8192):
+            part = new[start : start + 8192]
+            first = len(self.number)
+            self.number.update(zip(part, range(first, first + len(part)), strict=True))
+            self.chars += sum(map(len, part))
             a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
             b = self.b.encode([w[1:] for w in part], num_threads=1)  # adds the blank
-            for word, x, y in zip(part, a, b, strict=True):
-                data = word.encode("utf-8", "replace")
-                self.good.append(all(b"".join([spelled[i] for i in ids]) == data for spelled, ids in zip(self.spelled, (x, y), strict=True)))
-                self.number[word] = len(self.ids[0])
-                self.ids[0].append(x)
-                self.ids[1].append(y)
-                self.chars += len(word)
+            data = [w.encode("utf-8", "replace") for w in part]
+            size = np.fromiter(map(len, data), np.int64, len(data))
+            for k, ids in enumerate((a, b)):
+                flat = np.fromiter(chain.from_iterable(ids), np.int32)
+                bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+                made = np.concatenate([[0], np.cumsum(self.sizes[k][flat])])[bounds]
+                spelled = self.spelled[k]
+                if (np.diff(made) != size).any() or b"".join([spelled[i] for i in flat.tolist()]) != b"".join(data):
+                    self.bad.update(first + j for j, (x, d) in enumerate(zip(ids, data, strict=True)) if b"".join([spelled[i] for i in x]) != d)
+                self.ids[k] = np.concatenate([self.ids[k], flat])
+                self.bounds[k] = np.concatenate([self.bounds[k], bounds[1:] + self.bounds[k][-1]])
 
     def same(self, numbers: list[int], text: str) -> bool:
         """Do the tokens join to the text?  Almost always told by the words alone."""
-        if all(map(self.good.__getitem__, numbers)):
+        if not self.bad or self.bad.isdisjoint(numbers):
             return True
         data = (" " + text).encode("utf-8", "replace")
-        return all(b"".join([spelled[i] for n in numbers for i in ids[n]]) == data for spelled, ids in zip(self.spelled, self.ids, strict=True))
+        return all(
+            b"".join([self.spelled[k][i] for n in numbers for i in self.ids[k][self.bounds[k][n] : self.bounds[k][n + 1]].tolist()]) == data
+            for k in (0, 1)
+        )
 
 
 @dataclass
@@ -158,19 +171,15 @@ def tokenize(texts: list[str | None], encoder: Encoder) -> Tokens:
     encoder.learn(w for words in split for w in words)
     numbers = [list(map(encoder.number.__getitem__, words)) for words in split]
     numbers = [n if n and encoder.same(n, t) else [] for n, t in zip(numbers, texts, strict=True)]
-    sequence = np.array([n for words in numbers for n in words], np.int64)
-    used, place = np.unique(sequence, return_inverse=True)
+    sequence = np.fromiter(chain.from_iterable(numbers), np.int64)
     word_bounds = np.cumsum([0, *map(len, numbers)])
     ids, ends, bounds = [], [], []
-    for all_ids, sizes in zip(encoder.ids, encoder.sizes, strict=True):
-        lists = [all_ids[n] for n in used.tolist()]
-        counts = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.int64)
-        starts = np.cumsum(counts) - counts
-        got = flat[spread(starts[place], counts[place])] if len(place) else flat
+    for k in (0, 1):
+        counts = np.diff(encoder.bounds[k])[sequence]
+        got = encoder.ids[k][spread(encoder.bounds[k][sequence], counts)].astype(np.int64)
         ids.append(got)
-        ends.append(np.cumsum(sizes[got]))
-        bounds.append(np.concatenate([[0], np.cumsum(counts[place])])[word_bounds])
+        ends.append(np.cumsum(encoder.sizes[k][got]))
+        bounds.append(np.concatenate([[0], np.cumsum(counts)])[word_bounds])
     return Tokens(tuple(ids), tuple(ends), tuple(bounds))
 
 
