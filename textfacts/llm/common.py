@@ -11,13 +11,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textfacts.session import materialise
+
 SLICE_BYTES = 4 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """``materialise``, and the shuffle files of the job go when it ends: later jobs read the table."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def with_fields(schema: T.StructType, **kinds: str) -> T.StructType:
     """A new schema with fields added last."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in kinds.items())).fields])

@@ -11,20 +11,22 @@ At a level only the ratio of the estimate to the level below matters, so all hel
 ratio by bucket (its logarithm in steps of a sixteenth, each step with its mean), which Spark adds up.
 
 Documents are read in shards.  A shard asks once for each different word (by the word itself) and for each different pair
-and triple (by a 56-bit fingerprint) it holds: sorted slices go to ranges, where the counts of all shards meet and are sent
+and triple (by a fingerprint long enough that one in a million shares its own) it holds: sorted slices go to ranges, where the counts of all shards meet and are sent
 back in the slice's order.  With more than ``FAN`` shards their slices are first put together in groups, so that the
 slices stay as many as the shards times ``FAN``.
 
 Defined results: null texts are empty, they have one token, the end; null ids are trained on and not held out; repeated
 rows count each; an empty table gives no rows, and without training documents every token is unknown.  Only ``doc_id``
-and ``text`` are read.  Words are counted exactly; with 10^11 different pairs and triples one in a million shares a
-fingerprint with another.  A document is held whole by one task.
+and ``text`` are read.  Words are counted exactly; about one pair or triple in a million shares a fingerprint with
+another, and both have the counts of the two together.  A document is held whole by one task.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textfacts.llm.common import crc_remainder, gathered, is_remainder, table
-from textfacts.session import materialise
+from textfacts.llm.common import gathered, is_remainder, table, written_once
 
 DIVISOR, HELD_OUT = 5, 1
 SHARD_BYTES = 6 << 20
@@ -45,7 +46,8 @@ BINS_PER_OCTAVE = 16
 STEPS = 500
 
 _START, _END = b" ", b"\n"  # no words
-_BITS = 56
+#: Fingerprints are so long that one pair or triple in two to this power shares its own with another.
+SPARE_BITS = 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CODEC = "zstd"
 
@@ -81,30 +83,41 @@ def words_of(data: bytes, n: int) -> list[bytes]:
     return [w or _END for w in body.split(b"\n")]
 
 
-@dataclass
 class Grams:
     """The tokens of some documents: two starts, words and the end of each, end to end.
 
-    ``pairs`` and ``triples`` are the different ones, with ``pair_at`` and ``triple_at`` for every place (-1: none ends there).
+    ``pairs`` and ``triples`` are the different ones, with ``pair_at`` and ``triple_of`` for every place and token; they
+    are found when they are first asked for.
     """
 
-    sequence: np.ndarray
-    sizes: np.ndarray
-    width: int
-
-    def __post_init__(self):
-        n = len(self.sequence)
-        first = np.cumsum(self.sizes) - self.sizes
-        inner = np.ones(n, bool)
-        inner[first] = False
-        at = np.flatnonzero(inner)
-        self.pairs, which = np.unique(self.sequence[at - 1].astype(np.int64) * self.width + self.sequence[at], return_inverse=True)
-        self.pair_at = np.full(n, -1, np.int64)
-        self.pair_at[at] = which
-        inner[first + 1] = False
-        self.token = np.flatnonzero(inner)  # places of words and ends
-        self.triples, self.triple_of = np.unique(self.pair_at[self.token - 1] * self.width + self.sequence[self.token], return_inverse=True)
-        self.document = np.repeat(np.arange(len(self.sizes)), self.sizes)
+    def __init__(self, sequence: np.ndarray, sizes: np.ndarray, width: int):
+        self.sequence, self.sizes, self.width = sequence.astype(np.int32), sizes, width
+        first = np.cumsum(sizes) - sizes
+        self._inner = np.ones(len(sequence), bool)
+        self._inner[first] = False
+        later = self._inner.copy()
+        later[first + 1] = False
+        self.token = np.flatnonzero(later).astype(np.int32)  # places of words and ends
+        self.document = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self._inner)
+        pairs, which = np.unique(self.sequence[at - 1].astype(np.int64) * self.width + self.sequence[at], return_inverse=True)
+        pair_at = np.full(len(self.sequence), -1, np.int32)
+        pair_at[at] = which
+        return pairs, pair_at
+
+    @cached_property
+    def _triples(self) -> tuple[np.ndarray, np.ndarray]:
+        key = self.pair_at[self.token - 1].astype(np.int64) * self.width + self.sequence[self.token]
+        triples, which = np.unique(key, return_inverse=True)
+        return triples, which.astype(np.int32)
+
+    pairs = property(lambda self: self._pairs[0])
+    pair_at = property(lambda self: self._pairs[1])
+    triples = property(lambda self: self._triples[0])
+    triple_of = property(lambda self: self._triples[1])
 
 
 def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
@@ -114,23 +127,23 @@ def _mixed(seed: int, *parts: np.ndarray) -> np.ndarray:
         state ^= state >> np.uint64(31)
         state *= np.uint64(0x94D049BB133111EB)
         state ^= state >> np.uint64(29)
-    return (state >> np.uint64(64 - _BITS)).astype(np.int64)
+    return state
 
 
-def fingerprints(grams: Grams, hashes: np.ndarray) -> np.ndarray:
+def fingerprints(grams: Grams, hashes: np.ndarray, bits: int) -> np.ndarray:
     """Of all pairs, then of all triples."""
     pair = grams.pairs // grams.width, grams.pairs % grams.width
     of_pair, last = grams.triples // grams.width, grams.triples % grams.width
     two = _mixed(2, hashes[pair[0]], hashes[pair[1]])
     three = _mixed(3, hashes[pair[0][of_pair]], hashes[pair[1][of_pair]], hashes[last])
-    return np.concatenate([two, three])
+    return (np.concatenate([two, three]) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 _SHARD = pa.schema(
     [("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("fold", pa.list_(pa.int8())), ("sizes", pa.binary()), ("sequence", pa.binary()),
-     ("words", pa.list_(pa.binary())), ("trained_a", pa.int64()), ("trained_b", pa.int64())]
+     ("width", pa.int64()), ("words", pa.binary()), ("trained_a", pa.int64()), ("trained_b", pa.int64()), ("n_tokens", pa.int64())]
 )
-_SHARD_SQL = "shard long, doc_id array<long>, fold array<byte>, sizes binary, sequence binary, words array<binary>, trained_a long, trained_b long"
+_SHARD_SQL = "shard long, doc_id array<long>, fold array<byte>, sizes binary, sequence binary, width long, words binary, trained_a long, trained_b long, n_tokens long"
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -138,13 +151,15 @@ def shards(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, part in enumerate(gathered(batches, limit=SHARD_BYTES), TaskContext.get().partitionId() << 32):
-            numbers = {_START: 0, _END: 1}
-            number = numbers.setdefault
+            numbers = defaultdict()
+            numbers.default_factory = numbers.__len__  # a new word gets the next number
+            number = numbers.__getitem__
+            number(_START), number(_END)
             runs, sizes = [], []
             for text in part.column("text").to_pylist():
                 found = tokens(text)
                 runs.append(np.zeros(2, np.int32))
-                runs.append(np.fromiter((number(w, len(numbers)) for w in found), np.int32, len(found)))
+                runs.append(np.fromiter(map(number, found), np.int32, len(found)))
                 runs.append(np.ones(1, np.int32))
                 sizes.append(len(found) + 3)
             fold = part.column("fold").to_numpy()
@@ -155,8 +170,9 @@ def shards(docs: DataFrame) -> DataFrame:
                 pa.array([fold.tolist()], pa.list_(pa.int8())),
                 pa.array([squeezed(sizes)], pa.binary()),
                 pa.array([squeezed(np.concatenate(runs))], pa.binary()),
-                pa.array([list(numbers)], pa.list_(pa.binary())),
-                *(pa.array([int((sizes[fold == half] - 2).sum())], pa.int64()) for half in (0, 1)),
+                pa.array([len(numbers)], pa.int64()),
+                pa.array([joined(list(numbers))], pa.binary()),
+                *(pa.array([int((sizes[kept] - 2).sum())], pa.int64()) for kept in (fold == 0, fold == 1, fold == fold)),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=_SHARD)
 
@@ -170,13 +186,13 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _opened(row: dict) -> tuple[Grams, np.ndarray, np.ndarray]:
+def _opened(row: dict, bits: int) -> tuple[Grams, list[bytes], np.ndarray, np.ndarray]:
     """A shard's tokens, the hashes of its words, and the fingerprints of its pairs and triples."""
-    words = row["words"]
+    words = words_of(row["words"], row["width"])
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     grams = Grams(numbers_of(row["sequence"]), numbers_of(row["sizes"]), len(words))
-    prints = fingerprints(grams, hashes)
-    return grams, hashes, prints
+    prints = fingerprints(grams, hashes, bits)
+    return grams, words, hashes, prints
 
 
 _SLICE = pa.schema([("place", pa.int64()), ("asker", pa.int64()), *((n, pa.binary()) for n in ("words", "word_a", "word_b", "grams", "gram_a", "gram_b"))])
@@ -187,11 +203,11 @@ def _place(high: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     return ((high >> np.uint64(bits - 32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _cut(asker: int, words, hashes, word_counts, prints, gram_counts, ranges: int, low: int = 0, high: int | None = None) -> Iterator[tuple]:
+def _cut(asker: int, words, hashes, word_counts, prints, gram_counts, ranges: int, bits: int, low: int = 0, high: int | None = None) -> Iterator[tuple]:
     """Slices of sorted words and fingerprints, one for each range from ``low`` to below ``high``."""
     spots = np.arange(low, (ranges if high is None else high) + 1)
     w = np.searchsorted(_place(hashes, 64, ranges), spots)
-    g = np.searchsorted(_place(prints.astype(np.uint64), _BITS, ranges), spots)
+    g = np.searchsorted(_place(prints.astype(np.uint64), bits, ranges), spots)
     for k, place in enumerate(spots[:-1].tolist()):
         a, b, c, d = w[k], w[k + 1], g[k], g[k + 1]
         yield (place, asker, joined(words[a:b]), *(squeezed(x[a:b]) for x in word_counts),
@@ -213,10 +229,10 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _asked(ranges: int):
+def _asked(ranges: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            grams, hashes, prints = _opened(row)
+            grams, spelled, hashes, prints = _opened(row, bits)
             fold = np.array(row["fold"], np.int8)
             by_hash, by_print = np.argsort(hashes, kind="stable"), np.argsort(prints, kind="stable")
             word_counts, gram_counts = [], []
@@ -228,8 +244,8 @@ def _asked(ranges: int):
                 word_counts.append(count[by_hash])
                 both = np.concatenate([np.bincount(pair[pair >= 0], minlength=len(grams.pairs)), np.bincount(triple, minlength=len(grams.triples))])
                 gram_counts.append(both[by_print])
-            words = [row["words"][k] for k in by_hash.tolist()]
-            yield from _batches(_cut(row["shard"], words, hashes[by_hash], word_counts, prints[by_print], gram_counts, ranges), _SLICE)
+            words = [spelled[k] for k in by_hash.tolist()]
+            yield from _batches(_cut(row["shard"], words, hashes[by_hash], word_counts, prints[by_print], gram_counts, ranges, bits), _SLICE)
 
     return run
 
@@ -300,14 +316,14 @@ def _gathered_node(groups: int):
     return run
 
 
-def _node_asked(ranges: int, finer: int):
+def _node_asked(ranges: int, finer: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             a, b, c, d = (numbers_of(row[n]) for n in ("word_a", "word_b", "gram_a", "gram_b"))
             words = words_of(row["words"], len(a))
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
             low = row["place"] * finer
-            cut = _cut(row["node"], words, hashes, (a, b), np.cumsum(numbers_of(row["grams"])), (c, d), ranges * finer, low, low + finer)
+            cut = _cut(row["node"], words, hashes, (a, b), np.cumsum(numbers_of(row["grams"])), (c, d), ranges * finer, bits, low, low + finer)
             yield from _batches(cut, _SLICE)
 
     return run
@@ -328,14 +344,14 @@ def _handed_on(nodes: pa.Table, answers: pa.Table) -> pa.Table:
     return _totals_of(row["askers"], row["place"], _assembled(answers), at, bounds, sum(answers.column("known").to_pylist()))
 
 
-def totals(slices: DataFrame, askers: int, ranges: int) -> DataFrame:
+def totals(slices: DataFrame, askers: int, ranges: int, bits: int) -> DataFrame:
     """(asker, place, sums in the slice's order, known): the counts of all askers for what each of them holds."""
     if askers <= FAN:
         return slices.groupBy("place").applyInArrow(_summed, _TOTALS_SQL)
     groups = -(-askers // FAN)
     member = F.pmod(F.xxhash64("asker"), F.lit(groups))
-    nodes = materialise(slices.withColumn("member", member).groupBy("place", "member").applyInArrow(_gathered_node(groups), _NODE_SQL), "grams-grouped")
-    told = totals(nodes.mapInArrow(_node_asked(ranges, groups), _SLICE_SQL), groups, ranges * groups)
+    nodes = written_once(slices.withColumn("member", member).groupBy("place", "member").applyInArrow(_gathered_node(groups), _NODE_SQL), "grams-grouped")
+    told = totals(nodes.mapInArrow(_node_asked(ranges, groups, bits), _SLICE_SQL), groups, ranges * groups, bits)
     return nodes.groupBy("node").cogroup(told.groupBy("asker")).applyInArrow(_handed_on, _TOTALS_SQL)
 
 
@@ -343,20 +359,24 @@ _COUNTED = pa.schema([("shard", pa.int64()), ("doc_id", pa.list_(pa.int64())), (
 _COUNTED_SQL = "shard long, doc_id array<long>, fold array<byte>, width long, trained_a long, trained_b long, known long, sizes binary, sequence binary, word_a binary, word_b binary, gram_a binary, gram_b binary"
 
 
-def _counted(mine: pa.Table, answers: pa.Table) -> pa.Table:
+def _counted(bits: int):
     """A shard's tokens with the corpus's counts of its words, pairs and triples, in their own order."""
-    if not mine.num_rows:
-        return _COUNTED.empty_table()
-    row = mine.to_pylist()[0]
-    _, hashes, prints = _opened(row)
-    by_hash, by_print = np.argsort(hashes, kind="stable"), np.argsort(prints, kind="stable")
-    known = sum(answers.column("known").to_pylist())
-    found = []
-    for values, order in zip(_assembled(answers), (by_hash, by_hash, by_print, by_print), strict=True):
-        own = np.empty(len(order), np.int64)
-        own[order] = values
-        found.append(squeezed(own))
-    return pa.Table.from_batches([_batch([(row["shard"], row["doc_id"], row["fold"], len(row["words"]), row["trained_a"], row["trained_b"], known, row["sizes"], row["sequence"], *found)], _COUNTED)])
+
+    def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return _COUNTED.empty_table()
+        row = mine.to_pylist()[0]
+        _, _, hashes, prints = _opened(row, bits)
+        by_hash, by_print = np.argsort(hashes, kind="stable"), np.argsort(prints, kind="stable")
+        known = sum(answers.column("known").to_pylist())
+        found = []
+        for values, order in zip(_assembled(answers), (by_hash, by_hash, by_print, by_print), strict=True):
+            own = np.empty(len(order), np.int64)
+            own[order] = values
+            found.append(squeezed(own))
+        return pa.Table.from_batches([_batch([(row["shard"], row["doc_id"], row["fold"], row["width"], row["trained_a"], row["trained_b"], known, row["sizes"], row["sequence"], *found)], _COUNTED)])
+
+    return run
 
 
 @dataclass
@@ -385,22 +405,21 @@ class Events:
         self.doc_id, self.fold = row["doc_id"], np.array(row["fold"], np.int8)
         self.grams = grams = Grams(numbers_of(row["sequence"]), numbers_of(row["sizes"]), row["width"])
         self.word = np.stack([numbers_of(row["word_a"]), numbers_of(row["word_b"])])
-        both = np.stack([numbers_of(row["gram_a"]), numbers_of(row["gram_b"])])
-        self.pair, self.triple = both[:, : len(grams.pairs)], both[:, len(grams.pairs) :]
+        self.both = np.stack([numbers_of(row["gram_a"]), numbers_of(row["gram_b"])])  # pairs, then triples
         self.document = grams.document[grams.token]
 
-    def levels(self, halves: tuple[int, ...], chosen: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    def levels(self, halves: tuple[int, ...], chosen: np.ndarray, n: int, upto: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
         """For unigrams, pairs and triples the relative frequency of each chosen token and its context's bucket."""
-        grams, at = self.grams, self.grams.token[chosen]
-        h = list(halves)
-        word, pair, triple = (x[h].sum(0) for x in (self.word, self.pair, self.triple))
-        of_pair, before = pair[grams.pair_at[at]], word[grams.sequence[at - 1]]
-        of_context = pair[grams.pair_at[at - 1]]
-        return [
-            (_share(word[grams.sequence[at]], n), np.zeros(len(at), np.int64)),
-            (_share(of_pair, before), bucket(before)),
-            (_share(triple[grams.triple_of[chosen]], of_context), bucket(of_context)),
-        ]
+        grams, at, h = self.grams, self.grams.token[chosen], list(halves)
+        word = self.word[h].sum(0)
+        out = [(_share(word[grams.sequence[at]], n), np.zeros(len(at), np.int64))]
+        if upto > 1:
+            pair, before = self.both[h][:, : len(grams.pairs)].sum(0), word[grams.sequence[at - 1]]
+            out.append((_share(pair[grams.pair_at[at]], before), bucket(before)))
+        if upto > 2:
+            triple, context = self.both[h][:, len(grams.pairs) :].sum(0), pair[grams.pair_at[at - 1]]
+            out.append((_share(triple[grams.triple_of[chosen]], context), bucket(context)))
+        return out
 
 
 def mixed(levels: list[tuple[np.ndarray, np.ndarray]], model: Model) -> np.ndarray:
@@ -424,7 +443,7 @@ def _histogram(model: Model):
             events = Events(row)
             for half in (0, 1):
                 chosen = np.flatnonzero((events.fold == half)[events.document])
-                found = events.levels((1 - half,), chosen, model.n[1 - half])
+                found = events.levels((1 - half,), chosen, model.n[1 - half], level + 1)
                 frequency, where = found[level]
                 ratio = frequency / mixed(found, model)
                 seen = ratio > 0
@@ -507,11 +526,12 @@ def scores(docs: DataFrame, held_out: Column) -> tuple[DataFrame, Model]:
     """Scores of all documents by a model of those that are not ``held_out``; and the model."""
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
     folded = docs.withColumn("fold", F.when(held_out, F.lit(-1)).otherwise(half).cast("byte")).select("doc_id", "text", "fold")
-    stored = materialise(shards(folded), "gram-shards")
-    askers = stored.count()
+    stored = written_once(shards(folded), "gram-shards")
+    askers, n_tokens = stored.select(F.count(F.lit(1)), F.sum("n_tokens")).first()
     ranges = min(FAN, max(1, -(-askers // 2)))
-    told = totals(stored.mapInArrow(_asked(ranges), _SLICE_SQL), askers, ranges)
-    counted = materialise(stored.groupBy("shard").cogroup(told.groupBy("asker")).applyInArrow(_counted, _COUNTED_SQL), "gram-counts")
+    bits = min(62, max(32, (2 * (n_tokens or 0)).bit_length() + SPARE_BITS))
+    told = written_once(totals(stored.mapInArrow(_asked(ranges, bits), _SLICE_SQL), askers, ranges, bits), "gram-totals")
+    counted = written_once(stored.groupBy("shard").cogroup(told.groupBy("asker")).applyInArrow(_counted(bits), _COUNTED_SQL), "gram-counts")
     a, b, v = counted.agg(F.sum("trained_a"), F.sum("trained_b"), F.sum("known")).first()
     model = learned(counted, (a or 0, b or 0), v or 0)
     return counted.mapInArrow(_scored(model), _SCORES_SQL), model
