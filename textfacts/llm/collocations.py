@@ -20,6 +20,7 @@ ignored.  Bytes that no UTF-8 text has cannot occur; words may hold any other ch
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -83,13 +84,15 @@ def _hashes(words: pa.Array) -> np.ndarray:
 
 def counted(texts: Iterable[str | None], langs: Iterable[str | None]) -> tuple[pa.Array, list[Level]]:
     """The trie of (language, up to three words) with counts, labels in byte order."""
-    numbers: dict[bytes, int] = {b"\xff": 0}
-    number = numbers.setdefault
+    numbers = defaultdict()
+    numbers.default_factory = numbers.__len__  # a new word gets the next number
+    number = numbers.__getitem__
+    number(b"\xff")
     lang_numbers: dict[bytes, int] = {}
     runs, of = [], []
     for text, lang in zip(texts, langs, strict=True):
         words = pieces_words(text)
-        runs.append(np.fromiter((number(w, len(numbers)) for w in words), np.int32, len(words)))
+        runs.append(np.fromiter(map(number, words), np.int32, len(words)))
         runs.append(np.zeros(1, np.int32))
         name = b"und" if lang is None else lang.encode("utf-8", "replace")
         of.append((lang_numbers.setdefault(name, len(lang_numbers)), len(words) + 1))
