@@ -1,4 +1,4 @@
-"""Text expressions.  All are built-in Spark expressions; none needs Python workers."""
+"""Text expressions.  Built-in Spark expressions, but for dates and terms, which are Arrow functions over whole batches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textfacts import constants as C
+from textfacts.functions.dates import (
+    ANY_YEAR,
+    DAY_FIRST_DATE,
+    MONTH_FIRST_DATE,
+    MONTH_OF_DATE,
+    NUMERIC_DATE,
+    WORD_YEAR,
+    DatePattern,
+    find_dates,
+)
+from textfacts.functions.terms import find_terms
 
 # The white-space characters Python's str.split() splits on, and
 # the letters and digits Python's \w counts as word characters.  Characters
@@ -16,7 +27,6 @@ from textfacts import constants as C
 # with one table look-up; \p{Z} adds the separators beyond Latin-1.
 WHITESPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\p{Z}]"
 WORD_CHARACTER = r"[\p{L}\p{N}_]"
-DIGIT = r"\p{Nd}"
 WORD_START = rf"(?<!{WORD_CHARACTER})"
 WORD_END = rf"(?!{WORD_CHARACTER})"
 
@@ -36,18 +46,6 @@ def _initials(terms: Iterable[str]) -> str:
     return "(?=[" + "".join(map(re.escape, first)) + r"\x{100}-\x{10FFFF}])"
 
 
-_MONTH = "(" + "|".join(C.MONTHS) + ")[a-z]*"
-
-# Date patterns.  Word boundaries are spelled out because the
-# meaning of \b differs between Java versions.
-NUMERIC_DATE = rf"{DIGIT}{{1,2}}[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{2,4}}"
-ANY_YEAR = rf"{DIGIT}{{4}}"
-WORD_YEAR = rf"{WORD_START}{DIGIT}{{4}}{WORD_END}"
-DAY_AND_YEAR = rf"{DIGIT}{{1,2}},?{WHITESPACE}+{DIGIT}{{4}}"
-MONTH_FIRST_DATE = rf"{_initials(C.MONTHS)}(?iu){_MONTH}{WHITESPACE}+{DIGIT}{{1,2}},?{WHITESPACE}+{DIGIT}{{4}}"
-DAY_FIRST_DATE = rf"(?iu){DIGIT}{{1,2}}{WHITESPACE}+{_MONTH}{WHITESPACE}+{DIGIT}{{4}}"
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -94,30 +92,27 @@ def contains_text(column: Column | str, part: str) -> Column:
     return F.coalesce(_col(column).contains(part), F.lit(False))
 
 
-def date_mentions(text: Column | str, year: str = ANY_YEAR, full_dates: bool = False) -> Column:
+def date_mentions(
+    text: Column | str,
+    year: DatePattern = ANY_YEAR,
+    full_dates: bool = False,
+    patterns: Sequence[DatePattern] | None = None,
+    reach: int = 1,
+) -> Column:
     """Distinct date mentions as strings.
 
     Three patterns are tried: numeric dates, four-digit years (anywhere, or as
     a word of their own with ``year=WORD_YEAR``) and month-name dates.  A
     month-name date is reported by its month abbreviation as written ("May",
     "jun"), which is what scoring compares; ``full_dates`` reports the whole
-    mention instead and adds day-first dates.
-
-    Every pattern needs a digit, so texts without one skip all of them, and the
-    slow search for month names is left to texts that hold a day and a year.
-    Null text has no dates.
+    mention instead and adds day-first dates.  ``patterns`` replaces the list;
+    see :mod:`textfacts.functions.dates` for ``reach``.  Null text has no dates.
     """
-    text = _col(text)
-    month_first = F.regexp_extract_all(text, F.lit(MONTH_FIRST_DATE), F.lit(0 if full_dates else 1))
-    nothing = F.array().cast("array<string>")
-    found = [
-        F.regexp_extract_all(text, F.lit(NUMERIC_DATE), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(year), F.lit(0)),
-        F.when(text.rlike(DAY_AND_YEAR), month_first).otherwise(nothing),
-    ]
-    if full_dates:
-        found.append(F.regexp_extract_all(text, F.lit(DAY_FIRST_DATE), F.lit(0)))
-    return F.when(text.rlike(DIGIT), F.array_distinct(F.concat(*found))).otherwise(nothing)
+    if patterns is None:
+        patterns = [NUMERIC_DATE, year, MONTH_FIRST_DATE if full_dates else MONTH_OF_DATE]
+        if full_dates:
+            patterns.append(DAY_FIRST_DATE)
+    return find_dates(_col(text), patterns, reach)
 
 
 def vocabulary_rows(vocabulary: Mapping[str, Sequence[str]] = C.VOCABULARY) -> list[tuple[str, str]]:
@@ -134,26 +129,13 @@ def vocabulary_terms(
 
     ``match='substring'`` finds a term anywhere, also inside a longer word;
     ``match='word'`` only where no letter or digit touches it.  Null text has
-    no terms.  The lower-cased text is bound to a lambda variable, so it is
-    made once per row however many terms there are.
+    no terms.  All terms are searched in one pass, however many there are; see
+    :mod:`textfacts.functions.terms`.
     """
     if match not in ("substring", "word"):
         raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
     chosen = [t for _, t in vocabulary_rows()] if terms is None else [t.lower() for t in terms]
-
-    def found(lowered: Column, term: str) -> Column:
-        hit = F.contains(lowered, F.lit(term))
-        if match == "word":
-            # the plain search is cheap and rules out almost every text; each pattern is a literal, compiled once
-            # (lower-cased terms cannot hold the \E that ends a quotation)
-            hit = hit & lowered.rlike(WORD_START + r"\Q" + term + r"\E" + WORD_END)
-        return F.when(hit, F.lit(term))
-
-    per_text = F.transform(
-        F.array(F.lower(F.coalesce(_col(text), F.lit("")))),
-        lambda lowered: F.array_compact(F.array(*[found(lowered, term) for term in dict.fromkeys(chosen)])),
-    )
-    return per_text[0]
+    return find_terms(F.lower(_col(text)), chosen, word=match == "word")
 
 
 def typed_mentions(
