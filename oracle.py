@@ -8,6 +8,7 @@ only far too slowly on whole texts, have no entry.
 from textfacts import constants as C
 from textfacts.functions.stemming import IRREGULAR, STEP2, STEP3, STEP4
 from textfacts.operators.factuality import GAZETTEER
+from textfacts.plans.views import FAMILY_NAMES, GIVEN_NAMES, PLACES
 
 ORACLES: dict[str, str] = {}
 
@@ -269,6 +270,35 @@ def mentions(text: str) -> str:
 ORACLES["entity_mentions"] = f"""with {NOTED} select doc_id, m.type as type, m.text as mention, count(*) as n
 from (select doc_id, unnest({mentions('text')}) as m from noted) group by all"""
 
+def report(key: str) -> str:
+    """The same sentences as the view's."""
+
+    def pick(values, step: int) -> str:
+        return picked(values, f"{key} + {step}")
+
+    titles, admin = C.VOCABULARY["titles"], C.VOCABULARY["admin"]
+    return f"""('Yesterday ' || {pick(titles, 0)} || ' ' || {pick(GIVEN_NAMES, 0)} || ' ' || {pick(FAMILY_NAMES, 1)} || ' met the '
+  || {pick(C.VOCABULARY["political"], 2)} || ' near ' || {pick(PLACES, 0)} || ' ' || {pick(admin, 1)} || '. '
+  || {pick(admin, 3)} || ' ' || {pick(PLACES, 4)} || ' told a ' || {pick(titles, 5)} || ' and ' || lower({pick(titles, 7)})
+  || ' ' || {pick(GIVEN_NAMES, 3)} || '.')"""
+
+
+def longest_first(terms) -> str:
+    return "|".join(sorted((t.lower() for t in terms), key=lambda t: (-len(t), t)))
+
+
+_CAPITALISED = "[A-Z][A-Za-z]*"
+_TITLES, _PLACE_WORDS = (f"(?i:{longest_first(C.VOCABULARY[k])})" for k in ("titles", "admin"))
+PERSONS = f"regexp_extract_all(text, '{NOT_WORD}({_TITLES}(?:[ \\t]+{_CAPITALISED})+)', 1)"
+PLACE_NAMES = (
+    f"regexp_extract_all(text, '{NOT_WORD}((?:{_CAPITALISED}[ \\t]+)+{_PLACE_WORDS}|{_PLACE_WORDS}(?:[ \\t]+{_CAPITALISED})+){NOT_WORD}', 1)"
+)
+ORACLES["entity_names"] = f"""with reported as (select doc_id, concat_ws(' ', text, {report(K)}) as text from documents), found as (
+  select doc_id, 'PERSON' as type, unnest({PERSONS}) as mention from reported
+  union all select doc_id, 'GPE', unnest({PLACE_NAMES}) from reported
+  union all select doc_id, 'ORG', m.text from (select doc_id, unnest({gazetteer_list('text', 'ORG')}) as m from reported))
+select doc_id, type, mention, count(*) as n from found group by all"""
+
 ORACLES["rouge_token_counts"] = f"""select doc_id, len({tokens('text')})::int as n_tokens,
   md5(coalesce(array_to_string({tokens('text')}, ' '), '')) as tokens_md5 from documents"""
 

@@ -81,23 +81,33 @@ def windows(column: pa.Array, reach: int) -> tuple[str, np.ndarray, np.ndarray]:
     return out.tobytes().decode("utf-8", "replace"), characters[at], row[a]
 
 
+def compiled(patterns: Sequence[DatePattern]) -> list[tuple[re.Pattern, int]]:
+    return [(re.compile(p.regex, re.IGNORECASE), p.group) for p in patterns]
+
+
+def dates_of(column: pa.Array, patterns: Sequence[tuple[re.Pattern, int]], reach: int) -> list[tuple[int, str]]:
+    """(row, mention) of a batch, once each, by pattern and then by place."""
+    joined, begins, rows = windows(column, reach)
+    told: dict[tuple[int, str], None] = {}
+    for pattern, group in patterns:
+        hits = [(m.start(), m[group]) for m in pattern.finditer(joined)]
+        if hits:
+            of = rows[np.searchsorted(begins, np.array([at for at, _ in hits]), side="right") - 1].tolist()
+            told.update(dict.fromkeys(zip(of, (t for _, t in hits), strict=True)))
+    return list(told)
+
+
 def find_dates(text: Column, patterns: Sequence[DatePattern], reach: int = 1) -> Column:
     """Distinct mentions of a text, by pattern and then by place; none for null text."""
-    compiled: list[tuple[re.Pattern, int]] = []
+    built: list[list[tuple[re.Pattern, int]]] = []
 
     @F.arrow_udf("array<string>")
     def found(column: pa.Array) -> pa.Array:
-        if not compiled:
-            compiled.extend((re.compile(p.regex, re.IGNORECASE), p.group) for p in patterns)
-        joined, begins, rows = windows(column, reach)
-        told: dict[tuple[int, str], None] = {}
-        for pattern, group in compiled:
-            hits = [(m.start(), m[group]) for m in pattern.finditer(joined)]
-            of = rows[np.searchsorted(begins, np.array([at for at, _ in hits], np.int64), side="right") - 1].tolist() if hits else []
-            told.update(dict.fromkeys(zip(of, (t for _, t in hits), strict=True)))
-        row = np.fromiter((r for r, _ in told), np.int64, len(told))
+        if not built:
+            built.append(compiled(patterns))
+        told = dates_of(column, built[0], reach)
+        row = np.array([r for r, _ in told], np.int64)
         order = np.argsort(row, kind="stable")
-        values = pa.array([t for _, t in told], pa.string()).take(pa.array(order))
-        return listed(row[order], values, len(column))
+        return listed(row[order], pa.array([t for _, t in told], pa.string()).take(pa.array(order)), len(column))
 
     return found(text)

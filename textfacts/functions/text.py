@@ -1,8 +1,7 @@
-"""Text expressions.  Built-in Spark expressions, but for dates and terms, which are Arrow functions over whole batches."""
+"""Text expressions.  Built-in Spark expressions, but for dates, terms and mentions, which are Arrow functions over whole batches."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -19,33 +18,16 @@ from textfacts.functions.dates import (
     DatePattern,
     find_dates,
 )
+from textfacts.functions.mentions import DATES, NameGrammar, find_mentions
 from textfacts.functions.terms import find_terms
 
-# The white-space characters Python's str.split() splits on, and
-# the letters and digits Python's \w counts as word characters.  Characters
-# are listed one by one and not as ranges because Java then tests all of them
-# with one table look-up; \p{Z} adds the separators beyond Latin-1.
+# The white-space characters Python's str.split() splits on.
+# They are listed one by one and not as ranges because Java then tests all of
+# them with one table look-up; \p{Z} adds the separators beyond Latin-1.
 WHITESPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0\p{Z}]"
-WORD_CHARACTER = r"[\p{L}\p{N}_]"
-WORD_START = rf"(?<!{WORD_CHARACTER})"
-WORD_END = rf"(?!{WORD_CHARACTER})"
-
 NOT_TOKEN = "[^a-z0-9]"
 
 
-def _initials(terms: Iterable[str]) -> str:
-    """A look-ahead that rules out most places where no term can start.
-
-    Lets through the terms' first letters in both cases, and anything past
-    Latin-1, where letters live that fold to ASCII ones.  Java tests such a
-    class with a table look-up, far cheaper than trying the alternatives.
-    """
-    first = sorted({c for t in terms for c in (t[0].lower(), t[0].upper())})
-    if not all(len(c) == 1 and c.isascii() for c in first):
-        return ""
-    return "(?=[" + "".join(map(re.escape, first)) + r"\x{100}-\x{10FFFF}])"
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -139,29 +121,20 @@ def vocabulary_terms(
 
 
 def typed_mentions(
-    text: Column | str, gazetteer: Mapping[str, Sequence[str]], dates: bool = True
+    text: Column | str,
+    gazetteer: Mapping[str, Sequence[str]],
+    dates: bool = True,
+    grammar: NameGrammar | None = None,
 ) -> Column:
     """Entity mentions ``array<struct<type,text>>`` in the casing of the text.
 
     Each type's terms are found as whole words, without regard to case and
     with repeats; longer terms win over shorter ones starting at the same
-    place.  Dates count as type ``DATE``.  Callers with a recogniser of their
-    own supply such a column instead.
+    place.  With a ``grammar``, names beside titles and place words are
+    mentions of their own.  Dates count as type ``DATE``.  Callers with a
+    recogniser of their own supply such a column instead.
     """
-    text = _col(text)
-
-    def typed(kind: str, found: Column) -> Column:
-        return F.transform(found, lambda m: F.struct(F.lit(kind).alias("type"), m.alias("text")))
-
-    parts = []
-    for kind, terms in gazetteer.items():
-        longest_first = sorted(dict.fromkeys(t.lower() for t in terms), key=lambda t: (-len(t), t))
-        anywhere = "(?:" + "|".join(map(re.escape, longest_first)) + ")"
-        pattern = _initials(longest_first) + "(?iu)" + WORD_START + anywhere + WORD_END
-        parts.append(typed(kind, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
-    if dates:
-        parts.append(typed("DATE", date_mentions(text, year=WORD_YEAR, full_dates=True)))
-    return F.concat(*parts)
+    return find_mentions(_col(text), gazetteer, DATES if dates else (), grammar)
 
 
 def rouge_tokens(text: Column | str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textfacts import constants as C
 from textfacts.functions import factuality as fact
 from textfacts.functions import text as T
+from textfacts.functions.mentions import NameGrammar
 from textfacts.functions.rouge import METRICS, rouge
 from textfacts.operators import curation, examples, grid, ordering, report
 from textfacts.operators.factuality import (
@@ -248,6 +249,17 @@ def entity_mentions(spark, folder):
     )
 
 
+@register
+def entity_names(spark, folder):
+    """Persons by their titles, places by their place words, organisations by name."""
+    found = views.reported_documents(spark, folder).select(
+        "doc_id", F.explode(T.typed_mentions("text", {"ORG": GAZETTEER["ORG"]}, dates=False, grammar=NameGrammar())).alias("m")
+    )
+    return found.groupBy("doc_id", F.col("m.type").alias("type"), F.col("m.text").alias("mention")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @register
 def rouge_token_counts(spark, folder):
     return views.documents(spark, folder).select(

@@ -62,6 +62,32 @@ def note(first: Column, second: Column, terms: Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+# Example names for texts that have any.
+GIVEN_NAMES = ("Anil", "Priya", "Rahul", "Meera", "Vikram", "Sunita", "Arjun")
+FAMILY_NAMES = ("Kumar", "Sharma", "Patel", "Reddy", "Das")
+PLACES = ("Pune", "Rampur", "Nagpur", "Lakhanpur", "Anand Nagar", "Kota")
+
+
+def report(key: Column) -> Column:
+    """A sentence or two with persons, organisations and places, and titles and place words that name nobody."""
+
+    def pick(values, step: int) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key + step, F.lit(len(values))) + 1).cast("int"))
+
+    titles, admin = C.VOCABULARY["titles"], C.VOCABULARY["admin"]
+    parts = [
+        "Yesterday ", pick(titles, 0), " ", pick(GIVEN_NAMES, 0), " ", pick(FAMILY_NAMES, 1), " met the ",
+        pick(C.VOCABULARY["political"], 2), " near ", pick(PLACES, 0), " ", pick(admin, 1), ". ",
+        pick(admin, 3), " ", pick(PLACES, 4), " told a ", pick(titles, 5), " and ", F.lower(pick(titles, 7)), " ", pick(GIVEN_NAMES, 3), ".",
+    ]
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def reported_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a report behind the text: the corpus itself names nobody."""
+    return documents(spark, folder).select("doc_id", F.concat_ws(" ", "text", report(F.col("doc_id"))).alias("text"))
+
+
 def noted_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as ``body``, and ``text``: the body and a note.
 
