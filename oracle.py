@@ -641,6 +641,18 @@ ORACLES["padding_overhead"] = f"""with {LENGTHS}, m as (
 select model_name, round(a, 6) as avg_input_length, round(b, 6) as avg_padded_length,
   round(case when a > 0 then (b - a) / a * 100 else 0 end, 6) as padding_overhead_percent from m"""
 
+ORACLES["batch_padding"] = f"""with {LENGTHS}, plain as (
+  select model_name, sum(input_length)::bigint as tokens, (max(input_length) * count(*))::bigint as padded
+  from lengths group by model_name, doc_id // 32),
+in_order as (select model_name, sum(tokens)::bigint as tokens, sum(padded)::bigint as padded_in_order, count(*) as batches_in_order
+  from plain group by model_name),
+rooms as (select model_name, greatest(ceil(input_length / 64.0), 1)::bigint * 64 as room, count(*) as n from lengths group by all),
+alike as (select model_name, sum(n * room)::bigint as padded_by_length,
+  sum(ceil(n / greatest(32768 // room, 1)::double))::bigint as batches_by_length from rooms group by model_name)
+select *, round((padded_in_order::double / tokens - 1) * 100, 6) as overhead_in_order,
+  round((padded_by_length::double / tokens - 1) * 100, 6) as overhead_by_length
+from in_order join alike using (model_name)"""
+
 # --- evaluation runs -------------------------------------------------------
 
 FINISHED = """finished as (select doc_id, 'LED-ArXiv' as model_name from labels
@@ -701,6 +713,8 @@ select model_name, {SUCCESS}, round(avg(rouge1) * 100, 6) as rouge1_mean, round(
 RUN_KEYS = "model_name, sample_id"
 LIMIT = "case when lower(model_id) like '%led%' then 16384 else 1024 end"
 
+ORACLES["eval_published"] = ORACLES["eval_resume"]
+
 ORACLES["eval_stemmed"] = f"""with {PROMPTED}, {stemmed_cte(RUN_KEYS, "good")},
 {rouge_cte("rouge1", RUN_KEYS, "stemmed", same)}, {rouge_cte("rouge2", RUN_KEYS, "stemmed", bigrams)},
 {lcs_cte("rougel", RUN_KEYS, "stemmed")}, j as (

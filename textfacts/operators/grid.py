@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -91,15 +92,64 @@ def _summarised(make: Callable[[list[str]], list[str]], texts: list[str]) -> lis
     return made
 
 
+def in_order(rows: Sequence[int], size: int) -> list[list[int]]:
+    return [list(rows[start : start + size]) for start in range(0, len(rows), size)]
+
+
+def by_length(rows: Sequence[int], sizes: Sequence[float], budget: int) -> list[list[int]]:
+    """Rows in batches of like length: rows times the longest stays within the budget, unless one row alone is longer."""
+    batches: list[list[int]] = []
+    for row in sorted(rows, key=lambda r: (sizes[r], r)):
+        if batches and (len(batches[-1]) + 1) * sizes[row] <= budget:
+            batches[-1].append(row)
+        else:
+            batches.append([row])
+    return batches
+
+
+def padded_by_batch(df: DataFrame, length: str, order: str, batch_rows: int = BATCH_ROWS, token_budget: int = 32_768, step: int = 64) -> DataFrame:
+    """What padding costs per model: batches in key order, and batches of like length within a token budget.
+
+    In key order, ``batch_rows`` neighbouring whole-number keys make a batch, padded to its longest row.  By length, rows
+    whose lengths round up to the same multiple of ``step`` are batched together and padded to that multiple, so that
+    batches need no sort.  Both are two narrow aggregations.
+    """
+    rows = df.where(F.col(length).isNotNull())
+    plain = (
+        rows.groupBy("model_name", F.floor(F.col(order) / batch_rows).alias("batch"))
+        .agg(F.sum(length).alias("tokens"), (F.max(length) * F.count(F.lit(1))).alias("padded"))
+        .groupBy("model_name")
+        .agg(F.sum("tokens").alias("tokens"), F.sum("padded").alias("padded_in_order"), F.count(F.lit(1)).alias("batches_in_order"))
+    )
+    room = F.greatest(F.ceil(F.col(length) / step), F.lit(1)) * step
+    like = (
+        rows.groupBy("model_name", room.alias("room"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("per_batch", F.greatest(F.floor(F.lit(token_budget) / F.col("room")), F.lit(1)))
+        .groupBy("model_name")
+        .agg(F.sum(F.col("n") * F.col("room")).alias("padded_by_length"), F.sum(F.ceil(F.col("n") / F.col("per_batch"))).alias("batches_by_length"))
+    )
+    return plain.join(like, "model_name")
+
+
 def generate(
     df: DataFrame,
     summarise: Summariser,
     article: str = "article",
     model_id: str = "model_id",
     batch_rows: int = BATCH_ROWS,
+    token_budget: int | None = None,
+    length: str = "input_length",
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Run a summariser over the rows of status ``ok``, ``batch_rows`` at a time.
 
+    With a ``token_budget`` the rows of an Arrow batch are taken by their
+    ``length`` instead, as many at a time as fit the budget when all are padded
+    to the longest (a longer row goes alone); the rows come out in their own
+    order.  ``profile`` asks for the resources a model needs, such as a
+    graphics card per task, for this stage only.
+
     Adds ``generated_summary`` and ``duration_ms`` (a row's share of its
     batch).  ``summarise`` loads a model once per task; if that raises, the
     model's rows in the task are failures with the error's text.  If a batch
@@ -117,6 +167,7 @@ def generate(
             made, took = [None] * rows, [None] * rows
             models, texts = batch[model_id].tolist(), batch[article].tolist()
             status, error = batch["status"].tolist(), batch["error"].tolist()
+            sizes = batch[length].fillna(0).tolist() if token_budget else None
             waiting: dict[str, list[int]] = {}
             for row in range(rows):
                 if status[row] == "ok":
@@ -136,8 +187,8 @@ def generate(
                     except Exception as failure:  # noqa: BLE001 - a model that does not load is recorded
                         loaded[model] = failure
                 make = loaded[model]
-                for start in range(0, len(chosen), batch_rows):
-                    part = chosen[start : start + batch_rows]
+                parts = by_length(chosen, sizes, token_budget) if token_budget else in_order(chosen, batch_rows)
+                for part in parts:
                     if isinstance(make, Exception):
                         for row in part:
                             status[row], error[row] = "failed", f"model not loaded: {_told(make)}"
@@ -152,7 +203,7 @@ def generate(
                                 status[row], error[row] = "failed", _told(failure)
             yield batch.assign(status=status, error=error, generated_summary=made, duration_ms=took)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema, profile=profile)
 
 
 def merge_results(earlier: DataFrame, new: DataFrame, sample_id: str = "sample_id") -> DataFrame:

@@ -26,8 +26,9 @@ from textfacts.operators.factuality import (
 from textfacts.operators.grouping import concat_documents
 from textfacts.plans import views
 from textfacts.plans.curation import curated_articles, split_articles
-from textfacts.plans.evaluation import evaluation_scores, event_samples, run_evaluation
+from textfacts.plans.evaluation import evaluate_rows, evaluation_scores, event_samples, run_evaluation
 from textfacts.session import materialise, work_path
+from textfacts.sources import manifest
 from textfacts.sources import results as res
 from textfacts.sources import tables
 
@@ -582,6 +583,14 @@ def padding_overhead(spark, folder):
     return _shown(rows.groupBy("model_name").agg(*report.length_aggregates()))
 
 
+@register
+def batch_padding(spark, folder):
+    """What padding costs per model, with batches in key order and by length."""
+    made = grid.padded_by_batch(_model_lengths(spark, folder), "input_length", "doc_id")
+    overhead = {f"overhead_{kind}": F.round((F.col(f"padded_{kind}") / F.col("tokens") - 1) * 100, 6) for kind in ("in_order", "by_length")}
+    return made.withColumns(overhead)
+
+
 # --- evaluation runs -------------------------------------------------------
 
 
@@ -660,6 +669,25 @@ def eval_resume(spark, folder):
     return _shown(scores.join(stored, "model_name"))
 
 
+@register
+def eval_published(spark, folder):
+    """The same two runs over published slices, with a slice between them whose driver died before it was published."""
+    path = work_path(spark, "published")
+    everything = views.samples(spark, folder)
+    run_evaluation(everything.where("lang = 'en'").drop("lang"), path, stemmed=False, published=True)
+    lost = grid.expand_pending(grid.pending_models(everything.where("lang = 'fr'").drop("lang"), manifest.published_predictions(spark, path), "sample_id"))
+    lost = evaluate_rows(lost.withColumn("n_words", F.lit(1)), metrics=("rouge1",), stemmed=False)
+    manifest.write_attempt(lost.withColumn("run_id", F.lit("dead")), path, "dead-0")
+    current = run_evaluation(everything.drop("lang"), path, commits=2, stemmed=False, published=True)
+    stored = manifest.published_predictions(spark, path).groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("n_stored"), F.count_distinct("run_id").alias("n_runs")
+    )
+    scores = current.groupBy("model_name").agg(
+        *report.success_aggregates(), *report.score_aggregates(METRICS)
+    )
+    return _shown(scores.join(stored, "model_name"))
+
+
 @register
 def eval_stemmed(spark, folder):
     """Scores of all models as they are published: stemmed, to two places."""

@@ -17,10 +17,11 @@ from textfacts.operators.examples import with_input_lengths
 from textfacts.operators.grouping import concat_documents
 from textfacts.operators.report import run_aggregates
 from textfacts.session import work_path
+from textfacts.sources import manifest
 from textfacts.sources.results import (
     all_predictions,
     append_predictions,
-    current_predictions,
+    current_rows,
     prediction_schema,
 )
 
@@ -30,6 +31,7 @@ def evaluate_rows(
     summarise: grid.Summariser | None = None,
     metrics: tuple[str, ...] = METRICS,
     stemmed: bool = True,
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Prediction rows for (sample_id, article, summary, n_words, model_name, model_id) rows.
 
@@ -49,7 +51,7 @@ def evaluate_rows(
             "generated_summary", F.when(good, grid.lead_summary("article"))
         ).withColumn("duration_ms", F.lit(None).cast("double"))
     else:
-        made = grid.generate(sized, summarise)
+        made = grid.generate(sized, summarise, token_budget=token_budget, length="padded_length")
     reference = F.when(F.col("generated_summary").isNotNull(), F.col("summary"))
     scored = made.withColumn("scores", rouge(reference, "generated_summary", metrics, stemmed))
     return scored.select(
@@ -78,6 +80,8 @@ def run_evaluation(
     resume: bool = True,
     retry_failed: bool = False,
     commits: int = 1,
+    published: bool = False,
+    token_budget: int | None = None,
 ) -> DataFrame:
     """Evaluate what the table at ``path`` lacks, add it there, return the results.
 
@@ -87,12 +91,17 @@ def run_evaluation(
     With several, what is to do is stored once by slice, so the samples are read
     once and each commit reads its slice only.
     With ``resume`` off everything is done again and the newest rows count.
+    With ``published`` a slice counts only when all of its rows are written, even
+    if the driver dies in between; see :mod:`textfacts.sources.manifest`.  A
+    table is either published or not for all of its life.  ``token_budget``
+    batches a summariser's inputs by length.
     """
     spark = samples.sparkSession
     run_id = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S.%f")
     id_type = samples.schema["sample_id"].dataType.simpleString()
+    stored_rows = manifest.published_predictions if published else all_predictions
     if resume:
-        finished = all_predictions(spark, path, id_type)
+        finished = stored_rows(spark, path, id_type)
     else:
         finished = spark.createDataFrame([], prediction_schema(id_type))
     if retry_failed:
@@ -108,10 +117,13 @@ def run_evaluation(
         sliced.write.partitionBy("slice").parquet(stored)
         read = spark.read.schema(sliced.schema).parquet(stored)
         slices = [read.where(F.col("slice") == part).drop("slice") for part in range(commits)]
-    for chosen in slices:
-        rows = evaluate_rows(grid.expand_pending(chosen), summarise, metrics, stemmed)
-        append_predictions(rows.withColumn("run_id", F.lit(run_id)), path)
-    return current_predictions(spark, path, id_type)
+    for part, chosen in enumerate(slices):
+        rows = evaluate_rows(grid.expand_pending(chosen), summarise, metrics, stemmed, token_budget).withColumn("run_id", F.lit(run_id))
+        if published:
+            manifest.write_slice(rows, path, f"{run_id}-{part}")
+        else:
+            append_predictions(rows, path)
+    return current_rows(stored_rows(spark, path, id_type))
 
 
 def event_samples(

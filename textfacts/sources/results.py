@@ -37,7 +37,7 @@ def prediction_schema(id_type: str = "bigint") -> str:
     return f"sample_id {id_type}, {_PREDICTION_COLUMNS}"
 
 
-def _or_empty(spark: SparkSession, schema: str, load) -> DataFrame:
+def or_empty(spark: SparkSession, schema: str, load) -> DataFrame:
     """A table that may not have been written yet."""
     try:
         return load()
@@ -54,18 +54,21 @@ def append_predictions(df: DataFrame, path: str) -> None:
 
 def all_predictions(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     schema = prediction_schema(id_type)
-    return _or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
+    return or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
 
 
-def current_predictions(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+def current_rows(rows: DataFrame) -> DataFrame:
     """One row per model and sample: a good one before a failed one, then the newest run's."""
     newest = W.partitionBy("model_name", "sample_id").orderBy(
         F.desc(F.col("status") == "ok"), F.desc("run_id")
     )
-    rows = all_predictions(spark, path, id_type)
     return rows.withColumn("place", F.row_number().over(newest)).where("place = 1").drop("place")
 
 
+def current_predictions(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    return current_rows(all_predictions(spark, path, id_type))
+
+
 def model_predictions(
     spark: SparkSession, path: str, model_name: str, id_type: str = "bigint"
 ) -> DataFrame:
@@ -99,7 +102,7 @@ def read_scores(spark: SparkSession, path: str, files: str = "*.json") -> DataFr
         options = {"wholetext": True, "recursiveFileLookup": True, "pathGlobFilter": files}
         return spark.read.format("text").options(**options).load(path).select("value", "_metadata.file_path")
 
-    found = _or_empty(spark, "value string, file_path string", load)
+    found = or_empty(spark, "value string, file_path string", load)
     objects = F.split(F.trim("value"), r"(?<=\})\s*\n\s*(?=\{)")
     # nested objects are followed by a comma or a bracket, never by another object's start
     one = found.select("file_path", F.explode(objects).alias("value")).where("trim(value) <> ''")
@@ -158,4 +161,4 @@ def append_losses(log: DataFrame, path: str) -> None:
 
 
 def read_losses(spark: SparkSession, path: str) -> DataFrame:
-    return _or_empty(spark, LOSS_SCHEMA, lambda: spark.read.schema(LOSS_SCHEMA).json(path))
+    return or_empty(spark, LOSS_SCHEMA, lambda: spark.read.schema(LOSS_SCHEMA).json(path))
