@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from textfacts.llm.common import gathered, is_remainder, table, written_once
 
 DIVISOR, HELD_OUT = 5, 1
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 #: Shards whose slices meet at once; more are put together in groups before.
 FAN = 512
 BUCKETS = 48
@@ -65,8 +65,8 @@ def squeezed(numbers: np.ndarray) -> bytes:
 
 def numbers_of(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec=_CODEC, asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view("<i8").reshape(n).astype(np.int64)
+    planes = np.frombuffer(pa.decompress(memoryview(data)[8:], decompressed_size=8 * n, codec=_CODEC), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<i8").reshape(n)
 
 
 def joined(words: list[bytes]) -> bytes:
@@ -405,7 +405,7 @@ class Events:
         self.doc_id, self.fold = row["doc_id"], np.array(row["fold"], np.int8)
         self.grams = grams = Grams(numbers_of(row["sequence"]), numbers_of(row["sizes"]), row["width"])
         self.word = np.stack([numbers_of(row["word_a"]), numbers_of(row["word_b"])])
-        self.both = np.stack([numbers_of(row["gram_a"]), numbers_of(row["gram_b"])])  # pairs, then triples
+        self.both = np.stack([numbers_of(row[name]) for name in ("gram_a", "gram_b")])  # pairs, then triples
         self.document = grams.document[grams.token]
 
     def levels(self, halves: tuple[int, ...], chosen: np.ndarray, n: int, upto: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
