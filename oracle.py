@@ -142,7 +142,7 @@ pairs as (
 
 SIMILARITY = """alike as (
   select a.vec_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as similarity
-  from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"""
+  from embeddings a left join embeddings b on b.vec_id = a.vec_id + 1)"""
 
 ALIKE = """shifts(system, shift) as (values ('lead', 1), ('middle', 2), ('tail', 3), ('borrowed', 4)),
 alike as (
@@ -183,6 +183,16 @@ ORACLES["curate_articles"] = f"""with {CURATED}
 select row_key, headline, category, date, summary_word_count::int as summary_word_count,
   article_word_count::int as article_word_count from curated"""
 
+ORACLES["curate_day_statistics"] = f"""with {CURATED}
+select count(*) as n, round(avg(article_word_count), 6) as avg_article_words, round(stddev_pop(article_word_count), 4) as std_article_words,
+  round(avg(summary_word_count), 6) as avg_summary_words,
+  true as headlines_agree, true as categories_agree, true as median_agrees from curated"""
+
+ORACLES["epoch_batch_rows"] = """with n as (select count(*) as n from documents),
+places as (select unnest(range(n)) as place, n from n)
+select e::int as epoch, place // 64 as batch, count(*) as n_rows, count(*) as n_documents, min(place) as first_place, max(place) as last_place
+from places, (values (0), (1)) epochs(e) group by all"""
+
 ORACLES["curate_date_cap"] = f"""with {CURATED}
 select row_key, date from curated order by date nulls last, row_key limit {C.TEST_ROWS}"""
 
@@ -338,7 +348,7 @@ scored as (select doc_id, system,
 ORACLES["entity_consistency"] = f"with {ENTITY} select doc_id, system, round(entity, 9) as entity from scored"
 
 ORACLES["semantic_cosine"] = f"""with {SIMILARITY}
-select vec_id, round(similarity, 6) as similarity, round(1 - similarity, 6) as semantic_loss from alike"""
+select vec_id, round(similarity, 6) as similarity, round(coalesce(1 - similarity, 0), 6) as semantic_loss from alike"""
 
 ORACLES["semantic_flag"] = f"""with {SIMILARITY}
 select similarity >= 0.5 as agrees, count(*) as n_pairs from alike group by 1"""

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from textfacts.functions.rouge import lcs_length, rouge, score_batch
+from textfacts.functions.rouge import lcs_length, rouge, score_batch, score_texts
 from textfacts.functions.stemming import rouge_stem, stem
 
 
@@ -123,3 +123,16 @@ def test_stems(word, expected):
 
 def test_short_tokens_are_not_stemmed():
     assert [rouge_stem(w) for w in ("was", "his", "goes", "2020s")] == ["was", "his", "goe", "2020"]
+
+
+@given(st.lists(st.tuples(st.one_of(st.none(), st.text("abA é.1_", max_size=12)), st.one_of(st.none(), st.text("abA é.1_", max_size=12))), max_size=6))
+def test_texts_score_like_their_tokens(pairs):
+    def tokens(text):
+        return None if text is None else re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+    kind = pa.list_(pa.string())
+    pairs = [p for pair in pairs for p in (pair, pair)]  # neighbours with one reference
+    lowered = [[None if t is None else t.lower() for t in side] for side in zip(*pairs)] if pairs else [[], []]
+    got = score_texts(*(pa.array(side, pa.string()) for side in lowered))
+    want = score_batch(*(pa.array([tokens(p[k]) for p in pairs], kind) for k in (0, 1)))
+    assert got.to_pylist() == want.to_pylist()

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textfacts.functions.stemming import rouge_stem
-from textfacts.functions.text import rouge_tokens
+from textfacts.functions.terms import laid_out
 
 METRICS = ("rouge1", "rouge2", "rougeL")
 MAX_KNOWN_STEMS = 500_000
@@ -35,11 +36,36 @@ def _stems(tokens: list[str], known: dict[str, str]) -> list[str]:
     return [known[token] for token in tokens]
 
 
-def _codes(
-    reference: pa.Array, candidate: pa.Array, known_stems: dict[str, str] | None
-) -> tuple[np.ndarray, np.ndarray, int]:
+_TOKEN = np.zeros(256, bool)
+_TOKEN[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
+
+
+def split_batch(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of a batch of lower-cased texts end to end, and how many each text has.
+
+    The same tokens as :func:`textfacts.functions.text.rouge_tokens`, found on the bytes of the whole batch at once.
+    """
+    data, starts = laid_out(lowered)
+    inside = _TOKEN[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the first and last bytes part texts and are in no token
+    first, sizes = edge[0::2], edge[1::2] - edge[0::2]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    tokens = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    counts = np.bincount(np.searchsorted(starts, first, side="right") - 1, minlength=len(starts) - 1)
+    return tokens, counts
+
+
+def _split_once(lowered: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Tokens and counts of each run of equal neighbours, and the run of every text: a text beside several others is split once."""
+    if len(lowered) < 2:
+        return *split_batch(lowered), np.zeros(len(lowered), np.int64)
+    other = pc.fill_null(pc.not_equal(lowered.slice(1), lowered.slice(0, len(lowered) - 1)), True).to_numpy(zero_copy_only=False)
+    new = np.concatenate([[True], other])
+    return *split_batch(lowered.take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
+
+
+def _codes(left: pa.Array, right: pa.Array, known_stems: dict[str, str] | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Integer codes of both sides' tokens, equal tokens (or stems) sharing a code."""
-    left, right = reference.flatten(), candidate.flatten()
     encoded = pa.concat_arrays([left.cast(pa.string()), right.cast(pa.string())]).dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     size = len(encoded.dictionary)
@@ -75,14 +101,14 @@ def _f_measure(overlap: np.ndarray, reference_total: np.ndarray, candidate_total
 def _ngram_f(ref, ref_rows, cand, cand_rows, size: int, n: int, height: int) -> np.ndarray:
     ref_grams, ref_owner = _grams(ref, ref_rows, size, n)
     cand_grams, cand_owner = _grams(cand, cand_rows, size, n)
-    # dense gram codes keep (row, gram) keys far inside 64 bits
-    _, dense = np.unique(np.concatenate([ref_grams, cand_grams]), return_inverse=True)
-    span = int(dense.max()) + 1 if len(dense) else 1
-    ref_keys, ref_counts = np.unique(ref_owner * span + dense[: len(ref_grams)], return_counts=True)
-    cand_keys, cand_counts = np.unique(cand_owner * span + dense[len(ref_grams):], return_counts=True)
-    shared, at_ref, at_cand = np.intersect1d(ref_keys, cand_keys, assume_unique=True, return_indices=True)
-    clipped = np.minimum(ref_counts[at_ref], cand_counts[at_cand])
-    overlap = np.bincount(shared // span, weights=clipped, minlength=height)
+    span = max(size, 1) ** n
+    if span * (height + 1) >= 1 << 62:  # dense gram codes keep (row, gram) keys inside 64 bits
+        _, dense = np.unique(np.concatenate([ref_grams, cand_grams]), return_inverse=True)
+        ref_grams, cand_grams = dense[: len(ref_grams)], dense[len(ref_grams):]
+        span = int(dense.max(initial=0)) + 1
+    keys, at = np.unique(np.concatenate([ref_owner * span + ref_grams, cand_owner * span + cand_grams]), return_inverse=True)
+    in_ref, in_cand = (np.bincount(side, minlength=len(keys)) for side in (at[: len(ref_owner)], at[len(ref_owner):]))
+    overlap = np.bincount(keys // span, weights=np.minimum(in_ref, in_cand), minlength=height)
     return _f_measure(
         overlap,
         np.bincount(ref_owner, minlength=height),
@@ -165,15 +191,36 @@ def score_batch(
     Tokens are stemmed if ``known_stems``, which may start empty, is given.
     """
     reference, candidate = _plain(reference), _plain(candidate)
-    height = len(reference)
-    ref_lengths, cand_lengths = _lengths(reference), _lengths(candidate)
-    ref, cand, size = _codes(reference, candidate, known_stems)
+    codes = _codes(reference.flatten(), candidate.flatten(), known_stems)
+    return _scored(codes, _lengths(reference), _lengths(candidate), _missing(reference, candidate), metrics)
+
+
+def score_texts(
+    reference: pa.Array,
+    candidate: pa.Array,
+    metrics: tuple[str, ...] = METRICS,
+    known_stems: dict[str, str] | None = None,
+) -> pa.Array:
+    """Like :func:`score_batch`, for lower-cased texts that are still to be cut into tokens."""
+    reference, candidate = _plain(reference), _plain(candidate)
+    left, left_counts, run = _split_once(reference)
+    right, right_counts = split_batch(candidate)
+    ref, cand, size = _codes(left, right, known_stems)
+    lengths = left_counts[run]
+    starts = (np.cumsum(left_counts) - left_counts)[run]
+    every = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    return _scored((ref[every], cand, size), lengths, right_counts, _missing(reference, candidate), metrics)
+
+
+def _missing(reference: pa.Array, candidate: pa.Array) -> np.ndarray:
+    return np.logical_or(reference.is_null().to_numpy(zero_copy_only=False), candidate.is_null().to_numpy(zero_copy_only=False))
+
+
+def _scored(codes, ref_lengths: np.ndarray, cand_lengths: np.ndarray, missing: np.ndarray, metrics: tuple[str, ...]) -> pa.Array:
+    ref, cand, size = codes
+    height = len(missing)
     ref_rows = np.repeat(np.arange(height), ref_lengths)
     cand_rows = np.repeat(np.arange(height), cand_lengths)
-    missing = np.logical_or(
-        reference.is_null().to_numpy(zero_copy_only=False),
-        candidate.is_null().to_numpy(zero_copy_only=False),
-    )
     columns = []
     for metric in METRICS:
         if metric not in metrics:
@@ -201,6 +248,6 @@ def rouge(
 
     @F.arrow_udf(_SCORES)
     def scores(ref: pa.Array, cand: pa.Array) -> pa.Array:
-        return score_batch(ref, cand, chosen, known_stems)
+        return score_texts(ref, cand, chosen, known_stems)
 
-    return scores(rouge_tokens(reference), rouge_tokens(candidate))
+    return scores(F.lower(reference), F.lower(candidate))

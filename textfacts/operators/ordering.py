@@ -202,3 +202,73 @@ def seeded_sample(df: DataFrame, id_column: str, rows: int, seed: int = C.SAMPLE
 def epoch_order(df: DataFrame, id_column: str, epoch: int, seed: int = C.SAMPLE_SEED) -> DataFrame:
     """Rows with the sort key ``order_key`` of one epoch's shuffle."""
     return df.withColumn("order_key", shuffle_key(id_column, seed, epoch))
+
+
+ROUNDS = 64
+
+
+def _exchanged(place: Column, n: Column, keys: Column) -> Column:
+    """Rounds that each either keep a place or swap it with its partner, whichever a coin of the two says.
+
+    A round is its own inverse on any number of places, so the rounds in the other order undo them.
+    """
+
+    def turn(x: Column, key: Column) -> Column:
+        partner = F.pmod(F.pmod(key, n) - x + n, n)
+        coin = F.xxhash64(key, F.greatest(x, partner)) % 2 == 0
+        return F.when(coin, partner).otherwise(x)
+
+    return F.aggregate(keys, place, turn)
+
+
+def _round_keys(epoch: int, seed: int, backwards: bool) -> Column:
+    rounds = range(ROUNDS - 1, -1, -1) if backwards else range(ROUNDS)
+    return F.array(*[F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(r)) for r in rounds])
+
+
+def shuffled_place(position: Column | str, n: int, epoch: int, seed: int = C.SAMPLE_SEED) -> Column:
+    """Where in an epoch the row at a dense position (0 to n - 1) comes: a permutation for every n, epoch and seed.
+
+    A place is told from the position alone; nothing is sorted or shuffled.
+    """
+    at = F.col(position) if isinstance(position, str) else position
+    size = F.lit(n).cast("long")
+    return _exchanged(at.cast("long"), size, _round_keys(epoch, seed, backwards=False))
+
+
+def position_at(place: Column | str, n: int, epoch: int, seed: int = C.SAMPLE_SEED) -> Column:
+    """The position of the row that comes at a place: the inverse of :func:`shuffled_place`."""
+    at = F.col(place) if isinstance(place, str) else place
+    size = F.lit(n).cast("long")
+    return _exchanged(at.cast("long"), size, _round_keys(epoch, seed, backwards=True))
+
+
+def dense_positions(rows: DataFrame) -> DataFrame:
+    """Rows scanned from Parquet files with their ``position`` among all rows, from 0, however the files are split.
+
+    Positions are files in path order and rows in file order.  Counting rows reads no columns; one row per file, with the
+    number of rows in the files before it, is what every task gets.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = rows.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)  # one row per file
+    starts = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_file").withColumn("position", F.col("_start") + F.col("_row")).drop("_file", "_row", "_start")
+
+
+def epoch_batches(placed: DataFrame, n: int, epoch: int, size: int, first: int = 0, seed: int = C.SAMPLE_SEED) -> DataFrame:
+    """Rows with their ``place`` in an epoch and ``batch``, from batch ``first`` on: a run goes on where it stopped."""
+    made = placed.withColumn("place", shuffled_place("position", n, epoch, seed)).withColumn("batch", F.floor(F.col("place") / size))
+    return made.where(F.col("batch") >= first)
+
+
+def epoch_batch(placed: DataFrame, n: int, epoch: int, size: int, batch: int, seed: int = C.SAMPLE_SEED) -> DataFrame:
+    """One batch, in its order: its positions are computed from its places, so rows are picked by literals.
+
+    A batch is small enough for one task by its nature.
+    """
+    spark = placed.sparkSession
+    places = spark.range(batch * size, min((batch + 1) * size, n), 1, 1).select(position_at("id", n, epoch, seed).alias("position"))
+    wanted = [r["position"] for r in places.collect()]  # as many as a batch has rows
+    found = placed.where(F.col("position").isin(wanted))
+    return found.withColumn("place", shuffled_place("position", n, epoch, seed)).orderBy("place")

@@ -12,7 +12,7 @@ from textfacts.functions import factuality as fact
 from textfacts.functions import text as T
 from textfacts.functions.mentions import NameGrammar
 from textfacts.functions.rouge import METRICS, rouge
-from textfacts.operators import curation, examples, grid, ordering, report
+from textfacts.operators import curation, examples, grid, ordering, report, sketches
 from textfacts.operators.factuality import (
     GAZETTEER,
     add_features,
@@ -145,6 +145,29 @@ def curate_corpus_stats(spark, folder):
     return curation.corpus_statistics(curation.curate(views.raw_articles(spark, folder)))
 
 
+@register
+def curate_day_statistics(spark, folder):
+    """Statistics of all days from sketches by day, of which the later ones were added on their own, against exact ones."""
+    path = work_path(spark, "day-sketches")
+    curated = materialise(curation.curate(views.raw_articles(spark, folder)), "curated")
+    for days in (F.col("date") < "2020-07-01", F.col("date") >= "2020-07-01"):
+        sketches.store_days(sketches.day_sketches(curated.where(days)), path)
+    told = sketches.day_statistics(sketches.read_days(spark, path))
+    middle = told.select("q50_article_word_count").scalar()
+    words = F.col("article_word_count")
+    exact = curated.select("headline", "category", (words < middle).alias("below"), (words <= middle).alias("upto")).agg(
+        F.count_distinct("headline").alias("headlines"), F.count_distinct("category").alias("categories"),
+        F.avg(F.col("below").cast("int")).alias("below"), F.avg(F.col("upto").cast("int")).alias("upto"),
+    )
+    return told.select(
+        "n", F.round("avg_article_word_count", 6).alias("avg_article_words"), F.round("std_article_word_count", 4).alias("std_article_words"),
+        F.round("avg_summary_word_count", 6).alias("avg_summary_words"),
+        (F.abs(F.col("different_headline") - exact.select("headlines").scalar()) <= exact.select(F.col("headlines") * 0.05 + 1).scalar()).alias("headlines_agree"),
+        (F.col("different_category") == exact.select("categories").scalar()).alias("categories_agree"),
+        exact.select((F.col("below") <= 0.54) & (F.col("upto") >= 0.46)).scalar().alias("median_agrees"),
+    )
+
+
 @register
 def curate_target_check(spark, folder):
     return curation.check_targets(curate_corpus_stats(spark, folder))
@@ -156,6 +179,18 @@ def sample_seeded(spark, folder):
     return ordering.seeded_sample(orders, "o_orderkey", C.TRAIN_SAMPLE_ROWS)
 
 
+@register
+def epoch_batch_rows(spark, folder):
+    """Two shuffled epochs that need no sort: every batch is full and holds its own places."""
+    docs = ordering.dense_positions(tables.scan(spark, folder, "documents").select("doc_id"))
+    n = docs.count()
+    epochs = [ordering.epoch_batches(docs, n, e, 64).select(F.lit(e).alias("epoch"), "batch", "place", "doc_id") for e in (0, 1)]
+    return epochs[0].unionByName(epochs[1]).groupBy("epoch", "batch").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_documents"),
+        F.min("place").alias("first_place"), F.max("place").alias("last_place"),
+    )
+
+
 @register
 def epoch_shuffle_key(spark, folder):
     docs = tables.scan(spark, folder, "documents").select("doc_id")

@@ -100,8 +100,11 @@ def noted_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def pair_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Noted documents with the next document's text as ``other``."""
+    # the test tables are one file each, which one task reads: deal them to as many as a shuffle has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     following = documents(spark, folder).select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    joined = noted_documents(spark, folder).join(following, "doc_id", "left")
+    noted = noted_documents(spark, folder).repartition(parts, "doc_id")
+    joined = noted.join(following.repartition(parts, "doc_id"), "doc_id", "left")
     return joined.withColumn("other", F.coalesce("other", F.lit("")))
 
 
@@ -145,10 +148,10 @@ def pairs(df: DataFrame) -> DataFrame:
 
 
 def similarities(spark: SparkSession, folder: str) -> DataFrame:
-    """Cosine of each embedding with the one of the next id, keyed by the first's id."""
+    """Cosine of each embedding with the one of the next id, keyed by the first's id; null without a next one."""
     vectors = scan(spark, folder, "embeddings")
     other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return vectors.join(other, "vec_id").select("vec_id", cosine("embedding", "other").alias("similarity"))
+    return vectors.join(other, "vec_id", "left").select("vec_id", cosine("embedding", "other").alias("similarity"))
 
 
 def system_similarities(spark: SparkSession, folder: str) -> DataFrame:
