@@ -55,6 +55,13 @@ def test_language_of_odd_texts(spark, larger):
     assert language.predict(docs.where("false"), model).count() == 0
 
 
+def test_numerals_are_no_letters(spark, larger):
+    model = language.learn_held_out(spark.read.parquet(f"{larger}/documents.parquet"))
+    texts = ["½", "①", "²", "Ⅷ", "12 ③", "١"]
+    found, scores = language.classify(model, texts)
+    assert found == ["und"] * len(texts) and not scores.any()
+
+
 def test_language_without_anything_to_learn(spark):
     none = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     assert language.learn(none) is None

@@ -33,6 +33,13 @@ def test_language_keeps_clean_documents(steps):
     assert set(after.items()) <= set(before.items()) and len(after) >= 0.98 * len(before)
 
 
+def test_columns_named_like_the_verdict_stay(spark, folder, steps):
+    docs = steps[0].limit(40).selectExpr("*", "doc_id as score", "'x' as lang_pred")
+    kept = pipeline.language(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert all(r["score"] == r["doc_id"] and r["lang_pred"] == "x" for r in kept.collect())
+
+
 def test_one_document_of_each_class(steps):
     before, after = by_id(steps[1]), by_id(steps[2])
     assert set(after) == {c for _, c, _, _ in slow_classes(list(before.items()))}

@@ -12,7 +12,6 @@ is a family by itself.  Columns other than the named ones are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textfacts.llm.common import flat_bytes, is_remainder, sample_per_class, slices, squared_hinge, table, with_fields
+from textfacts.llm.common import flat_bytes, has_letter, is_remainder, sample_per_class, slices, squared_hinge, table, with_fields
 
 UNKNOWN = "und"
 BUCKETS = 2048
@@ -35,7 +34,6 @@ FAMILIES = {
     "ru": "slavic", "uk": "slavic", "pl": "slavic", "cs": "slavic", "bg": "slavic",
 }
 
-_LETTER = re.compile(r"[^\W\d_]")
 _BLANKED = np.arange(256, dtype=np.uint8)
 _BLANKED[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -72,7 +70,7 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, limit=1 << 20):
         at, share = [], []
         for text in part.column("text").to_pylist():
-            row = _shares([text])[0] if _LETTER.search(text) else np.zeros(BUCKETS)
+            row = _shares([text])[0] if has_letter(text) else np.zeros(BUCKETS)
             at.append(np.flatnonzero(row).astype(np.int32))
             share.append(row[at[-1]].astype(np.float32))
         yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["lang", "at", "share"])
@@ -127,7 +125,7 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
     """Language and score of each text."""
     languages = [UNKNOWN] * len(texts)
     scores = np.zeros(len(texts))
-    good = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+    good = [i for i, t in enumerate(texts) if has_letter(t)]
     if not good:
         return languages, scores
     bucket, starts, counts = _buckets([texts[i] for i in good])
@@ -165,19 +163,23 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
     return languages, scores
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (doc_id, text, anything else) with ``lang_pred`` and ``score`` added last."""
-    kept = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (doc_id, text, anything else) with language and score added last, under ``names``.
+
+    Columns of those names are replaced; give others to keep them.
+    """
+    language, score = names
+    kept = docs.drop(*names)
     if model is None:
-        return kept.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return kept.withColumns({language: F.lit(UNKNOWN), score: F.lit(0.0)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             languages, scores = classify(model, part.column("text").to_pylist())
             columns = [*part.columns, pa.array(languages, pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *names])
 
-    return kept.mapInArrow(run, with_fields(kept.schema, lang_pred="string", score="double"))
+    return kept.mapInArrow(run, with_fields(kept.schema, **{language: "string", score: "double"}))
 
 
 def learn_held_out(docs: DataFrame) -> Model | None:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textfacts.llm.common import is_remainder, sample_per_class, slices, table
+from textfacts.llm.common import has_letter, is_remainder, sample_per_class, slices, table
 
 #: Bounds of the learning sample (documents of each label) and of the telling terms learned from it.
 SAMPLE_PER_LABEL = 2000
@@ -87,10 +87,6 @@ class Numbered:
         return terms, np.bincount(place, times, minlength=len(terms))
 
 
-def has_letter(text: str | None) -> bool:
-    return any(map(str.isalpha, text or ""))
-
-
 Vector = tuple[np.ndarray, np.ndarray]  # term numbers, and weights with a sum of squares of one
 
 
