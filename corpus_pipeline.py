@@ -21,10 +21,17 @@ from textfacts.session import materialise
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the identifier knows and is more sure of than not."""
-    known = predict(docs, learn_held_out(docs))
-    return known.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    told, score = _unused(docs, "lang_pred"), _unused(docs, "score")
+    known = predict(docs, learn_held_out(docs), (told, score))
+    return known.where((F.col(told) != UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
