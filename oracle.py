@@ -637,6 +637,15 @@ select doc_id, md5(article) as source_md5, list_sum(i.ids)::bigint as input_sum,
   list_sum(t.ids)::bigint as label_sum, 256::int as n_labels
 from inputs i join targets t using (doc_id) join texts using (doc_id)"""
 
+# the ids themselves have no twin; what they spell must be the text, and tests hold them against another encoder
+ORACLES["encode_subword_ids"] = "select doc_id, md5(text) as spelled_md5 from documents"
+
+ORACLES["encode_joined_ids"] = f"""with {VOCABULARY}, placed as (
+  select doc_id, unnest(w) as token, unnest(range(len(w))) as p from (select doc_id, {words('lower(text)')} as w from documents)),
+ids as (select doc_id, string_agg(coalesce(token_id, 3)::varchar, ' ' order by p) as ids
+  from placed left join vocabulary using (token) group by doc_id)
+select doc_id, case when text is not null then md5(coalesce(ids, '')) end as ids_md5 from documents left join ids using (doc_id)"""
+
 LENGTHS = f"""{MODELS_CTE}, l as (select doc_id, model_name, lower(model_id) like '%led%' as led,
   least(len({words('text')}), case when lower(model_id) like '%led%' then 16384 else 1024 end) as input_length
   from documents, models),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textfacts import constants as C
 from textfacts.functions import encoding as E
 from textfacts.functions import text as T
+from textfacts.functions.subwords import encode_subwords
 
 
 def example_tokens(text: Column | str, char_limit: int | None = None) -> Column:
@@ -40,7 +41,7 @@ def vocabulary_list(vocabulary: DataFrame) -> list[str]:
 
 def training_examples(
     df: DataFrame,
-    vocabulary: Sequence[str],
+    vocabulary: Sequence[str] | None,
     article: str = "article",
     summary: str = "summary",
     article_tokens: int = C.ARTICLE_TOKENS,
@@ -48,15 +49,37 @@ def training_examples(
     char_limit: int | None = C.ARTICLE_CHARS,
     mask_labels: bool = True,
     keep_text: bool = False,
+    subwords: str | None = None,
 ) -> DataFrame:
     """Fixed-length ``input_ids``, ``attention_mask`` and ``labels``.
 
     Words past the token limit are cut before they are looked up.
     ``mask_labels`` hides pads from the loss; the staged training variant keeps
     them, takes 256 summary tokens, no character limit, and keeps the texts.
+    With ``subwords``, the text of a byte-pair vocabulary file, ids are those of
+    its pieces of the texts as written, and there is no word list.
     """
     kept = [c for c in df.columns if keep_text or c not in (article, summary)]
-    ids = df.withColumns(
+    if subwords is not None:
+        cut = F.col(article) if char_limit is None else T.truncate_chars(article, char_limit)
+        ids = df.withColumns(
+            {
+                "input_raw": E.truncate_ids(encode_subwords(cut, subwords), article_tokens),
+                "target_raw": E.truncate_ids(encode_subwords(summary, subwords), summary_tokens),
+            }
+        )
+    else:
+        ids = _word_ids(df, vocabulary, article, summary, article_tokens, summary_tokens, char_limit)
+    return ids.select(
+        *kept,
+        E.pad_ids("input_raw", article_tokens).alias("input_ids"),
+        E.attention_mask("input_raw", article_tokens).alias("attention_mask"),
+        E.labels(E.pad_ids("target_raw", summary_tokens), mask=mask_labels).alias("labels"),
+    )
+
+
+def _word_ids(df, vocabulary, article, summary, article_tokens, summary_tokens, char_limit) -> DataFrame:
+    return df.withColumns(
         {
             "input_tokens": E.truncate_ids(example_tokens(article, char_limit), article_tokens),
             "target_tokens": E.truncate_ids(example_tokens(summary), summary_tokens),
@@ -67,12 +90,20 @@ def training_examples(
             "target_raw": E.encode("target_tokens", vocabulary),
         }
     )
-    return ids.select(
-        *kept,
-        E.pad_ids("input_raw", article_tokens).alias("input_ids"),
-        E.attention_mask("input_raw", article_tokens).alias("attention_mask"),
-        E.labels(E.pad_ids("target_raw", summary_tokens), mask=mask_labels).alias("labels"),
-    )
+
+
+def encode_joined(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, name: str = "ids") -> DataFrame:
+    """Add token ids by a join with a vocabulary table (token, token_id) of any size.
+
+    ``key`` is unique.  For word lists that are too large to send to every task; smaller ones need no shuffle with
+    :func:`textfacts.functions.encoding.encode`.  A token of very many rows is split by the adaptive join.
+    """
+    placed = df.select(key, F.posexplode(tokens).alias("at", "token"))
+    found = placed.join(vocabulary.select("token", "token_id"), "token", "left")
+    one = F.struct("at", F.coalesce("token_id", F.lit(E.UNKNOWN_ID)).cast("int").alias("id"))
+    lists = found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(one)), lambda p: p["id"]).alias(name))
+    empty = F.when(F.col(tokens).isNotNull(), F.array().cast("array<int>"))
+    return df.join(lists, key, "left").withColumn(name, F.coalesce(name, empty))
 
 
 def with_input_lengths(df: DataFrame, tokens: str, model_id: str = "model_id") -> DataFrame:

@@ -12,6 +12,7 @@ from textfacts.functions import factuality as fact
 from textfacts.functions import text as T
 from textfacts.functions.mentions import NameGrammar
 from textfacts.functions.rouge import METRICS, rouge
+from textfacts.functions.subwords import decode_subwords, encode_subwords, read_vocabulary
 from textfacts.operators import curation, examples, grid, ordering, report, sketches
 from textfacts.operators.factuality import (
     GAZETTEER,
@@ -27,7 +28,7 @@ from textfacts.operators.grouping import concat_documents
 from textfacts.plans import views
 from textfacts.plans.curation import curated_articles, split_articles
 from textfacts.plans.evaluation import evaluate_rows, evaluation_scores, event_samples, run_evaluation
-from textfacts.session import materialise, work_path
+from textfacts.session import TEST_VOCABULARY, materialise, work_path
 from textfacts.sources import manifest
 from textfacts.sources import results as res
 from textfacts.sources import tables
@@ -600,6 +601,23 @@ def encode_staged(spark, folder):
     )
 
 
+@register
+def encode_subword_ids(spark, folder):
+    """Whole texts as subword ids, and what the ids spell."""
+    vocabulary = read_vocabulary(TEST_VOCABULARY)
+    ids = views.documents(spark, folder).select("doc_id", encode_subwords("text", vocabulary).alias("ids"))
+    return ids.select("doc_id", F.md5(decode_subwords("ids", vocabulary)).alias("spelled_md5"))
+
+
+@register
+def encode_joined_ids(spark, folder):
+    """Word ids by a join with the vocabulary as a table."""
+    docs = views.documents(spark, folder).select("doc_id", examples.example_tokens("text").alias("tokens"))
+    vocabulary = examples.build_vocabulary(views.documents(spark, folder), ["text"], VOCABULARY_SIZE)
+    made = examples.encode_joined(docs, "doc_id", "tokens", vocabulary)
+    return made.select("doc_id", F.md5(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_md5"))
+
+
 def _model_lengths(spark, folder):
     docs = views.documents(spark, folder).select("doc_id", T.word_count("text").alias("n_tokens"))
     return examples.with_input_lengths(examples.per_model(docs), "n_tokens")

@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 TEST_TABLES = "/root/testdata"  # where the driver keeps the tables of the bench and the checks
+TEST_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"  # a byte-pair vocabulary for the registered queries
 _CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
