@@ -163,6 +163,9 @@ ORACLES["write_splits"] = f"""with {SPLIT}
 select split, count(*) as n_rows, count(*) filter (small) as n_small, min(date) as first_date, max(date) as last_date
 from labelled group by split"""
 
+ORACLES["write_once"] = f"""with {SPLIT}
+select split, count(*) as n_rows, count(*) filter (small) as n_small, true as made_once from labelled group by split"""
+
 ORACLES["read_split"] = f"with {SPLIT} select row_key, date, small from labelled where split = 'val'"
 
 ORACLES["curate_filter_funnel"] = f"""with {RAW}, d as (select distinct * from raw),

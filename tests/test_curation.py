@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from conftest import rows
 
@@ -120,6 +122,18 @@ def test_csv_splits(spark, raw, fresh):
     assert spark.read.option("header", True).option("multiLine", True).csv(path).count() == 5
 
 
+def test_racing_calls_leave_one_whole_table(spark, fresh):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = fresh("raced")
+    with ThreadPoolExecutor(4) as pool:
+        made = list(pool.map(lambda k: tables.write_if_absent(spark.range(k * 100, k * 100 + 100, 1, 3), path), range(4)))
+    got = sorted(r["id"] for r in spark.read.parquet(path).collect())
+    assert made.count(True) == 1
+    assert got == list(range(made.index(True) * 100, made.index(True) * 100 + 100))
+    assert [p.name for p in Path(path).parent.iterdir()] == ["raced"]  # nothing of the others is left
+
+
 def test_write_if_absent_keeps_what_is_there(spark, fresh):
     path = fresh("once")
     tables.write_if_absent(spark.range(3), path)

@@ -92,6 +92,18 @@ def write_splits(spark, folder):
     )
 
 
+@register
+def write_once(spark, folder):
+    """Curated splits made as a table by the first of two calls; the second, with other rows, leaves it."""
+    path = work_path(spark, "once")
+    rows = split_articles(views.raw_articles(spark, folder)).select("split", "small", "date")
+    made = [tables.write_if_absent(found, path) for found in (rows, rows.where("small"))]
+    return spark.read.parquet(path).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("small").alias("n_small"),
+        F.lit(made[0] and not made[1]).alias("made_once"),
+    )
+
+
 @register
 def read_split(spark, folder):
     path = work_path(spark, "splits")

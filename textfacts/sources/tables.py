@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +95,30 @@ def read_split(spark: SparkSession, path: str, split: str, small: bool = False)
     return found.where("small") if small else found
 
 
-def write_if_absent(df: DataFrame, path: str) -> None:
-    """Make a table once; a later call leaves what is there."""
-    df.write.mode("ignore").parquet(path)
+def write_if_absent(df: DataFrame, path: str) -> bool:
+    """Make a table once; a later call leaves what is there.  True if this call made it.
+
+    The rows are written beside ``path`` and the finished folder is renamed, which the file system does for one of several
+    racing calls only; the others remove what they wrote.  A call that dies leaves a folder named ``<path>.attempt-...``
+    that no reader looks at.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.getFileSystem(conf).makeQualified(target).toUri(), conf)
+    if files.util().exists(target):
+        return False
+    written = f"{path.rstrip('/')}.attempt-{uuid.uuid4().hex}"
+    df.write.parquet(written)
+    attempt = jvm.org.apache.hadoop.fs.Path(written)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    keep_what_is_there = spark.sparkContext._gateway.new_array(rename, 1)
+    keep_what_is_there[0] = rename.NONE
+    try:
+        files.rename(attempt, target, keep_what_is_there)
+    except Py4JJavaError as problem:
+        if "FileAlreadyExists" not in problem.java_exception.getClass().getName():
+            raise
+        files.delete(attempt, True)
+        return False
+    return True
