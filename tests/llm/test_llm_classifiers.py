@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 from conftest import rows
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textfacts.llm import language, quality, toxicity
@@ -156,6 +158,15 @@ def test_block_max_search_is_exact():
         assert [int(index.ids[p]) for p, _ in index.nearest(query, 15, without=ids[3])] == want
 
 
+@given(st.lists(st.one_of(st.none(), st.text("abé日_1 ^.", max_size=30)), max_size=5), st.sets(st.text("abé日_1", min_size=1, max_size=7), max_size=8), st.sets(st.text("abé日_1", min_size=1, max_size=6), max_size=8))
+def test_numbered_terms_are_the_counted_ones(texts, words, starts):
+    vocabulary = {t: i for i, t in enumerate(sorted(words | {f"^{s}" for s in starts}))}
+    got = toxicity.Numbered(vocabulary)(texts)
+    want = [toxicity.term_counts(t, vocabulary) for t in texts]
+    assert [dict(zip(a.tolist(), n.tolist(), strict=True)) for a, n in got] == [{vocabulary[t]: n for t, n in w.items()} for w in want]
+    assert all((np.diff(a) > 0).all() for a, _ in got)
+
+
 def test_document_frequencies_count_every_document(spark):
     docs = spark.createDataFrame([(i, "idiot here" if i % 3 == 0 else "Idiots") for i in range(30)], "doc_id long, text string").repartition(4)
     terms = {"idiot": 0, "^idio": 1, "here": 2}

@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,8 @@ _BLOCKS_AT_ONCE = 8
 #: A term is dense if more than this share of the examples has it.
 _DENSE = 1 / 16
 _QUERIES_AT_ONCE = 64
-_STARTS_KNOWN = 200_000
+#: Rounding of products of unit vectors with single precision, many times over.
+_ROUGHLY = 1e-4
 THRESHOLD = 0.3
 _WORD = re.compile(r"\w+")
 
@@ -60,31 +62,54 @@ def term_counts(text: str | None, wanted: frozenset[str] | dict[str, int] | None
 
 
 class Numbered:
-    """``term_counts`` by term number; remembers the numbers of first letters, which many words share."""
+    """``term_counts`` of many texts by term number: each different word of the texts is looked up once."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms = terms
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the text's terms, rising, and how often each stands in it."""
-        known, get = self.known, self.terms.get
-        if len(known) > _STARTS_KNOWN:
-            known.clear()
-        words = Counter(_WORD.findall((text or "").lower()))
-        found = []
-        for word in words:
-            start = word[:6]
-            numbers = known.get(start)
-            if numbers is None:
-                every = (get(t) for t in {"^" + word[:4], "^" + word[:5], "^" + start})
-                numbers = known[start] = [n for n in every if n is not None]
-            own = get(word)
-            found.append(numbers if own is None else [own, *numbers])
-        flat = np.fromiter(chain.from_iterable(found), np.int64)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, found), np.int64, len(found)))
-        terms, place = np.unique(flat, return_inverse=True)
-        return terms, np.bincount(place, times, minlength=len(terms))
+        self.terms = len(terms)
+        starts = [t for t in terms if t.startswith("^")]  # no word does
+        words = [t for t in terms if not t.startswith("^")]
+        self._sets = [pa.array(words, pa.string()), pa.array([t[1:] for t in starts], pa.string())]
+        self._numbers = [np.array([terms[t] for t in group] + [-1], np.int64) for group in (words, starts)]
+
+    def _of(self, which: int, words: pa.Array) -> np.ndarray:
+        """Term numbers, -1 for none."""
+        return self._numbers[which][pc.fill_null(pc.index_in(words, value_set=self._sets[which]), -1).to_numpy(zero_copy_only=False)]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers of its terms, rising, and how often each stands in it."""
+        bounds, terms, counts = self.flat(texts)
+        return [(terms[a:b], counts[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+    def flat(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """The same of all texts end to end, and where each text's terms begin (one more entry for the end)."""
+        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        coded = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+        distinct = coded.dictionary
+        d, width = max(1, len(distinct)), max(1, self.terms)
+        own = self._of(0, distinct)
+        size = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)
+        long = [np.flatnonzero(size >= least) for least in (0, 5, 6)]  # a shorter word is its own first letters once
+        cut = [pc.utf8_slice_codeunits(distinct.take(pa.array(of)), 0, letters) for of, letters in zip(long, (4, 5, 6), strict=True)]
+        found = self._of(1, pa.concat_arrays(cut))
+        begins = np.full((3, len(distinct)), -1, np.int64)
+        for k, (of, numbers) in enumerate(zip(long, np.split(found, np.cumsum([len(x) for x in long])[:-1]), strict=True)):
+            begins[k, of] = numbers
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        here, n = np.unique(row * d + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, word = here // d, here % d
+        mine = own[word]
+        whole = mine >= 0  # words are different terms; only first letters are shared between words
+        some = begins[:, word]
+        known = some >= 0
+        shared = (row * width + some)[known]
+        order = np.argsort(shared)
+        shared, times = shared[order], np.broadcast_to(n, some.shape)[known][order]
+        first = np.flatnonzero(np.append(True, shared[1:] != shared[:-1])) if len(shared) else np.zeros(0, np.int64)
+        keys = np.concatenate([(row * width + mine)[whole], shared[first]])
+        counts = np.concatenate([n[whole], np.add.reduceat(times, first) if len(first) else times])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        return np.searchsorted(keys, np.arange(len(texts) + 1) * width).tolist(), keys % width, counts[order].astype(np.int64)
 
 
 Vector = tuple[np.ndarray, np.ndarray]  # term numbers, and weights with a sum of squares of one
@@ -113,7 +138,7 @@ class BlockMaxIndex:
         self.block = block
         term = np.concatenate([vectors[i][0] for i in order])
         weight = np.concatenate([vectors[i][1] for i in order])
-        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]).astype(np.int32)
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
         often = np.flatnonzero(np.bincount(term, minlength=terms) > max(block, len(ids) * _DENSE))
         self.row = np.full(terms, -1, np.int64)
         self.row[often] = np.arange(len(often))
@@ -121,6 +146,7 @@ class BlockMaxIndex:
         self.dense = np.zeros((len(often), size))
         self.dense[row[row >= 0], place[row >= 0]] = weight[row >= 0]
         self.maxima = self.dense.reshape(len(often), size // block, block).max(axis=2)
+        self.rough = self.dense.astype(np.float32)  # tells which examples are worth an exact product
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.places, self.weights = place[rare], weight[rare]
@@ -152,19 +178,22 @@ class BlockMaxIndex:
         least = np.partition(sums, size - k, axis=1)[:, size - k] if size >= k else np.zeros(len(queries))
         bound = often @ self.maxima + sums.reshape(len(queries), -1, self.block).max(axis=2)
         wanted = (bound > 0) & (bound >= least[:, None] - 1e-9)
+        near = sums.copy()
+        roughly = often.astype(np.float32)
         for b in range(0, wanted.shape[1], _BLOCKS_AT_ONCE):
             some = np.flatnonzero(wanted[:, b : b + _BLOCKS_AT_ONCE].any(axis=1))
             if len(some):
                 where = slice(b * self.block, (b + _BLOCKS_AT_ONCE) * self.block)
-                sums[some, where] += often[some] @ self.dense[:, where]
+                near[some, where] += roughly[some] @ self.rough[:, where]
         out = []
-        for told in sums:
-            places = np.flatnonzero(told > 0)
-            if len(places) > k:
-                kth = np.partition(told[places], len(places) - k)[len(places) - k]
-                places = places[told[places] >= kth - 1e-9]
-            best = places[np.lexsort((self.ids[places], -np.round(told[places], 12)))[:k]]
-            out.append(list(zip(best.tolist(), told[best].tolist(), strict=True)))
+        for i, told in enumerate(near):
+            kth = np.partition(told, size - k)[size - k] if size >= k else 0.0
+            places = np.flatnonzero(told > max(kth - 2 * _ROUGHLY, -1.0))
+            terms = np.flatnonzero(often[i])
+            exact = sums[i, places] + often[i, terms] @ self.dense[np.ix_(terms, places)]
+            places, exact = places[exact > 0], exact[exact > 0]
+            best = np.lexsort((self.ids[places], -np.round(exact, 12)))[:k]
+            out.append(list(zip(places[best].tolist(), exact[best].tolist(), strict=True)))
         return out
 
 
@@ -224,12 +253,11 @@ class Model:
 
     def score(self, texts: list[str | None], own: list[int | None], numbered: Numbered) -> list[tuple[float, list[tuple[int, float, int]]]]:
         out, some, pairs = [(self.empty, [])] * len(texts), [], []
-        for i, text in enumerate(texts if self.whole else []):
-            if has_letter(text):
-                terms, counts = numbered(text)
-                if len(terms):
-                    some.append(i)
-                    pairs.append(self.vectors(terms, counts))
+        found = numbered([t if has_letter(t) else None for t in texts]) if self.whole else []
+        for i, (terms, counts) in enumerate(found):
+            if len(terms):
+                some.append(i)
+                pairs.append(self.vectors(terms, counts))
         if some:
             x, near = self.features(pairs, [own[i] for i in some])
             for i, p, e in zip(some, 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30))), near, strict=True):
@@ -280,8 +308,7 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
         count, seen, numbered = 0, np.zeros(len(terms), np.int64), Numbered(terms)
         for part in slices(batches):
             count += part.num_rows
-            for text in part.column("text").to_pylist():
-                seen[numbered(text)[0]] += 1
+            seen += np.bincount(numbered.flat(part.column("text").to_pylist())[1], minlength=len(terms))
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *some], pa.int32()), pa.array([count, *seen[some]], pa.int64())], ["term", "n"])
 
