@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -155,7 +157,8 @@ def test_block_max_search_is_exact():
     for query in [vectors[7], *(vector() for _ in range(60))]:
         cosine = np.round(dense[:, list(query)] @ list(query.values()), 12)
         want = [ids[i] for i in np.lexsort((ids, -cosine)) if cosine[i] > 0 and ids[i] != ids[3]][:15]
-        assert [int(index.ids[p]) for p, _ in index.nearest(query, 15, without=ids[3])] == want
+        for found in (index, pickle.loads(pickle.dumps(index))):
+            assert [int(found.ids[p]) for p, _ in found.nearest(query, 15, without=ids[3])] == want
 
 
 @given(st.lists(st.one_of(st.none(), st.text("abé日_1 ^.", max_size=30)), max_size=5), st.sets(st.text("abé日_1", min_size=1, max_size=7), max_size=8), st.sets(st.text("abé日_1", min_size=1, max_size=6), max_size=8))

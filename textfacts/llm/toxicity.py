@@ -145,13 +145,30 @@ class BlockMaxIndex:
         row = self.row[term]
         self.dense = np.zeros((len(often), size))
         self.dense[row[row >= 0], place[row >= 0]] = weight[row >= 0]
-        self.maxima = self.dense.reshape(len(often), size // block, block).max(axis=2)
-        self.rough = self.dense.astype(np.float32)  # tells which examples are worth an exact product
+        self._summarise()
         rare = np.flatnonzero(row < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.places, self.weights = place[rare], weight[rare]
         self.starts = np.searchsorted(term[rare], np.arange(terms + 1))
 
+    def __getstate__(self) -> dict:
+        """Dense rows travel as their entries, which are a tenth of them; what follows from others is made anew."""
+        state = {k: v for k, v in self.__dict__.items() if k not in ("dense", "rough", "maxima", "places")}
+        row, place = np.nonzero(self.dense)
+        return state | {"entries": (row.astype(np.int32), place.astype(np.int32), self.dense[row, place]), "places": self.places.astype(np.int32)}
+
+    def __setstate__(self, state: dict) -> None:
+        row, place, weight = state.pop("entries")
+        self.__dict__.update(state)
+        self.places = self.places.astype(np.int64)
+        self.dense = np.zeros((int((self.row >= 0).sum()), len(self.ids)))
+        self.dense[row, place] = weight
+        self._summarise()
+
+    def _summarise(self) -> None:
+        self.maxima = self.dense.reshape(len(self.dense), -1, self.block).max(axis=2)
+        self.rough = self.dense.astype(np.float32)  # tells which examples are worth an exact product
+
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[int, float]]:
         """(place, cosine) of the ``k`` nearest examples with a positive cosine, nearest first."""
         return self.nearest_of_each([_pair(query)], k, [without])[0]
