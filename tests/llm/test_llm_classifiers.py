@@ -161,6 +161,11 @@ def test_block_max_search_is_exact():
             assert [int(found.ids[p]) for p, _ in found.nearest(query, 15, without=ids[3])] == want
 
 
+def test_index_without_dense_terms():
+    index = toxicity.BlockMaxIndex([{0: 1.0}, {1: 1.0}], [5, 6], 2)
+    assert not len(index.dense) and pickle.loads(pickle.dumps(index)).nearest({1: 1.0}, 3) == index.nearest({1: 1.0}, 3)
+
+
 @given(st.lists(st.one_of(st.none(), st.text("abé日_1 ^.", max_size=30)), max_size=5), st.sets(st.text("abé日_1", min_size=1, max_size=7), max_size=8), st.sets(st.text("abé日_1", min_size=1, max_size=6), max_size=8))
 def test_numbered_terms_are_the_counted_ones(texts, words, starts):
     vocabulary = {t: i for i, t in enumerate(sorted(words | {f"^{s}" for s in starts}))}

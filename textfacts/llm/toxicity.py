@@ -166,7 +166,7 @@ class BlockMaxIndex:
         self._summarise()
 
     def _summarise(self) -> None:
-        self.maxima = self.dense.reshape(len(self.dense), -1, self.block).max(axis=2)
+        self.maxima = self.dense.reshape(len(self.dense), len(self.ids) // self.block, self.block).max(axis=2)
         self.rough = self.dense.astype(np.float32)  # tells which examples are worth an exact product
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[int, float]]:
