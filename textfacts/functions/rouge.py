@@ -1,8 +1,8 @@
 """ROUGE-1, ROUGE-2 and ROUGE-L F-measures for token columns.
 
 Each pair is scored where it lies: no shuffle, no join.  The n-gram overlap of
-a whole Arrow batch is counted at once on integer codes; only the longest
-common subsequence looks at one pair at a time.
+a megabyte of an Arrow batch is counted at once on integer codes; only the
+longest common subsequence looks at one pair at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textfacts.functions.batches import by_parts, plain
 from textfacts.functions.stemming import rouge_stem
 from textfacts.functions.terms import laid_out
 
@@ -20,10 +21,7 @@ METRICS = ("rouge1", "rouge2", "rougeL")
 MAX_KNOWN_STEMS = 500_000
 LCS_BLOCK = 16_384  # tokens laid out in bits at a time
 _SCORES = "struct<rouge1: double, rouge2: double, rougeL: double>"
-
-
-def _plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+_SCORE_TYPE = pa.struct([(m, pa.float64()) for m in METRICS])
 
 
 def _stems(tokens: list[str], known: dict[str, str]) -> list[str]:
@@ -56,12 +54,9 @@ def split_batch(lowered: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _split_once(lowered: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Tokens and counts of each run of equal neighbours, and the run of every text: a text beside several others is split once."""
-    if len(lowered) < 2:
-        return *split_batch(lowered), np.zeros(len(lowered), np.int64)
-    other = pc.fill_null(pc.not_equal(lowered.slice(1), lowered.slice(0, len(lowered) - 1)), True).to_numpy(zero_copy_only=False)
-    new = np.concatenate([[True], other])
-    return *split_batch(lowered.take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
+    """Tokens and counts of each different text, and the number of every row's text; a null counts as empty."""
+    encoded = lowered.fill_null("").dictionary_encode()
+    return *split_batch(encoded.dictionary), encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _codes(left: pa.Array, right: pa.Array, known_stems: dict[str, str] | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -190,7 +185,7 @@ def score_batch(
 
     Tokens are stemmed if ``known_stems``, which may start empty, is given.
     """
-    reference, candidate = _plain(reference), _plain(candidate)
+    reference, candidate = plain(reference), plain(candidate)
     codes = _codes(reference.flatten(), candidate.flatten(), known_stems)
     return _scored(codes, _lengths(reference), _lengths(candidate), _missing(reference, candidate), metrics)
 
@@ -202,14 +197,23 @@ def score_texts(
     known_stems: dict[str, str] | None = None,
 ) -> pa.Array:
     """Like :func:`score_batch`, for lower-cased texts that are still to be cut into tokens."""
-    reference, candidate = _plain(reference), _plain(candidate)
-    left, left_counts, run = _split_once(reference)
-    right, right_counts = split_batch(candidate)
+    reference, candidate = plain(reference), plain(candidate)
+    left, left_counts, left_text = _split_once(reference)
+    right, right_counts, right_text = _split_once(candidate)
+    # texts that stand beside each other several times, as under several models, are scored once
+    pair, row = np.unique(left_text * max(len(right_counts), 1) + right_text, return_inverse=True)
+    left_text, right_text = pair // max(len(right_counts), 1), pair % max(len(right_counts), 1)
     ref, cand, size = _codes(left, right, known_stems)
-    lengths = left_counts[run]
-    starts = (np.cumsum(left_counts) - left_counts)[run]
-    every = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    return _scored((ref[every], cand, size), lengths, right_counts, _missing(reference, candidate), metrics)
+    codes = (ref[_places(left_counts, left_text)], cand[_places(right_counts, right_text)], size)
+    scores = _scored(codes, left_counts[left_text], right_counts[right_text], np.zeros(len(pair), bool), metrics)
+    row = pa.array(row, mask=_missing(reference, candidate))
+    return pa.StructArray.from_arrays([scores.field(m).take(row) for m in METRICS], names=list(METRICS))
+
+
+def _places(counts: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where the tokens of the chosen texts lie, one text after the other."""
+    lengths = counts[text]
+    return np.arange(int(lengths.sum())) + np.repeat((np.cumsum(counts) - counts)[text] - (np.cumsum(lengths) - lengths), lengths)
 
 
 def _missing(reference: pa.Array, candidate: pa.Array) -> np.ndarray:
@@ -248,6 +252,6 @@ def rouge(
 
     @F.arrow_udf(_SCORES)
     def scores(ref: pa.Array, cand: pa.Array) -> pa.Array:
-        return score_texts(ref, cand, chosen, known_stems)
+        return by_parts(lambda r, c: score_texts(r, c, chosen, known_stems), _SCORE_TYPE, ref, cand)
 
     return scores(F.lower(reference), F.lower(candidate))
