@@ -1,6 +1,6 @@
 """Date mentions by a list of patterns, tried only around digits.
 
-Every date holds a digit.  The words with digits are found for a whole Arrow batch at once; they and their ``reach``
+Every date holds a digit.  The words with digits are found for a part of an Arrow batch at once; they and their ``reach``
 neighbours on both sides are windows, and only windows are searched.  White space of any length parts words, so a window
 is wide enough for every pattern in whose mentions each word without a digit stands at most ``reach`` words from one that
 has a digit: for "Month day, year" and "day Month year" one word is enough, however much white space lies between.
@@ -20,6 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textfacts import constants as C
+from textfacts.functions.batches import by_parts
 from textfacts.functions.terms import _PART, laid_out, listed
 
 
@@ -101,13 +102,16 @@ def find_dates(text: Column, patterns: Sequence[DatePattern], reach: int = 1) ->
     """Distinct mentions of a text, by pattern and then by place; none for null text."""
     built: list[list[tuple[re.Pattern, int]]] = []
 
-    @F.arrow_udf("array<string>")
-    def found(column: pa.Array) -> pa.Array:
-        if not built:
-            built.append(compiled(patterns))
+    def of_part(column: pa.Array) -> pa.Array:
         told = dates_of(column, built[0], reach)
         row = np.array([r for r, _ in told], np.int64)
         order = np.argsort(row, kind="stable")
         return listed(row[order], pa.array([t for _, t in told], pa.string()).take(pa.array(order)), len(column))
 
+    @F.arrow_udf("array<string>")
+    def found(column: pa.Array) -> pa.Array:
+        if not built:
+            built.append(compiled(patterns))
+        return by_parts(of_part, pa.list_(pa.string()), column)
+
     return found(text)

@@ -1,6 +1,6 @@
 """Entity mentions: known terms, and a small grammar for names that stand beside titles and place words.
 
-All terms of all types are found by one automaton pass over a batch (:mod:`textfacts.functions.terms`), without regard to
+All terms of all types are found by one automaton pass over a part of a batch (:mod:`textfacts.functions.terms`), without regard to
 the case of ASCII letters.  What the grammar then looks at are the few words around a title or a place word.
 """
 
@@ -16,10 +16,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textfacts import constants as C
+from textfacts.functions.batches import by_parts
 from textfacts.functions.dates import DAY_FIRST_DATE, MONTH_FIRST_DATE, NUMERIC_DATE, WORD_YEAR, DatePattern, compiled, dates_of
 from textfacts.functions.terms import Terms, laid_out, whole_words
 
 TYPE = "array<struct<type:string,text:string>>"
+_MENTIONS = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))
 DATES = (NUMERIC_DATE, WORD_YEAR, MONTH_FIRST_DATE, DAY_FIRST_DATE)
 
 # Capitalised words that begin sentences and no names.
@@ -159,10 +161,6 @@ def _answer(rows: list[int], kinds: list[str], texts: list[str], n: int) -> pa.A
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def _as_texts(column: pa.Array | pa.ChunkedArray) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
 def find_mentions(
     text: Column,
     gazetteer: Mapping[str, Sequence[str]],
@@ -182,12 +180,8 @@ def find_mentions(
         terms |= {_TITLE: grammar.titles, _PLACE: grammar.place_words}
     built: list[tuple[_Finder, list]] = []
 
-    @F.arrow_udf(TYPE)
-    def found(column: pa.Array) -> pa.Array:
-        if not built:
-            built.append((_Finder(terms), compiled(dates)))
+    def of_part(column: pa.Array) -> pa.Array:
         finder, patterns = built[0]
-        column = _as_texts(column)
         texts = column.to_pylist()
         data, starts = laid_out(column)
         by_row = finder.hits(texts, data, starts)
@@ -206,4 +200,10 @@ def find_mentions(
             out = pa.ListArray.from_arrays(offsets, out.values)
         return out
 
+    @F.arrow_udf(TYPE)
+    def found(column: pa.Array) -> pa.Array:
+        if not built:
+            built.append((_Finder(terms), compiled(dates)))
+        return by_parts(of_part, _MENTIONS, column)
+
     return found(text)

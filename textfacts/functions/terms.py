@@ -1,7 +1,7 @@
 """Finding any of many terms in texts, in one pass.
 
 The terms are one automaton over bytes: a state for every prefix of a term, and from each state a step for each byte to the
-longest prefix that ends there.  All texts of an Arrow batch lie end to end and are cut into some thousand lanes, which
+longest prefix that ends there.  The texts of a part of an Arrow batch lie end to end and are cut into some thousand lanes, which
 take their steps together; a lane starts early by the longest term's length, so nothing is lost between lanes.  A step
 costs the same however many terms there are.  Terms inside longer terms and terms that overlap are all found.
 
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textfacts.functions.batches import by_parts
+
 #: About how many lanes a batch is cut into, and the fewest bytes of a lane.
 LANES = 8192
 LANE_BYTES = 256
@@ -175,10 +177,7 @@ def find_terms(lowered: Column, terms: Iterable[str], word: bool = False) -> Col
     wanted = list(dict.fromkeys(terms))
     built: list[Terms] = []
 
-    @F.arrow_udf("array<string>")
-    def found(column: pa.Array) -> pa.Array:
-        if not built:
-            built.append(Terms(wanted))
+    def of_part(column: pa.Array) -> pa.Array:
         data, starts = laid_out(column)
         start, end, term = built[0].hits(data)
         if word and len(start):
@@ -189,4 +188,10 @@ def find_terms(lowered: Column, terms: Iterable[str], word: bool = False) -> Col
         spelled = pa.array(wanted, pa.string()).take(pa.array(once % max(1, len(wanted))))
         return listed(once // max(1, len(wanted)), spelled, len(column))
 
+    @F.arrow_udf("array<string>")
+    def found(column: pa.Array) -> pa.Array:
+        if not built:
+            built.append(Terms(wanted))
+        return by_parts(of_part, pa.list_(pa.string()), column)
+
     return found(lowered)
