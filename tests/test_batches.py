@@ -29,7 +29,7 @@ def captured(monkeypatch, module, make):
     return kept[0]
 
 
-@pytest.fixture(params=["rouge", "stemmed", "terms", "words", "dates", "mentions", "grammar"])
+@pytest.fixture(params=["rouge", "stemmed", "terms", "words", "dates", "mentions", "grammar", "encode", "decode"])
 def function(request, monkeypatch, spark):
     gazetteer = {"PERSON": ["minister"], "ORG": ["news"]}
     kinds = {
