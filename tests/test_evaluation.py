@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 
 from textfacts import constants as C
+from textfacts.functions import text as T
 from textfacts.operators import grid
 from textfacts.operators.report import run_aggregates
 from textfacts.plans.evaluation import evaluation_scores, event_samples, run_evaluation
@@ -27,6 +28,20 @@ def fragile():
     return grid.per_text(first_ten_words)
 
 
+def test_articles_are_split_once_for_all_models(spark, fresh, monkeypatch):
+    texts = ["", "one", " lead\t and\u2003more ", None, *(" ".join(f"w{i}" for i in range(n)) for n in (39, 119, 120, 122, 448, 449, 450, 451, 900))]
+    samples = spark.createDataFrame([(i, t, "w1 w2") for i, t in enumerate(texts)], "sample_id long, article string, summary string")
+    prompted = grid.expand_pending(grid.pending_models(samples, samples.sparkSession.createDataFrame([], "model_name string, sample_id long"), "sample_id", MODELS))
+    whole = prompted.select("model_name", "sample_id", grid.lead_summary(T.with_prompt("article", "model_id")).alias("s")).where("article <> ''")
+    want = {(m, i): s for m, i, s in rows(whole)}
+    monkeypatch.setattr(grid, "lead_summary", None)  # would split every article for every model
+    for commits in (1, 2):
+        got = run_evaluation(samples, fresh(f"p{commits}"), MODELS, metrics=("rouge1",), commits=commits)
+        assert {(r["model_name"], r["sample_id"]): r["generated_summary"] for r in got.where("status = 'ok'").collect()} == want
+        long = got.where("sample_id = 4").collect()
+        assert {(r["model_name"], r["input_length"]) for r in long} == {("BART-Base", 39), ("T5-Base", 40)}
+
+
 def test_pending_grid(spark, samples):
     done = spark.createDataFrame([("BART-Base", 1), ("T5-Base", 1), ("T5-Base", 2), ("Other", 3)], "model_name string, sample_id long")
     got = rows(grid.pending_grid(samples, done, "sample_id", MODELS), "model_name", "sample_id")

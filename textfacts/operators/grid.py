@@ -75,7 +75,17 @@ def lead_summary(
 ) -> Column:
     """Extractive summary: the leading third of the words, within the length limits."""
     found = T.words(text)
-    third = F.floor(F.size(found) / F.lit(3)).cast("int")
+    return lead_of_words(found, F.size(found), shortest, longest)
+
+
+def lead_of_words(
+    found: Column | str,
+    count: Column | str,
+    shortest: int = C.MIN_SUMMARY_LENGTH,
+    longest: int = C.MAX_SUMMARY_LENGTH,
+) -> Column:
+    """The same from a text's words, or its first ``longest`` ones, and how many it has."""
+    third = F.floor((F.col(count) if isinstance(count, str) else count) / F.lit(3)).cast("int")
     return F.array_join(
         F.slice(found, F.lit(1), F.least(F.greatest(third, F.lit(shortest)), F.lit(longest))), " "
     )

@@ -37,7 +37,8 @@ def evaluate_rows(
 
     ``n_words`` is the article's word count; a prompt in front adds its own words.
     Without a summariser the extractive lead summary is used, which stays in
-    built-in expressions.
+    built-in expressions.  Rows that have the article's first words as
+    ``lead_words`` (:func:`with_article_words`) are not split again per model.
     """
     checked = grid.with_status(todo, "article", "summary").withColumn(
         "article", T.with_prompt("article", "model_id")
@@ -47,8 +48,13 @@ def evaluate_rows(
     sized = with_input_lengths(checked.withColumn("n_tokens", tokens), "n_tokens")
     if summarise is None:
         good = F.col("status") == "ok"
+        if "lead_words" in todo.columns:
+            prompt = F.when(prompt_words, F.array(*map(F.lit, C.PROMPT_PREFIX.split()))).otherwise(F.array().cast("array<string>"))
+            lead = grid.lead_of_words(F.concat(prompt, "lead_words"), "n_tokens")
+        else:
+            lead = grid.lead_summary("article")
         made = sized.withColumn(
-            "generated_summary", F.when(good, grid.lead_summary("article"))
+            "generated_summary", F.when(good, lead)
         ).withColumn("duration_ms", F.lit(None).cast("double"))
     else:
         made = grid.generate(sized, summarise, token_budget=token_budget, length="padded_length")
@@ -70,6 +76,15 @@ def evaluate_rows(
     )
 
 
+def with_article_words(samples: DataFrame, lead: bool) -> DataFrame:
+    """Add the article's word count ``n_words`` and, if asked for, its first words ``lead_words``: as many as a summary has."""
+    split = with_columns_once(samples, {"_words": T.words("article")})
+    made = {"n_words": F.when(F.col("article").isNotNull(), F.size("_words"))}
+    if lead:
+        made["lead_words"] = F.slice("_words", 1, C.MAX_SUMMARY_LENGTH)
+    return with_columns_once(split, made).drop("_words")
+
+
 def run_evaluation(
     samples: DataFrame,
     path: str,
@@ -108,17 +123,17 @@ def run_evaluation(
         finished = finished.where("status = 'ok'")
     done = finished.select("model_name", "sample_id")
     waiting = grid.pending_models(samples, done, "sample_id", models)
-    # counted after finished samples are gone and before each is repeated per model
-    counted = with_columns_once(waiting, {"n_words": T.word_count("article")})
-    slices = [counted]
+    slices = [waiting]
     if commits > 1:
         stored = work_path(spark, "pending")
-        sliced = counted.withColumn("slice", F.pmod(F.xxhash64("sample_id"), F.lit(commits)).cast("int"))
+        sliced = waiting.withColumn("slice", F.pmod(F.xxhash64("sample_id"), F.lit(commits)).cast("int"))
         sliced.write.partitionBy("slice").parquet(stored)
         read = spark.read.schema(sliced.schema).parquet(stored)
         slices = [read.where(F.col("slice") == part).drop("slice") for part in range(commits)]
     for part, chosen in enumerate(slices):
-        rows = evaluate_rows(grid.expand_pending(chosen), summarise, metrics, stemmed, token_budget).withColumn("run_id", F.lit(run_id))
+        # articles are split after finished samples are gone and before each is repeated per model
+        counted = with_article_words(chosen, lead=summarise is None)
+        rows = evaluate_rows(grid.expand_pending(counted), summarise, metrics, stemmed, token_budget).withColumn("run_id", F.lit(run_id))
         if published:
             manifest.write_slice(rows, path, f"{run_id}-{part}")
         else:
