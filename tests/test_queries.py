@@ -12,6 +12,7 @@ import __spark_entry__ as contract  # noqa: E402
 from check_oracle import compare, connect  # noqa: E402
 from oracle import ORACLES  # noqa: E402
 from textfacts.plans.catalog import QUERIES  # noqa: E402
+from textfacts.plans import views  # noqa: E402
 
 
 
@@ -91,3 +92,10 @@ def test_no_cross_joins(spark, folder, name):
 def test_scans_read_only_what_they_need(spark, folder):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(spark, folder, "word_counts")
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan(spark, folder, "sample_seeded")
+
+
+def test_pair_texts_are_put_together_once_a_document(spark, folder):
+    plan = views.pairs(views.pair_documents(spark, folder))._jdf.queryExecution().optimizedPlan().toString()
+    systems = next(k for k, line in enumerate(plan.splitlines()) if "Generate inline(array(struct(system" in line)
+    lines = plan.splitlines()
+    assert not any("array_join" in line for line in lines[: systems + 1]) and "array_join" in lines[systems + 1]

@@ -134,16 +134,18 @@ def pairs(df: DataFrame) -> DataFrame:
         "tail": stretch(f"n - {size} + 1"),
         "borrowed": stretch("1", "v", "cast((2 * size(v) + 4) div 5 as int)"),
     }
+    split = with_columns_once(df, {"w": T.words("body"), "v": T.words("other")}).withColumn("n", F.size("w"))
+    reference = F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n + 4) div 5 as int)")), " ")
+    kept = [c for c in df.columns if c not in ("body", "other")]
+    # texts are put together once a document; words stay below the systems, which would repeat them
+    cut = split.select(*kept, "n", reference.alias("reference"), *[stretches[s].alias(f"_{s}") for s in SYSTEM_SHIFTS])
     made = F.array(
         *[
-            F.struct(F.lit(s).alias("system"), stretches[s].alias("picked"), F.concat_ws(" ", stretches[s], notes[s]).alias("candidate"))
+            F.struct(F.lit(s).alias("system"), F.col(f"_{s}").alias("picked"), F.concat_ws(" ", f"_{s}", notes[s]).alias("candidate"))
             for s in SYSTEM_SHIFTS
         ]
     )
-    split = with_columns_once(df, {"w": T.words("body"), "v": T.words("other")}).withColumn("n", F.size("w"))
-    reference = F.array_join(F.slice("w", F.lit(1), F.expr("cast((3 * n + 4) div 5 as int)")), " ")
-    kept = [c for c in df.columns if c not in ("body", "other")]
-    rows = split.select(*kept, "n", reference.alias("reference"), F.inline(made))
+    rows = cut.select(*kept, "n", "reference", F.inline(made))
     return with_status(rows, "picked", "reference").drop("picked")
 
 
