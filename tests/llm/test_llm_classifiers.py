@@ -166,6 +166,22 @@ def test_index_without_dense_terms():
     assert not len(index.dense) and pickle.loads(pickle.dumps(index)).nearest({1: 1.0}, 3) == index.nearest({1: 1.0}, 3)
 
 
+@given(st.lists(st.none() | st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" _aA9\n\u0130\u03a3\u0663\u00b2\u2014\u0301\U00010400\U0001f600"))))
+def test_words_cut_on_bytes_are_those_of_the_pattern(texts):
+    words, of_each = toxicity.words_of_each(texts)
+    wanted = [toxicity._WORD.findall((t or "").lower()) for t in texts]
+    assert words.to_pylist() == [w for text in wanted for w in text]
+    assert of_each.tolist() == list(map(len, wanted))
+
+
+def test_queries_beyond_one_turn_find_the_same():
+    rng = np.random.default_rng(3)
+    vectors = [{int(t): float(w) for t, w in zip(rng.choice(40, 5, replace=False), rng.random(5) + 0.1)} for _ in range(700)]
+    index = toxicity.BlockMaxIndex(vectors[:300], list(range(300)), 40)
+    queries = [toxicity._pair(v) for v in vectors]
+    assert index.nearest_of_each(queries, 5, [None] * 700) == [index.nearest(v, 5) for v in vectors]
+
+
 @given(st.lists(st.one_of(st.none(), st.text("abé日_1 ^.", max_size=30)), max_size=5), st.sets(st.text("abé日_1", min_size=1, max_size=7), max_size=8), st.sets(st.text("abé日_1", min_size=1, max_size=6), max_size=8))
 def test_numbered_terms_are_the_counted_ones(texts, words, starts):
     vocabulary = {t: i for i, t in enumerate(sorted(words | {f"^{s}" for s in starts}))}
