@@ -130,3 +130,11 @@ def test_small_tables(spark, found):
         assert len(got) == len(found) and all(math.isfinite(r[6]) for r in got)
         if everything:
             assert all(r[3] == r[4] == 0 and r[6] == 0 for r in got)
+
+
+@given(st.lists(st.none() | st.text(st.characters(exclude_categories=["Cs"]) | st.sampled_from(" \t\n\v\f\r\x1c\x85 AZaz"))))
+def test_words_cut_on_bytes_are_the_tokens(texts):
+    words, of_each = lm.words_of_each(texts)
+    wanted = [lm.tokens(t) for t in texts]
+    assert words.to_pylist() == [w for text in wanted for w in text]
+    assert of_each.tolist() == list(map(len, wanted))

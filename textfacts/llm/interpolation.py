@@ -23,7 +23,6 @@ another, and both have the counts of the two together.  A document is held whole
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -57,6 +56,23 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
+_INSIDE = np.ones(256, bool)
+_INSIDE[list(b" \t\n\v\f\r")] = False
+
+
+def words_of_each(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of all texts end to end, cut on the bytes of all at once, and how many each text has."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer((b"\n" + b"\n".join(raw) + b"\n").translate(_LOWER), np.uint8)
+    inside = _INSIDE[data]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # the first and last bytes part texts and are in no word
+    first, sizes = edge[0::2], edge[1::2] - edge[0::2]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    starts = 1 + np.cumsum([0, *(len(t) + 1 for t in raw)])
+    return words, np.diff(np.searchsorted(first, starts))
+
+
 def squeezed(numbers: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes."""
     planes = np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T
@@ -151,27 +167,24 @@ def shards(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, part in enumerate(gathered(batches, limit=SHARD_BYTES), TaskContext.get().partitionId() << 32):
-            numbers = defaultdict()
-            numbers.default_factory = numbers.__len__  # a new word gets the next number
-            number = numbers.__getitem__
-            number(_START), number(_END)
-            runs, sizes = [], []
-            for text in part.column("text").to_pylist():
-                found = tokens(text)
-                runs.append(np.zeros(2, np.int32))
-                runs.append(np.fromiter(map(number, found), np.int32, len(found)))
-                runs.append(np.ones(1, np.int32))
-                sizes.append(len(found) + 3)
+            words, counts = words_of_each(part.column("text").to_pylist())
+            coded = words.dictionary_encode()  # numbered as they first occur
+            numbers = [_START, _END, *coded.dictionary.to_pylist()]
+            sizes = counts + 3
+            last = np.cumsum(sizes) - 1
+            sequence = np.full(int(sizes.sum()), -1, np.int32)
+            sequence[last - sizes + 1] = sequence[last - sizes + 2] = 0
+            sequence[last] = 1
+            sequence[sequence < 0] = coded.indices.to_numpy() + 2
             fold = part.column("fold").to_numpy()
-            sizes = np.array(sizes)
             columns = [
                 pa.array([shard], pa.int64()),
                 pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([fold.tolist()], pa.list_(pa.int8())),
                 pa.array([squeezed(sizes)], pa.binary()),
-                pa.array([squeezed(np.concatenate(runs))], pa.binary()),
+                pa.array([squeezed(sequence)], pa.binary()),
                 pa.array([len(numbers)], pa.int64()),
-                pa.array([joined(list(numbers))], pa.binary()),
+                pa.array([joined(numbers)], pa.binary()),
                 *(pa.array([int((sizes[kept] - 2).sum())], pa.int64()) for kept in (fold == 0, fold == 1, fold == fold)),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=_SHARD)
@@ -405,8 +418,13 @@ class Events:
         self.doc_id, self.fold = row["doc_id"], np.array(row["fold"], np.int8)
         self.grams = grams = Grams(numbers_of(row["sequence"]), numbers_of(row["sizes"]), row["width"])
         self.word = np.stack([numbers_of(row["word_a"]), numbers_of(row["word_b"])])
-        self.both = np.stack([numbers_of(row[name]) for name in ("gram_a", "gram_b")])  # pairs, then triples
         self.document = grams.document[grams.token]
+        self._row = row
+
+    @cached_property
+    def both(self) -> np.ndarray:
+        """Counts of pairs, then of triples."""
+        return np.stack([numbers_of(self._row[name]) for name in ("gram_a", "gram_b")])
 
     def levels(self, halves: tuple[int, ...], chosen: np.ndarray, n: int, upto: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
         """For unigrams, pairs and triples the relative frequency of each chosen token and its context's bucket."""
@@ -448,9 +466,14 @@ def _histogram(model: Model):
                 ratio = frequency / mixed(found, model)
                 seen = ratio > 0
                 log = np.log2(ratio, out=np.zeros(len(ratio)), where=seen)
-                step = np.where(seen, np.floor(log * BINS_PER_OCTAVE), -(1 << 20)).astype(np.int64)
-                cell, at = np.unique(where * (1 << 22) + (step + (1 << 21)), return_inverse=True)
-                columns = cell, np.bincount(at, minlength=len(cell)).astype(np.int64), np.bincount(at, log, len(cell))
+                step = np.floor(log * BINS_PER_OCTAVE).astype(np.int64)
+                low = int(step.min(initial=0))
+                span = int(step.max(initial=0)) - low + 2
+                at = where * span + np.where(seen, step - low + 1, 0)  # the first step of a bucket is for no ratio
+                number = np.bincount(at)
+                some = np.flatnonzero(number)
+                step = np.where(some % span > 0, some % span - 1 + low, -(1 << 20))
+                columns = some // span * (1 << 22) + (step + (1 << 21)), number[some].astype(np.int64), np.bincount(at, log)[some]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CELLS, strict=True)], schema=_CELLS)
 
     return run
@@ -482,7 +505,8 @@ def learned(counted: DataFrame, n: tuple[int, int], v: int) -> Model:
     """Weights of all three levels; each level's histogram has a few thousand cells, whatever the corpus."""
     model = Model(n, v)
     for level in range(3):
-        cells = counted.mapInArrow(_histogram(model), "cell long, tokens long, log double").groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.sum("log").alias("log"))
+        read = counted if level else counted.drop("gram_a", "gram_b")
+        cells = read.mapInArrow(_histogram(model), "cell long, tokens long, log double").groupBy("cell").agg(F.sum("tokens").alias("tokens"), F.sum("log").alias("log"))
         rows = cells.orderBy("cell").collect()
         cell, tokens_of, log = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.int64, float, float)))
         step = (cell & ((1 << 22) - 1)) - (1 << 21)
