@@ -3,10 +3,13 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -112,6 +115,61 @@ def test_query_equals_brute_force(spark, folder, monkeypatch):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+class _Here:
+    """A table whose ``mapInArrow`` gives its function back, to run tasks in this process as a worker does that is used again."""
+
+    sparkSession = sparkContext = property(lambda self: self)
+
+    def broadcast(self, value):
+        return type("Shared", (), {"value": value})
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_tasks_of_a_worker_share_an_encoder_and_leave_no_words(monkeypatch):
+    made = []
+    monkeypatch.setattr(alignment, "Encoder", lambda files: made.append(ENCODER) or ENCODER)
+    monkeypatch.setattr(alignment, "TaskContext", type("Context", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+    alignment.worker_encoder.cache_clear()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["words of a task"]})
+    for _ in range(3):
+        run = alignment.link_shards(_Here(), alignment.Files(FILES.a, FILES.b))
+        assert [b.column("n_a")[0].as_py() for b in run(iter([batch]))] == [[len(whole("words of a task")[0])]]
+        assert not ENCODER.number
+    assert len(made) == 1
+
+
+def test_shards_are_bounded_by_links_and_bytes(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 1_000)
+    many = spark.createDataFrame([(k, f"the reunion {k} of " * 10) for k in range(100)], "doc_id long, text string").coalesce(1)
+    wide = spark.createDataFrame([(k, "日本" * 50) for k in range(100)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(alignment, "SHARD_BYTES", 6_000)  # 300 bytes a text, 100 characters
+    assert max(len(r["doc_id"]) for r in alignment.link_shards(wide).collect()) <= 28
+    monkeypatch.setattr(alignment, "SHARD_BYTES", 1 << 20)
+    monkeypatch.setattr(alignment, "SHARD_LINKS", 100)
+    got = alignment.link_shards(many).collect()
+    assert sum(len(r["doc_id"]) for r in got) == 100 and max(len(r["times"]) for r in got) < 300
+
+
+def test_a_row_group_of_shards_is_bounded(spark, monkeypatch):
+    written, materialise = [], alignment.materialise
+    monkeypatch.setattr(alignment, "materialise", lambda *a, **b: written.append(materialise(*a, **b)) or written[0])
+    monkeypatch.setattr(alignment, "BATCH_BYTES", 1_000)
+    monkeypatch.setattr(alignment, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(alignment, "WRITTEN_BYTES", 1_000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = [f"word {k} of the reunion " * 10 for k in range(100)]
+    got = alignment.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert sorted(map(str, got)) == sorted(str(Row(**dict(zip(got[0].__fields__, (k, *w), strict=True)))) for k, w in enumerate(brute(texts)))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in written[0].inputFiles()]
+    assert sum(f.num_rows for f in files) >= 5 and all(f.row_group(k).num_rows == 1 for f in files for k in range(f.num_row_groups))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
 def test_alignments_cover_the_text(spark):
     docs = spark.createDataFrame([(1, "the reunion of 日本"), (2, None), (3, "")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in alignment.alignments(docs).collect()}

@@ -25,6 +25,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,21 +36,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textfacts.llm.automata import spread
-from textfacts.llm.common import gathered, table
+from textfacts.llm.common import byte_lengths, gathered, give_back, large_rows, setting, table
 from textfacts.session import materialise
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Tokens of both kinds that a piece of a merge path holds.
 PIECE_WORK = 1 << 16
-#: Text of a batch, and of a shard.
-BATCH_BYTES = 1 << 20
-SHARD_BYTES = 8 << 20
-#: Distinct words a task remembers, and their characters.
+#: Text of a batch, and of a shard, which ends sooner if it has so many links.
+BATCH_BYTES = 256 << 10
+SHARD_BYTES = 4 << 20
+SHARD_LINKS = 1 << 20
+#: What Spark hands to a task at a time, and what it writes of the shards at a time.
+INPUT_BYTES = 4 << 20
+WRITTEN_BYTES = 16 << 20
+#: Distinct words a task remembers, their characters, and their tokens of both kinds.
 REMEMBERED_WORDS = 300_000
-REMEMBERED_CHARS = 12 << 20
+REMEMBERED_CHARS = 8 << 20
+REMEMBERED_TOKENS = 4 << 20
 #: Links that are written out at a time.
-LINKS_AT_ONCE = 4 << 20
+LINKS_AT_ONCE = 1 << 20
 
 _MARK = "▁"
 _CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
@@ -57,7 +63,7 @@ _OVER = re.compile("[\\w!-~\ufffd] ($|[\\w!-~])")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Files:
     """The vocabularies' files as read on the driver; as large as the files, whatever the table."""
 
@@ -155,6 +161,12 @@ class Encoder:
         )
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(files: Files) -> Encoder:
+    """One for all tasks of a worker: a tokenizer that has encoded keeps some megabytes when it goes."""
+    return Encoder(files)
+
+
 @dataclass
 class Tokens:
     """Tokens of some texts end to end: ``ids`` and byte ``ends`` of A and B, and where each text's tokens end."""
@@ -165,7 +177,7 @@ class Tokens:
 
 
 def tokenize(texts: list[str | None], encoder: Encoder) -> Tokens:
-    if len(encoder.number) > REMEMBERED_WORDS or encoder.chars > REMEMBERED_CHARS:
+    if len(encoder.number) > REMEMBERED_WORDS or encoder.chars > REMEMBERED_CHARS or sum(map(len, encoder.ids)) > REMEMBERED_TOKENS:
         encoder.forget()
     split = [encoder.words(t) if t else [] for t in texts]
     encoder.learn(w for words in split for w in words)
@@ -247,7 +259,7 @@ def alignments(docs: DataFrame, files: Files | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(files or read_files())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = worker_encoder(shared.value)
         for part in gathered(batches, limit=BATCH_BYTES):
             found = align(part.column("text").to_pylist(), encoder)
             group_of = np.repeat(np.arange(part.num_rows), np.diff(found.bounds))
@@ -260,6 +272,7 @@ def alignments(docs: DataFrame, files: Files | None = None) -> DataFrame:
                 _lists(found.b_ends - b_first, found.bounds),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a_ids", "b_ids", "a_ends", "b_ends"])
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a_ids array<int>, b_ids array<int>, a_ends array<int>, b_ends array<int>")
 
@@ -339,11 +352,12 @@ def link_shards(docs: DataFrame, files: Files | None = None) -> DataFrame:
     """A row per shard of documents: their figures, their distinct links as places in the shard's pairs, and its pairs with holders."""
     shared = docs.sparkSession.sparkContext.broadcast(files or read_files())
 
-    def shard_row(number: int, parts: list[dict], pair_width: int) -> pa.RecordBatch:
+    def shard_row(number: int, parts: list[dict]) -> pa.RecordBatch:
         figures = [pa.concat_arrays([p[n] for p in parts]) for n in (*_DOC_LONGS, "groups_sha256")]
         sizes = np.concatenate([p["sizes"] for p in parts])
-        pairs, at, holders = np.unique(np.concatenate([p["keys"] for p in parts]) % pair_width, return_inverse=True, return_counts=True)
-        times = np.concatenate([p["times"] for p in parts])
+        pairs, holders = np.unique(np.concatenate([p["pairs"] for p in parts]), return_counts=True)
+        at = np.concatenate([np.searchsorted(pairs, p.pop("pairs")).astype(np.int32) for p in parts])
+        times = pa.concat_arrays([p.pop("times") for p in parts])
         one = [*figures, np.cumsum(sizes), at, times, pairs, holders]
         columns = [pa.array([number], pa.int64())]
         for values, field in zip(one, list(_SHARDS)[1:], strict=True):
@@ -351,30 +365,39 @@ def link_shards(docs: DataFrame, files: Files | None = None) -> DataFrame:
             columns.append(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat))
         return pa.RecordBatch.from_arrays(columns, schema=_SHARDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(shared.value)
         widths = [len(s) for s in encoder.spelled]
         pair_width = widths[0] * widths[1]
+        pair_type = np.int32 if pair_width <= 1 << 31 else np.int64
         spelling = Spelling(max(widths))
-        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        number, parts, size, held = TaskContext.get().partitionId() << 32, [], 0, 0
         for part in gathered(batches, limit=BATCH_BYTES):
             texts = part.column("text").to_pylist()
             found = align(texts, encoder)
             keys, times = links(found, widths[1], pair_width)
             bounds = found.bounds
             products = np.diff(found.a_ends, prepend=0) * np.diff(found.b_ends, prepend=0)
-            made = np.concatenate([[0], np.cumsum(products)])
-            longs = [np.diff(found.tokens.bounds[0]), np.diff(found.tokens.bounds[1]), np.diff(bounds), made[bounds[1:]] - made[bounds[:-1]]]
+            upto = np.concatenate([[0], np.cumsum(products)])
+            longs = [np.diff(found.tokens.bounds[0]), np.diff(found.tokens.bounds[1]), np.diff(bounds), upto[bounds[1:]] - upto[bounds[:-1]]]
             sizes = np.diff(np.searchsorted(keys, np.arange(part.num_rows + 1) * pair_width))
             row = {n: pa.array(v, pa.int64()) for n, v in zip(_DOC_LONGS[1:], longs, strict=True)}
             row |= {"doc_id": part.column("doc_id").combine_chunks().cast(pa.int64()), "groups_sha256": pa.array(spelling.digests(found), pa.string())}
-            parts.append(row | {"sizes": sizes, "keys": keys, "times": times})
-            size += sum(map(len, filter(None, texts)))
-            if size >= SHARD_BYTES:
-                yield shard_row(number, parts, pair_width)
-                number, parts, size = number + 1, [], 0
+            parts.append(row | {"sizes": sizes, "pairs": (keys % pair_width).astype(pair_type), "times": pa.array(times).cast(pa.int32())})
+            size, held = size + int(byte_lengths(part.column("text")).sum()), held + len(keys)
+            if size >= SHARD_BYTES or held >= SHARD_LINKS:
+                shard = shard_row(number, parts)
+                number, parts, size, held = number + 1, [], 0, 0
+                yield shard
+                del shard
+                give_back()
         if parts:
-            yield shard_row(number, parts, pair_width)
+            yield shard_row(number, parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from made(batches)
+        worker_encoder(shared.value).forget()  # the worker stays for later tasks
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, _SHARDS_SQL)
 
@@ -412,7 +435,8 @@ def linked(docs: DataFrame, files: Files | None = None) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per document."""
     files = files or read_files()
     b_width = sentencepiece.SentencePieceProcessor(model_proto=files.b).get_piece_size()
-    shards = materialise(link_shards(docs, files), "link-shards")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(INPUT_BYTES)):
+        shards = materialise(link_shards(docs, files), "link-shards", **large_rows(WRITTEN_BYTES))
     asked = shards.select(F.col("shard").alias("asker"), F.explode("keys").alias("key"))
     answers = asked.join(pair_counts(shards, b_width), "key").select("asker", "key", "n", "best")
     kept = shards.drop("keys", "holders")
